@@ -33,9 +33,9 @@ def exact_div(a: Column, b: Column, scale: int = 0) -> Column:
     ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused like 1/3 is.
     """
     require_between("scale", scale, 0, 17)
-    shift = F.lit(10**scale).cast(f"decimal({scale + 1},0)")
+    shift = F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")
     left, right = ((x.cast(f"decimal(18,{scale})") * shift).cast("decimal(18,0)") for x in (a, b))
-    rest = (left.cast(_WIDE) * F.lit(10**19).cast(_WIDE)).cast(_WIDE) % right.cast(_WIDE)
+    rest = (left.cast(_WIDE) * F.lit(Decimal(10**19)).cast(_WIDE)).cast(_WIDE) % right.cast(_WIDE)
     return refuse_when(rest != 0, (left / right).cast("decimal(38,19)"), "division has no exact decimal result")
 
 
@@ -55,7 +55,7 @@ def round_div_half_up(a: Column, b: Column, scale: int) -> Column:
 
 
 def _rounded_ratio(a: Column, b: Column, scale: int, half_even: bool) -> Column:
-    top = (F.abs(a.cast(_WIDE)) * F.lit(10**scale).cast(_WIDE)).cast(_WIDE)
+    top = (F.abs(a.cast(_WIDE)) * F.lit(Decimal(10**scale)).cast(_WIDE)).cast(_WIDE)
     bottom = F.abs(b.cast(_WIDE))
     whole = div(top, bottom)  # BIGINT; a quotient beyond 63 bits fails
     twice = ((top % bottom) * 2).cast(_WIDE)

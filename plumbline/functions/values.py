@@ -50,15 +50,25 @@ def int_range(start: Column, end: Column, step: Column | None = None) -> Column:
     return F.coalesce(made, F.when(safe_step != 0, F.array().cast("array<bigint>")))
 
 
+def _one_json_value(text: Column) -> Column:
+    """Whether text is one JSON value and nothing else.
+
+    The parser stops after the first value, so what follows it must be checked too: text that is valid both as the
+    only array element and as an object member cannot close either early or hold a second value.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return in_array.isNotNull() & in_object.isNotNull()
+
+
 def parse_json(text: Column) -> Column:
     """VARIANT of JSON text; malformed input fails."""
-    return F.parse_json(text)
+    return refuse_when(text.isNotNull() & ~_one_json_value(text), F.try_parse_json(text), JSON_MESSAGE)
 
 
 def decode_json(text: Column) -> Column:
     """``{ok, value, error}`` for JSON text; JSON null decodes to a present value. Positions are not available."""
-    value = F.try_parse_json(text)
-    ok = value.isNotNull()
+    ok = F.coalesce(_one_json_value(text), F.lit(False))
     none = F.lit(None)
     error = F.struct(
         F.lit(JSON_CODE).alias("code"),
@@ -66,7 +76,9 @@ def decode_json(text: Column) -> Column:
         none.cast("int").alias("line"),
         none.cast("int").alias("column"),
     )
-    return F.struct(ok.alias("ok"), value.alias("value"), F.when(~ok, error).alias("error"))
+    return F.struct(
+        ok.alias("ok"), F.when(ok, F.try_parse_json(text)).alias("value"), F.when(~ok, error).alias("error")
+    )
 
 
 def json_field(value: Column, path: str, kind: str) -> Column:

@@ -1,3 +1,3 @@
 """Registered queries by subject; importing this package fills the registry."""
 
-from plumbline.plans import aggregates, projection  # noqa: F401
+from plumbline.plans import aggregates, ordered, projection, scalars  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(configure(spark), sf_dir)
 
-        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        functools.update_wrapper(run, fn)
         QUERIES[name] = run
         if sql is not None:
             REFERENCE_SQL[name] = sql
