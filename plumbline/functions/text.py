@@ -7,6 +7,7 @@ a narrow step without a shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,19 @@ def _nonempty_pattern(regex: str) -> str:
     return checked
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once per row.
+
+    A lambda that mentions an outer expression evaluates it again for every element; a lambda variable does not.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def line_items(text: Column) -> Column:
     """Lines by LF or CRLF; a lone CR is content, a final line end adds no empty line, empty text has no lines."""
     parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), closed).otherwise(parts)
+    # a final line end (or empty text) leaves an empty last piece
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def char_items(text: Column) -> Column:
@@ -124,23 +133,28 @@ def ansi_spans(text: Column) -> Column:
     """Kept runs of :func:`strip_ansi` as half-open UTF-8 byte ranges in the input and in the output."""
     kept = F.split(text, _TERMINAL, -1)
     cut = F.regexp_extract_all(text, F.lit(_TERMINAL), F.lit(0))
+    parts = F.struct(
+        F.transform(kept, F.octet_length).alias("kept_bytes"),
+        F.transform(cut, F.octet_length).alias("cut_bytes"),
+    )
+
+    def total(sizes: Column, count: Column) -> Column:
+        return F.reduce(F.slice(sizes, F.lit(1), count), F.lit(0).cast("bigint"), lambda n, size: n + size)
+
+    def spans(p: Column) -> Column:
+        def span(size: Column, index: Column) -> Column:
+            out = total(p["kept_bytes"], index)
+            start = out + total(p["cut_bytes"], index)
+            return F.struct(
+                start.alias("input_start"),
+                (start + size).alias("input_end"),
+                out.alias("output_start"),
+                (out + size).alias("output_end"),
+            )
+
+        return F.filter(F.transform(p["kept_bytes"], span), lambda s: s["input_end"] > s["input_start"])
 
-    def size_before(parts: Column, count: Column) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(F.slice(parts, F.lit(1), count), zero, lambda n, p: n + F.octet_length(p))
-
-    def span(run: Column, index: Column) -> Column:
-        out = size_before(kept, index)
-        start = out + size_before(cut, index)
-        length = F.octet_length(run)
-        return F.struct(
-            start.alias("input_start"),
-            (start + length).alias("input_end"),
-            out.alias("output_start"),
-            (out + length).alias("output_end"),
-        )
-
-    return F.filter(F.transform(kept, span), lambda s: s["input_end"] > s["input_start"])
+    return let(parts, spans)
 
 
 def decode_utf8(data: Column, lossy: bool = False) -> Column:

@@ -38,8 +38,8 @@ class Recipe:
         return self._then(lambda items: F.slice(items, 1, n))
 
     def skip(self, n: int) -> Recipe:
-        require_between("n", n, 0, (1 << 31) - 2)
-        return self._then(lambda items: F.slice(items, F.lit(n + 1), F.size(items)))
+        require_between("n", n, 0, (1 << 30) - 1)
+        return self._then(lambda items: F.slice(items, n + 1, 1 << 30))
 
     def field(self, name: str) -> Recipe:
         return self.map(lambda item: item[name])

@@ -18,43 +18,39 @@ def read_lines(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFra
     return spark.read.option("lineSep", delimiter).text(path)
 
 
-def _pieces(text: Column, delimiter: str | None) -> Column:
-    """Pieces with their delimiter's byte length; the piece after the last delimiter is unterminated."""
-    separator = "\n" if delimiter is None else delimiter
-    parts = F.split(text, f"\\Q{separator}\\E", -1)
-    last = F.size(parts) - 1
-    lf = len(separator.encode())
-
-    def piece(part: Column, index: Column) -> Column:
-        open_end = index == last
-        cr = F.lit(False) if delimiter is not None else ~open_end & part.endswith("\r")
-        content = F.when(cr, F.left(part, F.length(part) - 1)).otherwise(part)
-        width = F.when(open_end, 0).when(cr, lf + 1).otherwise(lf)
-        return F.struct(content.alias("text"), width.cast("bigint").alias("width"), open_end.alias("unterminated"))
-
-    # nothing follows a final delimiter, and empty text has no record
-    return F.filter(F.transform(parts, piece), lambda p: ~(p["unterminated"] & (p["text"] == "")))
-
-
 def frame_lines(df: DataFrame, key: str, text: str, delimiter: str | None = None) -> DataFrame:
     """Records of a text column by LF/CRLF (or a literal delimiter) with half-open byte spans.
 
     Spans are running sums per document; a document is one cell, so a partition is bounded by the cell size.
     """
     require_kind(df, text, "Text")
-    rows = items_table(df.select(key, _pieces(F.col(text), delimiter).alias("_p")), F.col("_p"), "_f", "ordinal")
-    size = F.octet_length("_f.text").cast("bigint")
+    separator = "\n" if delimiter is None else delimiter
+    split = df.select(key, F.split(text, f"\\Q{separator}\\E", -1).alias("_parts"))
+    rows = split.select(key, F.size("_parts").alias("_n"), F.posexplode("_parts").alias("ordinal", "_part"))
+    part, open_end = F.col("_part"), F.col("ordinal") == F.col("_n") - 1
+    cr = ~open_end & part.endswith("\r") if delimiter is None else F.lit(False)
+    width = F.when(open_end, 0).when(cr, len(separator.encode()) + 1).otherwise(len(separator.encode()))
+    # nothing follows a final delimiter, and empty text has no record
+    framed = rows.where(~(open_end & (part == ""))).select(
+        key,
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        F.when(cr, F.left(part, F.length(part) - 1)).otherwise(part).alias("text"),
+        width.cast("bigint").alias("_width"),
+        open_end.alias("unterminated"),
+    )
+    size = F.octet_length("text").cast("bigint")
     upto = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(size + F.col("_f.width")).over(upto)
-    return rows.drop("_p").withColumn("delimiter_end", end).select(
+    placed = framed.withColumn("delimiter_end", F.sum(size + F.col("_width")).over(upto))
+    end = F.col("delimiter_end") - F.col("_width")
+    return placed.select(
         key,
         "ordinal",
-        (F.col("delimiter_end") - F.col("_f.width") - size).alias("start"),
-        (F.col("delimiter_end") - F.col("_f.width")).alias("end"),
+        (end - size).alias("start"),
+        end.alias("end"),
         "delimiter_end",
-        F.col("_f.text").alias("text"),
-        F.contains(F.col("_f.text"), F.lit("\ufffd")).alias("lossy"),
-        F.col("_f.unterminated").alias("unterminated"),
+        "text",
+        F.contains(F.col("text"), F.lit("\ufffd")).alias("lossy"),
+        "unterminated",
     )
 
 
