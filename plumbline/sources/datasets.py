@@ -19,6 +19,7 @@ from pyspark.sql.utils import AnalysisException
 
 from plumbline.guards import KindError, require_between
 from plumbline.operators.ordered import position
+from plumbline.operators.rows import csv_rows
 
 _MANIFEST = "generation bigint, first bigint, records bigint, digest bigint, schema_digest string, lifecycle string"
 
@@ -117,7 +118,10 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV files: every cell quoted, quotes doubled, records end with CRLF."""
-    df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite").options(
-        quoteAll=True, escape='"', lineSep="\r\n", header=True
-    ).csv(path)
+    """CSV files without a header: every cell quoted, quotes doubled, records end with CRLF.
+
+    Records are written as text, because the CSV writer would turn a line feed inside a cell into CRLF.
+    """
+    cells = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    lines = csv_rows(cells, df.columns, "line").select(F.regexp_replace("line", r"\r\n\z", "").alias("line"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
