@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.guards import refuse_when, require_between
 
 _WIDE = "decimal(38,0)"
+_LONG = (1 << 63) - 1
 
 
 def div(a: Column, b: Column) -> Column:
@@ -30,13 +31,19 @@ def exact_div(a: Column, b: Column, scale: int = 0) -> Column:
     """``a / b`` as a decimal with 19 fractional digits, failing unless the quotient is exact.
 
     Operands have at most 18 digits, ``scale`` of them fractional. The quotient is exact when the integer remainder of
-    ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused like 1/3 is.
+    ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused like 1/3 is. Most
+    quotients end within six places, which BIGINT arithmetic decides without wide decimals.
     """
     require_between("scale", scale, 0, 17)
     shift = F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")
     left, right = ((x.cast(f"decimal(18,{scale})") * shift).cast("decimal(18,0)") for x in (a, b))
+    long_left, long_right = left.cast("bigint"), right.cast("bigint")
+    millionths = long_left * 1_000_000
+    short = (F.abs(long_left) < _LONG // 1_000_000) & (long_right != 0) & (millionths % long_right == 0)
+    near = (div(millionths, long_right).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(38,19)")
     rest = (left.cast(_WIDE) * F.lit(Decimal(10**19)).cast(_WIDE)).cast(_WIDE) % right.cast(_WIDE)
-    return refuse_when(rest != 0, (left / right).cast("decimal(38,19)"), "division has no exact decimal result")
+    far = refuse_when(rest != 0, (left / right).cast("decimal(38,19)"), "division has no exact decimal result")
+    return F.when(short, near).otherwise(far)
 
 
 def round_div(a: Column, b: Column, scale: int) -> Column:
@@ -55,13 +62,18 @@ def round_div_half_up(a: Column, b: Column, scale: int) -> Column:
 
 
 def _rounded_ratio(a: Column, b: Column, scale: int, half_even: bool) -> Column:
-    top = (F.abs(a.cast(_WIDE)) * F.lit(Decimal(10**scale)).cast(_WIDE)).cast(_WIDE)
-    bottom = F.abs(b.cast(_WIDE))
-    whole = div(top, bottom)  # BIGINT; a quotient beyond 63 bits fails
-    twice = ((top % bottom) * 2).cast(_WIDE)
-    up = (twice > bottom) | ((twice == bottom) & (whole % 2 == 1)) if half_even else twice >= bottom
-    magnitude = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    signed = F.when((a < 0) != (b < 0), -magnitude).otherwise(magnitude).cast("decimal(20,0)")
+    def magnitude(top: Column, bottom: Column) -> Column:
+        whole = div(top, bottom)  # BIGINT; a quotient beyond 63 bits fails
+        twice = (top % bottom) * 2
+        up = (twice > bottom) | ((twice == bottom) & (whole % 2 == 1)) if half_even else twice >= bottom
+        return whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+
+    # BIGINT arithmetic where the scaled operands fit, 38-digit decimals elsewhere
+    fits = (F.abs(a) < _LONG // 10**scale) & (F.abs(b) < _LONG // 2)
+    narrow = magnitude(F.abs(a).cast("bigint") * 10**scale, F.abs(b).cast("bigint"))
+    wide_top = (F.abs(a.cast(_WIDE)) * F.lit(Decimal(10**scale)).cast(_WIDE)).cast(_WIDE)
+    size = F.when(fits, narrow).otherwise(magnitude(wide_top, F.abs(b.cast(_WIDE))))
+    signed = F.when((a < 0) != (b < 0), -size).otherwise(size).cast("decimal(20,0)")
     unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")
     return (signed * unit).cast(f"decimal(38,{scale})")
 
@@ -69,7 +81,7 @@ def _rounded_ratio(a: Column, b: Column, scale: int, half_even: bool) -> Column:
 def to_int(value: Column) -> Column:
     """Int from an integral Decimal; a fraction fails instead of being cut off."""
     whole = value.cast("bigint")
-    return refuse_when(whole.cast(_WIDE) != value, whole, "number is not integral")
+    return refuse_when(value % 1 != 0, whole, "number is not integral")
 
 
 def text_to_int(value: Column) -> Column:
@@ -81,7 +93,8 @@ def to_decimal(value: Column, scale: int = 6) -> Column:
     """Decimal from Int or Text; digits that do not fit ``scale`` fail."""
     wide = value.cast("decimal(38,18)")
     narrow = wide.cast(f"decimal(38,{scale})")
-    return refuse_when(narrow != wide, narrow, "decimal needs more fractional digits")
+    # compared in one type: between unequal scales Spark would round to the smaller one first
+    return refuse_when(narrow.cast("decimal(38,18)") != wide, narrow, "decimal needs more fractional digits")
 
 
 def cents(value: Column) -> Column:

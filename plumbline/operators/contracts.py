@@ -48,7 +48,7 @@ def scalar(kind: str, name: str | None = None, **limits: Any) -> Contract:
     return Contract(name or kind, kind, **limits)
 
 
-def record(name: str, **fields: Contract) -> Contract:
+def record(name: str, /, **fields: Contract) -> Contract:
     return Contract(name, "Record", fields=fields)
 
 

@@ -1,17 +1,19 @@
 """Ordered analytics per key that stay parallel when one key holds a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here a key with more than ``hot_rows`` rows is cut
-into chunks of its integer order column. Window functions run per (key, chunk); one small row per chunk carries the
-state over the chunk borders. Because the order column is a unique integer within its key, a chunk of ``chunk_span``
-order values never holds more than ``chunk_span`` rows, whatever the data looks like. Ordinary keys form a single
-chunk and pay only for the key count, a column-pruned scan with map-side combining.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here keys are counted first: a column-pruned scan
+with map-side combining. Where no key has more than ``hot_rows`` rows, the plain window is used and nothing else is
+planned. Otherwise the hot keys are cut into chunks of their integer order column: window functions run per
+(key, chunk) and one small row per chunk carries the state over the chunk borders. Because the order column is a
+unique integer within its key, a chunk of ``chunk_span`` order values never holds more than ``chunk_span`` rows,
+whatever the data looks like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.guards import require_columns, require_kind
@@ -34,45 +36,68 @@ def chunked(
     order: str,
     hot_rows: int = HOT_ROWS,
     chunk_span: int = CHUNK_SPAN,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``_chunk``: null for ordinary keys, the order value's chunk number for hot keys."""
+    """Add ``_chunk`` where hot keys exist: null for ordinary keys, the order value's chunk number for hot ones.
+
+    ``sizes`` may name a cheaper table to count keys in, with at least as many rows per key as ``df``.
+    """
     require_columns(df, [*keys, order])
     require_kind(df, order, "Int")
     span = F.lit(chunk_span).cast("bigint")
     number = F.call_function("div", F.col(order) - F.pmod(F.col(order).cast("bigint"), span), span)
     if not keys:
         return df.withColumn(CHUNK, number)
-    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
+    hot = hot_keys(df if sizes is None else sizes, keys, hot_rows)
+    if hot.isEmpty():
+        return df
+    marked = _mark_hot(df, hot, keys)
     return marked.withColumn(CHUNK, F.when(F.col("_hot"), number)).drop("_hot")
 
 
-def _within(keys: Sequence[str], order: str):
-    return Window.partitionBy(*keys, CHUNK).orderBy(order)
+def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _lookup(df, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys)
+
+
+def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null equals null, as it does in a window partition."""
+    renamed = table.withColumnsRenamed({key: f"_k_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [df[key].eqNullSafe(renamed[f"_k_{key}"]) for key in keys])
+    return df.join(renamed, same, "left").drop(*[f"_k_{key}" for key in keys])
+
+
+def is_chunked(df: DataFrame) -> bool:
+    return CHUNK in df.columns
+
+
+def _within(df: DataFrame, keys: Sequence[str], *order: Column | str) -> WindowSpec:
+    return Window.partitionBy(*keys, *([CHUNK] if is_chunked(df) else [])).orderBy(*order)
 
 
-def _across(keys: Sequence[str]):
+def _across(keys: Sequence[str]) -> WindowSpec:
     # one row per chunk of a hot key: order range / chunk_span rows
     return Window.partitionBy(*keys).orderBy(CHUNK)
 
 
+def _per_chunk(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    return df.where(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(*aggregates)
+
+
 def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(carried, [*keys, CHUNK], "left")
+    return _lookup(df, carried, [*keys, CHUNK])
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, fields: Mapping[str, Column | str]) -> DataFrame:
     """Add, per output name, the value of the preceding row of the same key (null for the first row)."""
     record = F.struct(*[_column(value).alias(name) for name, value in fields.items()])
-    local = df.withColumn("_before", F.lag(record).over(_within(keys, order)))
-    tails = (
-        df.where(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.max_by(record, order).alias("_tail"))
-        .withColumn("_carried", F.lag("_tail").over(_across(keys)))
-        .select(*keys, CHUNK, "_carried")
-    )
-    before = F.coalesce("_before", "_carried")
-    return _attach(local, tails, keys).select(*df.columns, *[before[name].alias(name) for name in fields])
+    local = df.withColumn("_before", F.lag(record).over(_within(df, keys, order)))
+    before = F.col("_before")
+    if is_chunked(df):
+        tails = _per_chunk(df, keys, F.max_by(record, order).alias("_tail"))
+        carried = tails.withColumn("_carried", F.lag("_tail").over(_across(keys))).drop("_tail")
+        local = _attach(local, carried, keys)
+        before = F.coalesce("_before", "_carried")
+    return local.select(*df.columns, *[before[name].alias(name) for name in fields])
 
 
 def with_running(
@@ -88,50 +113,46 @@ def with_running(
     Sums start at zero; a maximum before the first row is null.
     """
     aggregate = F.max if maximum else F.sum
-    combine = F.greatest if maximum else (lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
     zero = F.lit(0).cast("bigint")
-    window = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    start = (lambda value: value) if maximum else (lambda value: F.coalesce(value, zero))
+    window = _within(df, keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = df.withColumns({f"_run_{name}": aggregate(_column(value)).over(window) for name, value in values.items()})
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        df.where(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(*[aggregate(_column(value)).alias(f"_all_{name}") for name, value in values.items()])
-        .withColumns({f"_carry_{name}": aggregate(f"_all_{name}").over(before) for name in values})
-        .select(*keys, CHUNK, *[f"_carry_{name}" for name in values])
-    )
-    return _attach(local, carried, keys).select(
-        *df.columns, *[combine(F.col(f"_run_{name}"), F.col(f"_carry_{name}")).alias(name) for name in values]
-    )
+    result = {name: start(F.col(f"_run_{name}")) for name in values}
+    if is_chunked(df):
+        combine = F.greatest if maximum else (lambda a, b: a + b)
+        before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+        totals = _per_chunk(df, keys, *[aggregate(_column(value)).alias(f"_all_{name}") for name, value in values.items()])
+        carried = totals.select(*keys, CHUNK, *[aggregate(f"_all_{name}").over(before).alias(f"_carry_{name}") for name in values])
+        local = _attach(local, carried, keys)
+        result = {name: combine(value, start(F.col(f"_carry_{name}"))) for name, value in result.items()}
+    return local.select(*df.columns, *[value.alias(name) for name, value in result.items()])
 
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: str, value: Column, before: str, after: str) -> DataFrame:
     """Add the nearest non-null ``value`` at or before each row and the nearest one at or after it."""
-    window, across = _within(keys, order), _across(keys)
+    window = _within(df, keys, order)
+    back, ahead = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
     local = df.withColumns(
         {
-            "_near_b": F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-            "_near_a": F.first(value, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)),
+            "_near_b": F.last(value, ignorenulls=True).over(window.rowsBetween(*back)),
+            "_near_a": F.first(value, ignorenulls=True).over(window.rowsBetween(*ahead)),
         }
     )
-    known = F.when(value.isNotNull(), F.col(order))
-    carried = (
-        df.where(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.max_by(value, known).alias("_end"), F.min_by(value, known).alias("_start"))
-        .withColumns(
-            {
-                "_carry_b": F.last("_end", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-                "_carry_a": F.first("_start", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)),
-            }
+    result = {before: F.col("_near_b"), after: F.col("_near_a")}
+    if is_chunked(df):
+        known = F.when(value.isNotNull(), F.col(order))
+        ends = _per_chunk(df, keys, F.max_by(value, known).alias("_end"), F.min_by(value, known).alias("_start"))
+        earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+        later = _across(keys).rowsBetween(1, Window.unboundedFollowing)
+        carried = ends.select(
+            *keys,
+            CHUNK,
+            F.last("_end", ignorenulls=True).over(earlier).alias("_carry_b"),
+            F.first("_start", ignorenulls=True).over(later).alias("_carry_a"),
         )
-        .select(*keys, CHUNK, "_carry_b", "_carry_a")
-    )
-    return _attach(local, carried, keys).select(
-        *df.columns,
-        F.coalesce("_near_b", "_carry_b").alias(before),
-        F.coalesce("_near_a", "_carry_a").alias(after),
-    )
+        local = _attach(local, carried, keys)
+        result = {before: F.coalesce("_near_b", "_carry_b"), after: F.coalesce("_near_a", "_carry_a")}
+    return local.select(*df.columns, *[column.alias(name) for name, column in result.items()])
 
 
 def newest(
@@ -143,15 +164,12 @@ def newest(
     chunk of a hot key meet in one task.
     """
     towards = F.asc(order) if ascending else F.desc(order)
-    per_chunk = Window.partitionBy(*keys, CHUNK).orderBy(towards)
-    kept = df.withColumn(rank, F.row_number().over(per_chunk)).where(F.col(rank) <= n)
+    kept = df.withColumn(rank, F.row_number().over(_within(df, keys, towards))).where(F.col(rank) <= n)
+    if not is_chunked(df):
+        return kept
     ordinary = kept.where(F.col(CHUNK).isNull())
-    per_key = Window.partitionBy(*keys).orderBy(towards)
-    hot = (
-        kept.where(F.col(CHUNK).isNotNull())
-        .withColumn(rank, F.row_number().over(per_key))
-        .where(F.col(rank) <= n)
-    )
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(towards))
+    hot = kept.where(F.col(CHUNK).isNotNull()).withColumn(rank, again).where(F.col(rank) <= n)
     return ordinary.unionByName(hot)
 
 
@@ -194,15 +212,15 @@ def row_number_by(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """0-based row number per key under any total order; hot keys are numbered through :func:`position`."""
-    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    ordinary = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, local.cast("bigint"))
-    if hot.isEmpty():  # an action on the key counts alone
-        return ordinary
+    local = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint")
+    hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
+        return df.withColumn(name, local)
+    marked = _mark_hot(df, hot, keys)
+    ordinary = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, local)
     placed = position(marked.where(F.col("_hot")).drop("_hot"), *keys, *order, name="_place")
     firsts = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
-    numbered = placed.join(F.broadcast(firsts), list(keys)).withColumn(name, F.col("_place") - F.col("_first"))
+    numbered = _lookup(placed, F.broadcast(firsts), keys).withColumn(name, F.col("_place") - F.col("_first"))
     return ordinary.unionByName(numbered.drop("_place", "_first"))
 
 

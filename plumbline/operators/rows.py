@@ -82,10 +82,14 @@ def fork(df: DataFrame, branches: Mapping[str, Column], outputs: Mapping[str, Co
     return tagged.withColumns({"result": value, "outcome": outcome})
 
 
-def sort_by(df: DataFrame, key: str, tie: str) -> DataFrame:
-    """Ascending by key; ``tie`` states the original order and makes the sort stable. Missing keys fail."""
+def sort_by(df: DataFrame, key: str, tie: str, numbered: bool = False) -> DataFrame:
+    """Ascending by key; ``tie`` states the original order and makes the sort stable. Missing keys fail.
+
+    ``numbered`` adds the global ``position`` instead of relying on the order of the output files.
+    """
     require_kind(df, key, "Int", "Decimal", "Text", "Instant", "Duration")
-    return df.withColumn(key, required(F.col(key), "sort key is missing")).orderBy(key, tie)
+    present = df.withColumn(key, required(F.col(key), "sort key is missing"))
+    return position(present, key, tie) if numbered else present.orderBy(key, tie)
 
 
 def take(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

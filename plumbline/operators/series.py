@@ -11,6 +11,7 @@ from plumbline.functions.exact import round_div_half_up
 from plumbline.guards import refuse_when, require_between
 from plumbline.operators.ordered import (
     CHUNK,
+    CHUNK_SPAN,
     HOT_ROWS,
     chunked,
     islands,
@@ -126,14 +127,14 @@ def occurrence_number(
 
 
 def event_clusters(
-    df: DataFrame, keys: Sequence[str], at: str, gap_us: int, hot_rows: int = HOT_ROWS, chunk_span: int | None = None
+    df: DataFrame, keys: Sequence[str], at: str, gap_us: int, hot_rows: int = HOT_ROWS, chunk_span: int = CHUNK_SPAN
 ) -> DataFrame:
     """Clusters of events per key: an event joins while less than ``gap_us`` has passed since the cluster's last one.
 
     Events of one instant are combined before anything is ordered, so instants are unique within their key.
     """
     instants = df.groupBy(*keys, F.unix_micros(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = chunked(instants, keys, "_at", hot_rows, **({} if chunk_span is None else {"chunk_span": chunk_span}))
+    placed = chunked(instants, keys, "_at", hot_rows, chunk_span, sizes=df)
     before = with_previous(placed, keys, "_at", {"_before": "_at"})
     starts = F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= gap_us)
     numbered = islands(before, keys, "_at", starts, "cluster")
@@ -156,7 +157,8 @@ def collapse_repeats(
     runs = numbered.groupBy(*keys, "run", *message).agg(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("first"), F.max(order).alias("last")
     )
-    return newest(chunked(runs, keys, "run", hot_rows), keys, "run", keep).drop(CHUNK, "_rank")
+    # a key has at most as many runs as rows
+    return newest(chunked(runs, keys, "run", hot_rows, sizes=df), keys, "run", keep).drop(CHUNK, "_rank")
 
 
 def gap_samples(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -303,7 +305,13 @@ def timeline_check(
 
 
 def nearest_join(
-    cursors: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, sample: Column, hot_rows: int = HOT_ROWS
+    cursors: DataFrame,
+    samples: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    sample: Column,
+    hot_rows: int = HOT_ROWS,
+    chunk_span: int = CHUNK_SPAN,
 ) -> DataFrame:
     """For each cursor instant the nearest sample of its series; of two equally near ones the earlier.
 
@@ -320,7 +328,9 @@ def nearest_join(
         .groupBy(*keys, "_at")
         .agg(F.bool_or("_cursor").alias("_cursor"), F.min("_s").alias("_s"))
     )
-    found = with_neighbours(chunked(merged, keys, "_at", hot_rows), keys, "_at", F.col("_s"), "_b", "_a")
+    rows_per_key = cursors.select(*keys).unionByName(samples.select(*keys))
+    placed = chunked(merged, keys, "_at", hot_rows, chunk_span, sizes=rows_per_key)
+    found = with_neighbours(placed, keys, "_at", F.col("_s"), "_b", "_a")
     earlier = F.col("_a").isNull() | (F.col("_at") - F.col("_b.at") <= F.col("_a.at") - F.col("_at"))
     pick = F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a"))
     return found.where("_cursor").select(

@@ -64,7 +64,7 @@ def log_summary(
         *[F.count_if(condition).alias(name) for name, condition in counters.items()],
     )
     preview = F.struct(F.left(text, F.lit(160)).alias("preview"), (F.length(text) > 160).alias("shortened"))
-    matching = chunked(df.where(hit).select(source, order, preview.alias("_preview")), [source], order)
+    matching = chunked(df.where(hit).select(source, order, preview.alias("_preview")), [source], order, sizes=df)
     first = newest(matching, [source], order, examples, ascending=True)
     shown = first.groupBy(source).agg(
         *[F.max(F.when(F.col("_rank") == k, F.col("_preview"))).alias(f"_p{k}") for k in range(1, examples + 1)]

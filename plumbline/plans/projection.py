@@ -100,7 +100,7 @@ def fork_(spark, sf):
 )
 def sort_by_(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("price"))
-    return rows.position(rows.sort_by(orders, "price", "o_orderkey"), "price", "o_orderkey").drop("price")
+    return rows.sort_by(orders, "price", "o_orderkey", numbered=True).drop("price")
 
 
 @query("take", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")

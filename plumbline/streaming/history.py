@@ -87,25 +87,18 @@ def accumulate(
     step = F.col(seq) - F.col("_seen")
     regular = F.when(F.col("_seen").isNull(), F.col(seq) == 1).otherwise(step.isin(0, 1))
     full = F.lit(overflow == "error") & (F.col(seq) > limit)
-    error = (
-        F.when(~regular & F.col("_seen").isNull(), "ACC006").when(~regular, "ACC003").when(full, "ACC004")
-    )
+    error = F.when(~regular & F.col("_seen").isNull(), "ACC006").when(~regular, "ACC003").when(full, "ACC004")
     judged = before.withColumn("_error", error)
-    # the first failing arrival per source: one small row, combined before the shuffle
-    stops = judged.groupBy(*keys).agg(
-        F.min(F.when(F.col("_error").isNotNull(), F.struct(F.col(arrival).alias("at"), F.col("_error").alias("code")))).alias("_stop")
-    )
+    # what follows the first error of a source is not accepted: a running count in the same partitioning
+    failed = F.when(F.col("_error").isNotNull(), 1).otherwise(0).cast("bigint")
+    counted = with_running(judged, keys, arrival, {"_errors": failed})
     # a repeated delivery has step 0 and is not an item
     new = F.col("_seen").isNull() | (step == 1)
-    accepted = (
-        judged.join(stops, list(keys))
-        .where(F.col("_error").isNull() & new & (F.col("_stop").isNull() | (F.col(arrival) < F.col("_stop.at"))))
-    )
-    reached = accepted.groupBy(*keys).agg(F.max(seq).alias("_sequence"))
-    held = accepted.join(reached, list(keys)).where(F.col(seq) > F.col("_sequence") - limit)
+    held = newest(counted.where((F.col("_errors") == 0) & new), keys, arrival, limit)
     totals = held.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("items"), F.max("_sequence").alias("sequence"), F.sum(item).cast("bigint").alias("total")
+        F.count(F.lit(1)).alias("items"), F.max(seq).alias("sequence"), F.sum(item).cast("bigint").alias("total")
     )
+    stops = judged.groupBy(*keys).agg(F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col(arrival))).alias("error"))
     zero = F.lit(0).cast("bigint")
     return stops.join(totals, list(keys), "left").select(
         *keys,
@@ -113,7 +106,7 @@ def accumulate(
         F.coalesce("sequence", zero).alias("sequence"),
         (F.coalesce("sequence", zero) - F.coalesce("items", zero)).alias("dropped"),
         F.coalesce("total", zero).alias("total"),
-        F.col("_stop.code").alias("error"),
+        "error",
     )
 
 

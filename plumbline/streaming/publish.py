@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.guards import require_between, strict_bool
 from plumbline.sources import datasets
-from plumbline.streaming.runs import run_batches
+from plumbline.streaming.runs import BATCH_BYTES, run_batches
 
 
 def dataset_record(stream: DataFrame, path: str, *order: Column | str, folder: str | None = None) -> str:
@@ -25,10 +25,10 @@ def dataset_record(stream: DataFrame, path: str, *order: Column | str, folder: s
     return path
 
 
-def dataset_follow(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def dataset_follow(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Committed records of a dataset as a stream that also sees later generations."""
     schema = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
     return reader.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*")
 
 

@@ -13,18 +13,21 @@ from pyspark.sql import types as T
 
 from plumbline.session import configure, run_folder
 
+BATCH_BYTES = 1 << 30
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files as a stream; ``files_per_batch`` bounds what one micro-batch holds.
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Parquet files as a stream; ``batch_bytes`` bounds the files one micro-batch reads.
+
+    The bound also limits what a stateful operator puts into order for one key, however hot the key is.
 
     The name is given as a glob because the file source takes a plain path for a directory; a single file works too.
     """
     configure(spark)
     folder, _, name = path.rstrip("/").rpartition("/")
     path = f"{folder}/{{{name}}}"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def run_to_table(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
