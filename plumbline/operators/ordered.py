@@ -30,31 +30,43 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return counted.where(F.col("_rows") > hot_rows).select(*keys)
 
 
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys, or None where there are none. Counts keys now, so that the plan can depend on it."""
+    hot = hot_keys(df, keys, hot_rows)
+    return None if hot.isEmpty() else hot
+
+
 def chunked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    hot_rows: int = HOT_ROWS,
-    chunk_span: int = CHUNK_SPAN,
-    sizes: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, chunk_span: int = CHUNK_SPAN
 ) -> DataFrame:
-    """Add ``_chunk`` where hot keys exist: null for ordinary keys, the order value's chunk number for hot ones.
+    """Add ``_chunk`` where hot keys exist: null for ordinary keys, the order value's chunk number for hot ones."""
+    return chunk_hot(df, keys, order, find_hot(df, keys, hot_rows) if keys else None, chunk_span)
 
-    ``sizes`` may name a cheaper table to count keys in, with at least as many rows per key as ``df``.
-    """
+
+def chunk_hot(
+    df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame | None, chunk_span: int = CHUNK_SPAN
+) -> DataFrame:
+    """:func:`chunked` for hot keys that are known already. Without keys the whole table is one hot key."""
     require_columns(df, [*keys, order])
     require_kind(df, order, "Int")
     span = F.lit(chunk_span).cast("bigint")
     number = F.call_function("div", F.col(order) - F.pmod(F.col(order).cast("bigint"), span), span)
     if not keys:
         return df.withColumn(CHUNK, number)
-    hot = hot_keys(df if sizes is None else sizes, keys, hot_rows)
-    if hot.isEmpty():
+    if hot is None:
         return df
     marked = _mark_hot(df, hot, keys)
     return marked.withColumn(CHUNK, F.when(F.col("_hot"), number)).drop("_hot")
 
 
+def co_located(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
+    """Shuffle by key once, for steps that group by the key and more and then order within the key.
+
+    Without hot keys one shuffle serves them all; with hot keys each step keeps its own finer partitioning.
+    """
+    return df.repartition(*keys) if keys and hot is None else df
+
+
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _lookup(df, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys)
 
@@ -128,6 +140,20 @@ def with_running(
     return local.select(*df.columns, *[value.alias(name) for name, value in result.items()])
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates over the whole key to each row, in the partitioning the ordered steps already use.
+
+    Totals of hot keys - at most ``rows / hot_rows`` of them - are aggregated on the side and broadcast.
+    """
+    if not is_chunked(df):
+        return df.withColumns({name: value.over(Window.partitionBy(*keys)) for name, value in totals.items()})
+    ordinary = df.where(F.col(CHUNK).isNull())
+    hot = df.where(F.col(CHUNK).isNotNull())
+    small = hot.groupBy(*keys).agg(*[value.alias(name) for name, value in totals.items()])
+    counted = ordinary.withColumns({name: value.over(Window.partitionBy(*keys)) for name, value in totals.items()})
+    return counted.unionByName(_lookup(hot, F.broadcast(small), keys))
+
+
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: str, value: Column, before: str, after: str) -> DataFrame:
     """Add the nearest non-null ``value`` at or before each row and the nearest one at or after it."""
     window = _within(df, keys, order)
@@ -213,8 +239,8 @@ def row_number_by(
 ) -> DataFrame:
     """0-based row number per key under any total order; hot keys are numbered through :func:`position`."""
     local = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint")
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    hot = find_hot(df, keys, hot_rows)
+    if hot is None:
         return df.withColumn(name, local)
     marked = _mark_hot(df, hot, keys)
     ordinary = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, local)

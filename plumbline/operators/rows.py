@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,15 @@ def map_rows(df: DataFrame, **outputs: Column) -> DataFrame:
     return df.select(*[column.alias(name) for name, column in outputs.items()])
 
 
-def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
-    """Rows whose predicate is true; a predicate without an answer fails."""
+def filter_rows(df: DataFrame, predicate: Column, reads: Sequence[str] = ()) -> DataFrame:
+    """Rows whose predicate is true; a predicate without an answer fails.
+
+    ``reads`` names the columns of a predicate that is undefined only where one of them is null. The scan then gets a
+    filter it can push down - the predicate, or a null in one of the columns - and the check runs on what is left.
+    """
     require_kind(df, predicate, "Bool")
+    if reads:
+        df = df.where(reduce(lambda kept, name: kept | F.col(name).isNull(), reads, predicate))
     return df.where(strict_bool(predicate))
 
 

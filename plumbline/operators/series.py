@@ -13,13 +13,17 @@ from plumbline.operators.ordered import (
     CHUNK,
     CHUNK_SPAN,
     HOT_ROWS,
+    chunk_hot,
     chunked,
+    co_located,
+    find_hot,
     islands,
     newest,
     row_number_by,
     with_neighbours,
     with_previous,
     with_running,
+    with_totals,
 )
 
 MAX_SERIES = 8
@@ -133,8 +137,10 @@ def event_clusters(
 
     Events of one instant are combined before anything is ordered, so instants are unique within their key.
     """
-    instants = df.groupBy(*keys, F.unix_micros(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = chunked(instants, keys, "_at", hot_rows, chunk_span, sizes=df)
+    hot = find_hot(df, keys, hot_rows)
+    instants = co_located(df.select(*keys, F.unix_micros(at).alias("_at")), keys, hot)
+    instants = instants.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    placed = chunk_hot(instants, keys, "_at", hot, chunk_span)
     before = with_previous(placed, keys, "_at", {"_before": "_at"})
     starts = F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= gap_us)
     numbered = islands(before, keys, "_at", starts, "cluster")
@@ -150,7 +156,8 @@ def collapse_repeats(
 ) -> DataFrame:
     """Runs of identical consecutive messages as one row with count, first and last; the newest ``keep`` per key."""
     record = F.struct(*message)
-    placed = chunked(df.select(*keys, order, *message), keys, order, hot_rows)
+    hot = find_hot(df, keys, hot_rows)
+    placed = chunk_hot(df.select(*keys, order, *message), keys, order, hot)
     before = with_previous(placed, keys, order, {"_before": record})
     starts = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(record)
     numbered = islands(before, keys, order, starts, "run")
@@ -158,12 +165,16 @@ def collapse_repeats(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("first"), F.max(order).alias("last")
     )
     # a key has at most as many runs as rows
-    return newest(chunked(runs, keys, "run", hot_rows, sizes=df), keys, "run", keep).drop(CHUNK, "_rank")
+    return newest(chunk_hot(runs, keys, "run", hot), keys, "run", keep).drop(CHUNK, "_rank")
 
 
 def gap_samples(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Samples with a ``gap`` flag and the number of sequence values missing before each."""
-    before = with_previous(chunked(df, keys, seq, hot_rows), keys, seq, {"_before": seq})
+    return _gaps(chunked(df, keys, seq, hot_rows), keys, seq)
+
+
+def _gaps(placed: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    before = with_previous(placed, keys, seq, {"_before": seq})
     jump = F.col(seq) - F.col("_before") - 1
     missing = F.when(F.col("_before") > 0, F.greatest(jump, F.lit(0))).otherwise(F.lit(0))
     return before.withColumn("missing", missing.cast("bigint")).withColumn("gap", F.col("missing") > 0).drop(
@@ -175,9 +186,10 @@ def gap_coverage(
     df: DataFrame, keys: Sequence[str], seq: str, failed: Column, keep: int = 120, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per key over its last ``keep`` sequence values: samples, gaps, omitted, coverage [first, last + 1), errors."""
-    extent = df.groupBy(*keys).agg(F.max(seq).alias("_last"), F.count(F.lit(1)).alias("_all"))
-    kept = df.join(extent, list(keys)).where(F.col(seq) > F.col("_last") - keep)
-    flagged = gap_samples(kept.withColumn("_failed", failed), keys, seq, hot_rows)
+    placed = chunked(df.withColumn("_failed", failed), keys, seq, hot_rows)
+    extent = with_totals(placed, keys, {"_last": F.max(seq), "_all": F.count(F.lit(1))})
+    kept = extent.where(F.col(seq) > F.col("_last") - keep)
+    flagged = _gaps(kept, keys, seq)
     totals = flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if("gap").alias("gaps"),
@@ -231,20 +243,19 @@ def series_adapter(df: DataFrame, body: Column, start_us: int, end_us: int) -> D
     records = df.select(F.from_json(body, RANGE_RECORD, {"mode": "FAILFAST"}).alias("r"))
     pairs = records.select(label_key(F.col("r.metric")).alias("_key"), F.explode("r.values").alias("p"))
     micros = (F.get("p", F.lit(0)).cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    text = F.get("p", F.lit(1))
+    # numbers and flags rather than text, so the duplicate check aggregates by hash
     samples = pairs.select(
         F.when(F.col("_key") == "", "scalar").otherwise(F.col("_key")).alias("series"),
         micros.alias("at_us"),
-        F.get("p", F.lit(1)).alias("_text"),
+        F.when(text == "NaN", F.lit(0)).otherwise(text.cast("decimal(38,6)")).cast("decimal(38,6)").alias("value"),
+        (text == "NaN").alias("gap"),
     ).where((F.col("at_us") >= start_us) & (F.col("at_us") < end_us))
-    one = samples.groupBy("series", "at_us").agg(F.max("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
-    gap = F.col("_text") == "NaN"
-    value = F.when(gap, F.lit(0)).otherwise(F.col("_text").cast("decimal(38,6)"))
-    return one.select(
-        "series",
-        refuse_when(F.col("_copies") > 1, F.col("at_us"), "series has two values for one instant").alias("at_us"),
-        value.cast("decimal(38,6)").alias("value"),
-        gap.alias("gap"),
+    one = samples.groupBy("series", "at_us").agg(
+        F.max("value").alias("value"), F.max("gap").alias("gap"), F.count(F.lit(1)).alias("_copies")
     )
+    checked = refuse_when(F.col("_copies") > 1, F.col("at_us"), "series has two values for one instant")
+    return one.select("series", checked.alias("at_us"), "value", "gap")
 
 
 def log_adapter(df: DataFrame, body: Column, start_us: int, end_us: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -317,19 +328,19 @@ def nearest_join(
 
     Both sides are merged by instant and ordered once; no pair of cursor and sample is formed to be thrown away.
     """
-    at_us = F.unix_micros(at).alias("_at")
-    no_sample = F.lit(None)
-    marks = cursors.select(*keys, at_us, F.lit(True).alias("_cursor"))
-    points = samples.select(*keys, at_us, F.struct(F.unix_micros(at).alias("at"), sample.alias("sample")).alias("_s"))
-    kind = points.schema["_s"].dataType
+    side = lambda df, is_cursor, value: df.select(
+        *keys, F.unix_micros(at).alias("_at"), F.lit(is_cursor).alias("_cursor"), F.lit(not is_cursor).alias("_is_sample"), value.alias("_value")
+    )
+    points = side(samples, False, sample)
+    marks = side(cursors, True, F.lit(None).cast(points.schema["_value"].dataType))
+    hot = find_hot(marks.select(*keys).unionByName(points.select(*keys)), keys, hot_rows)
     merged = (
-        marks.withColumn("_s", no_sample.cast(kind))
-        .unionByName(points.withColumn("_cursor", F.lit(False)))
+        co_located(marks.unionByName(points), keys, hot)
         .groupBy(*keys, "_at")
-        .agg(F.bool_or("_cursor").alias("_cursor"), F.min("_s").alias("_s"))
+        .agg(F.max("_cursor").alias("_cursor"), F.max("_is_sample").alias("_is_sample"), F.min("_value").alias("_value"))
+        .withColumn("_s", F.when(F.col("_is_sample"), F.struct(F.col("_at").alias("at"), F.col("_value").alias("sample"))))
     )
-    rows_per_key = cursors.select(*keys).unionByName(samples.select(*keys))
-    placed = chunked(merged, keys, "_at", hot_rows, chunk_span, sizes=rows_per_key)
+    placed = chunk_hot(merged, keys, "_at", hot, chunk_span)
     found = with_neighbours(placed, keys, "_at", F.col("_s"), "_b", "_a")
     earlier = F.col("_a").isNull() | (F.col("_at") - F.col("_b.at") <= F.col("_a.at") - F.col("_at"))
     pick = F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a"))

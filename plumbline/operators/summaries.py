@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
 from plumbline.guards import require_between, require_kind
-from plumbline.operators.ordered import chunked, newest
+from plumbline.operators.ordered import chunk_hot, find_hot, newest
 
 
 def sum_where(df: DataFrame, predicate: Column, value: Column) -> DataFrame:
@@ -64,7 +64,9 @@ def log_summary(
         *[F.count_if(condition).alias(name) for name, condition in counters.items()],
     )
     preview = F.struct(F.left(text, F.lit(160)).alias("preview"), (F.length(text) > 160).alias("shortened"))
-    matching = chunked(df.where(hit).select(source, order, preview.alias("_preview")), [source], order, sizes=df)
+    # keys are counted in the whole table, without matching the pattern once more
+    hot = find_hot(df, [source])
+    matching = chunk_hot(df.where(hit).select(source, order, preview.alias("_preview")), [source], order, hot)
     first = newest(matching, [source], order, examples, ascending=True)
     shown = first.groupBy(source).agg(
         *[F.max(F.when(F.col("_rank") == k, F.col("_preview"))).alias(f"_p{k}") for k in range(1, examples + 1)]

@@ -23,7 +23,8 @@ def map_(spark, sf):
 )
 def filter_(spark, sf):
     orders = load(spark, sf, "orders")
-    kept = rows.filter_rows(orders, (F.col("o_totalprice") > 300000) & (F.col("o_orderstatus") == "F"))
+    predicate = (F.col("o_totalprice") > 300000) & (F.col("o_orderstatus") == "F")
+    kept = rows.filter_rows(orders, predicate, reads=["o_totalprice", "o_orderstatus"])
     return kept.select("o_orderkey", "o_custkey")
 
 

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.guards import LimitError, require_between
-from plumbline.operators.ordered import CHUNK, HOT_ROWS, chunked, newest, with_previous, with_running
+from plumbline.operators.ordered import (
+    CHUNK,
+    HOT_ROWS,
+    chunked,
+    newest,
+    with_previous,
+    with_running,
+    with_totals,
+)
 from plumbline.streaming.stateful import MAX_ACCUMULATED, MAX_WINDOW_BYTES, MAX_WINDOW_ITEMS
 
 
@@ -89,24 +97,24 @@ def accumulate(
     full = F.lit(overflow == "error") & (F.col(seq) > limit)
     error = F.when(~regular & F.col("_seen").isNull(), "ACC006").when(~regular, "ACC003").when(full, "ACC004")
     judged = before.withColumn("_error", error)
-    # what follows the first error of a source is not accepted: a running count in the same partitioning
+    # what follows the first error of a source is not accepted, and a repeated delivery (step 0) is not an item
     failed = F.when(F.col("_error").isNotNull(), 1).otherwise(0).cast("bigint")
     counted = with_running(judged, keys, arrival, {"_errors": failed})
-    # a repeated delivery has step 0 and is not an item
-    new = F.col("_seen").isNull() | (step == 1)
-    held = newest(counted.where((F.col("_errors") == 0) & new), keys, arrival, limit)
-    totals = held.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("items"), F.max(seq).alias("sequence"), F.sum(item).cast("bigint").alias("total")
+    accepted = (F.col("_errors") == 0) & (F.col("_seen").isNull() | (step == 1))
+    # accepted numbers count 1, 2, 3..., so the last `limit` of them are the held items
+    reached = with_totals(
+        counted.withColumn("_accepted", accepted), keys, {"_sequence": F.max(F.when(F.col("_accepted"), F.col(seq)))}
     )
-    stops = judged.groupBy(*keys).agg(F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col(arrival))).alias("error"))
+    held = F.col("_accepted") & (F.col(seq) > F.col("_sequence") - limit)
     zero = F.lit(0).cast("bigint")
-    return stops.join(totals, list(keys), "left").select(
-        *keys,
-        F.coalesce("items", zero).alias("items"),
-        F.coalesce("sequence", zero).alias("sequence"),
-        (F.coalesce("sequence", zero) - F.coalesce("items", zero)).alias("dropped"),
-        F.coalesce("total", zero).alias("total"),
-        "error",
+    folded = reached.groupBy(*keys).agg(
+        F.count_if(held).alias("items"),
+        F.coalesce(F.max("_sequence"), zero).alias("sequence"),
+        F.coalesce(F.sum(F.when(held, F.col(item))), zero).cast("bigint").alias("total"),
+        F.min(F.when(F.col("_error").isNotNull(), F.struct(F.col(arrival), F.col("_error").alias("code")))).alias("_stop"),
+    )
+    return folded.select(
+        *keys, "items", "sequence", (F.col("sequence") - F.col("items")).alias("dropped"), "total", F.col("_stop.code").alias("error")
     )
 
 

@@ -11,7 +11,9 @@ from plumbline.guards import require_between, require_columns, require_kind, req
 def stream_filter(df: DataFrame, path: str, literal: object) -> DataFrame:
     """Events whose field equals the literal. A field absent from the schema or from an event fails."""
     require_columns(df, [path.split(".")[0]])
-    return df.where(required(F.col(path), f"event has no {path}") == F.lit(literal))
+    # the first filter can be pushed into the scan, the second refuses the events without the field
+    kept = df.where((F.col(path) == F.lit(literal)) | F.col(path).isNull())
+    return kept.where(required(F.col(path), f"event has no {path}") == F.lit(literal))
 
 
 def stream_map(df: DataFrame, *paths: str) -> DataFrame:

@@ -57,6 +57,10 @@ def test_neighbours(table):
     plain_and_chunked(table, lambda df: ordered.with_neighbours(df, ["key"], "at", rare, "b", "a"))
 
 
+def test_totals(table):
+    plain_and_chunked(table, lambda df: ordered.with_totals(df, ["key"], {"n": F.count("v"), "top": F.max("at")}))
+
+
 def test_newest(table):
     for ascending in (False, True):
         plain_and_chunked(table, lambda df: ordered.newest(df, ["key"], "at", 5, ascending=ascending))
@@ -96,6 +100,7 @@ def test_ordered_reduce_is_independent_of_spans(table):
 
 OPERATORS = {
     "repeats": lambda df, o: series.collapse_repeats(df, ["key"], "at", ["m"], 30, **o),
+    "coverage": lambda df, o: series.gap_coverage(df, ["key"], "at", F.col("v") > 5, 300, **o),
     "gaps": lambda df, o: series.gap_samples(df, ["key"], "at", **o),
     "recent": lambda df, o: series.recent_n(df, 6, "at", ["key"], **o),
     "audit": lambda df, o: series.sequence_audit(df, ["key"], "v", "at", **o),
@@ -111,8 +116,8 @@ OPERATORS = {
 def test_operators_ignore_hot_keys_and_partitions(spark, table, name, monkeypatch):
     known = table.where("key is not null")
     want = rows(OPERATORS[name](known, {}))
-    for function in (ordered.chunked,):
-        monkeypatch.setattr(function, "__defaults__", (20, 16, None))
+    monkeypatch.setattr(ordered.chunked, "__defaults__", (20, 16))
+    monkeypatch.setattr(ordered.chunk_hot, "__defaults__", (16,))
     assert rows(OPERATORS[name](known, HOT)) == want
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
