@@ -50,6 +50,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+_BLOCK = 64
+
+
+def offsets(sizes: Column) -> Column:
+    """Start of each element when elements of these sizes lie one after the other (an exclusive running sum).
+
+    Stays inside the row, so spans of a text need no shuffle. Sums are taken per block of elements first: the work
+    is elements times block size, not elements squared.
+    """
+    total = lambda items: F.reduce(items, F.lit(0).cast("bigint"), lambda n, size: n + size)
+    block = lambda index: F.call_function("div", index, F.lit(_BLOCK)).cast("int")
+
+    def within(s: Column) -> Column:
+        count = block(F.size(s) - 1) + 1
+        blocks = F.transform(F.sequence(F.lit(1), count), lambda j: total(F.slice(s, (j - 1) * _BLOCK + 1, F.lit(_BLOCK))))
+        heads = let(blocks, lambda b: F.transform(b, lambda _, j: total(F.slice(b, F.lit(1), j))))
+        return let(
+            heads,
+            lambda h: F.transform(
+                s, lambda _, i: F.get(h, block(i)) + total(F.slice(s, block(i) * _BLOCK + 1, i - block(i) * _BLOCK))
+            ),
+        )
+
+    return let(sizes, lambda s: F.when(F.size(s) > 0, within(s)).otherwise(F.array().cast("array<bigint>")))
+
+
 def line_items(text: Column) -> Column:
     """Lines by LF or CRLF; a lone CR is content, a final line end adds no empty line, empty text has no lines."""
     parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
@@ -131,30 +157,21 @@ def strip_ansi(text: Column) -> Column:
 
 def ansi_spans(text: Column) -> Column:
     """Kept runs of :func:`strip_ansi` as half-open UTF-8 byte ranges in the input and in the output."""
-    kept = F.split(text, _TERMINAL, -1)
-    cut = F.regexp_extract_all(text, F.lit(_TERMINAL), F.lit(0))
-    parts = F.struct(
-        F.transform(kept, F.octet_length).alias("kept_bytes"),
-        F.transform(cut, F.octet_length).alias("cut_bytes"),
+    kept = F.transform(F.split(text, _TERMINAL, -1), lambda run: F.octet_length(run).cast("bigint"))
+    cut = F.transform(F.regexp_extract_all(text, F.lit(_TERMINAL), F.lit(0)), lambda run: F.octet_length(run).cast("bigint"))
+    # nothing was cut before the first run
+    skipped = offsets(F.concat(cut, F.array(F.lit(0).cast("bigint"))))
+    runs = F.arrays_zip(kept.alias("size"), offsets(kept).alias("out"), skipped.alias("skipped"))
+    spans = F.transform(
+        runs,
+        lambda r: F.struct(
+            (r["out"] + r["skipped"]).alias("input_start"),
+            (r["out"] + r["skipped"] + r["size"]).alias("input_end"),
+            r["out"].alias("output_start"),
+            (r["out"] + r["size"]).alias("output_end"),
+        ),
     )
-
-    def total(sizes: Column, count: Column) -> Column:
-        return F.reduce(F.slice(sizes, F.lit(1), count), F.lit(0).cast("bigint"), lambda n, size: n + size)
-
-    def spans(p: Column) -> Column:
-        def span(size: Column, index: Column) -> Column:
-            out = total(p["kept_bytes"], index)
-            start = out + total(p["cut_bytes"], index)
-            return F.struct(
-                start.alias("input_start"),
-                (start + size).alias("input_end"),
-                out.alias("output_start"),
-                (out + size).alias("output_end"),
-            )
-
-        return F.filter(F.transform(p["kept_bytes"], span), lambda s: s["input_end"] > s["input_start"])
-
-    return let(parts, spans)
+    return F.filter(spans, lambda s: s["input_end"] > s["input_start"])
 
 
 def decode_utf8(data: Column, lossy: bool = False) -> Column:

@@ -23,7 +23,6 @@ from plumbline.operators.ordered import (
     with_neighbours,
     with_previous,
     with_running,
-    with_totals,
 )
 
 MAX_SERIES = 8
@@ -186,19 +185,24 @@ def gap_coverage(
     df: DataFrame, keys: Sequence[str], seq: str, failed: Column, keep: int = 120, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per key over its last ``keep`` sequence values: samples, gaps, omitted, coverage [first, last + 1), errors."""
-    placed = chunked(df.withColumn("_failed", failed), keys, seq, hot_rows)
-    extent = with_totals(placed, keys, {"_last": F.max(seq), "_all": F.count(F.lit(1))})
-    kept = extent.where(F.col(seq) > F.col("_last") - keep)
-    flagged = _gaps(kept, keys, seq)
+    # sequence values are unique, so the last `keep` of them are among the newest `keep` rows: each task drops the
+    # rest before the shuffle
+    recent = newest(chunked(df.withColumn("_failed", failed), keys, seq, hot_rows), keys, seq, keep).drop(CHUNK, "_rank")
+    last = F.max(seq).over(Window.partitionBy(*keys))
+    flagged = _gaps(recent.withColumn("_last", last).where(F.col(seq) > F.col("_last") - keep), keys, seq)
     totals = flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if("gap").alias("gaps"),
-        (F.max("_all") - F.count(F.lit(1)) + F.sum("missing")).cast("bigint").alias("omitted"),
+        F.sum("missing").alias("_missing"),
         F.min(seq).alias("coverage_start"),
         (F.max(seq) + 1).alias("coverage_end"),
         F.count_if("_failed").alias("errors"),
     )
-    return totals
+    everything = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    omitted = (F.col("_all") - F.col("samples") + F.col("_missing")).cast("bigint")
+    return totals.join(everything, list(keys)).select(
+        *keys, "samples", "gaps", omitted.alias("omitted"), "coverage_start", "coverage_end", "errors"
+    )
 
 
 def sequence_audit(df: DataFrame, keys: Sequence[str], seq: str, arrival: str, hot_rows: int = HOT_ROWS) -> DataFrame:

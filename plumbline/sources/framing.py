@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import items_table
+from plumbline.functions.text import items_table, let, offsets
 from plumbline.guards import LimitError, refuse_when, require_between, require_kind
 
 MAX_EXCERPT = 4096
@@ -21,36 +21,33 @@ def read_lines(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFra
 def frame_lines(df: DataFrame, key: str, text: str, delimiter: str | None = None) -> DataFrame:
     """Records of a text column by LF/CRLF (or a literal delimiter) with half-open byte spans.
 
-    Spans are running sums per document; a document is one cell, so a partition is bounded by the cell size.
+    A document is one cell: it is split and measured inside its row and exploded afterwards, without a shuffle.
     """
     require_kind(df, text, "Text")
     separator = "\n" if delimiter is None else delimiter
-    split = df.select(key, F.split(text, f"\\Q{separator}\\E", -1).alias("_parts"))
-    rows = split.select(key, F.size("_parts").alias("_n"), F.posexplode("_parts").alias("ordinal", "_part"))
-    part, open_end = F.col("_part"), F.col("ordinal") == F.col("_n") - 1
+    width = len(separator.encode())
+    measured = let(
+        F.split(text, f"\\Q{separator}\\E", -1),
+        lambda parts: F.arrays_zip(
+            parts.alias("part"),
+            offsets(F.transform(parts, lambda p: (F.octet_length(p) + width).cast("bigint"))).alias("start"),
+            F.transform(parts, lambda _, i: i == F.size(parts) - 1).alias("open"),
+        ),
+    )
+    rows = items_table(df.select(key, text), measured, "_f", "ordinal")
+    part, start, open_end = F.col("_f.part"), F.col("_f.start"), F.col("_f.open")
     cr = ~open_end & part.endswith("\r") if delimiter is None else F.lit(False)
-    width = F.when(open_end, 0).when(cr, len(separator.encode()) + 1).otherwise(len(separator.encode()))
+    content = F.when(cr, F.left(part, F.length(part) - 1)).otherwise(part)
     # nothing follows a final delimiter, and empty text has no record
-    framed = rows.where(~(open_end & (part == ""))).select(
-        key,
-        F.col("ordinal").cast("bigint").alias("ordinal"),
-        F.when(cr, F.left(part, F.length(part) - 1)).otherwise(part).alias("text"),
-        width.cast("bigint").alias("_width"),
-        open_end.alias("unterminated"),
-    )
-    size = F.octet_length("text").cast("bigint")
-    upto = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = framed.withColumn("delimiter_end", F.sum(size + F.col("_width")).over(upto))
-    end = F.col("delimiter_end") - F.col("_width")
-    return placed.select(
+    return rows.where(~(open_end & (part == ""))).select(
         key,
         "ordinal",
-        (end - size).alias("start"),
-        end.alias("end"),
-        "delimiter_end",
-        "text",
-        F.contains(F.col("text"), F.lit("\ufffd")).alias("lossy"),
-        "unterminated",
+        start.alias("start"),
+        (start + F.octet_length(content)).alias("end"),
+        (start + F.octet_length(part) + F.when(open_end, 0).otherwise(width)).alias("delimiter_end"),
+        content.alias("text"),
+        F.contains(content, F.lit("\ufffd")).alias("lossy"),
+        open_end.alias("unterminated"),
     )
 
 
