@@ -23,7 +23,9 @@ def latest_match(
     latest = observations.groupBy(node).agg(
         F.max_by(F.struct(F.col(state).alias("state"), F.col(run).alias("run")), seq).alias("_latest")
     )
-    joined = results.join(latest, node, "left")
+    # one row per (node, run) before the join, so a node with many results does not weigh on it
+    last = results.groupBy(node, run).agg(F.max(seq).alias(seq), F.max_by(handle, seq).alias(handle))
+    joined = last.join(latest, node, "left")
     matches = F.col("_latest").isNull() | ((F.col("_latest.state") == "Ready") & (F.col("_latest.run") == F.col(run)))
     return joined.where(matches).groupBy(node).agg(
         F.max_by(run, seq).alias(run), F.max_by(handle, seq).alias(handle)

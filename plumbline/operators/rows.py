@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.guards import (
@@ -99,6 +99,18 @@ def sort_by(df: DataFrame, key: str, tie: str, numbered: bool = False) -> DataFr
     return position(present, key, tie) if numbered else present.orderBy(key, tie)
 
 
+# positions up to this one are found by a bounded top-n instead of ordering the whole table
+TOP_ROWS = 10_000
+
+
+def first_positions(df: DataFrame, end: int, *order: Column | str) -> DataFrame:
+    """At least the rows before position ``end`` under a total order, with their ``position``."""
+    if end > TOP_ROWS:
+        return position(df, *order)
+    top = df.orderBy(*order).limit(end)
+    return top.withColumn("position", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+
+
 def take(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows under an order: a bounded top-n per task, then one merge."""
     require_between("n", n, 0, 1 << 31)
@@ -114,11 +126,10 @@ def skip(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 def slice_rows(df: DataFrame, start: int, end: int, *order: Column | str) -> DataFrame:
     """Rows [start, end) under a total order; an end past the table fails."""
     require_between("start", start, 0, end)
-    placed = position(df, *order)
-    total = placed.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
-    checked = refuse_when(total < end, F.col("position"), "slice bounds lie outside the list")
+    total = df.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     inside = (F.col("position") >= start) & (F.col("position") < end)
-    return placed.where(inside).withColumn("position", checked)
+    checked = refuse_when(total < end, F.col("position"), "slice bounds lie outside the list")
+    return first_positions(df, end, *order).where(inside).withColumn("position", checked)
 
 
 def concat(first: DataFrame, second: DataFrame, source: str = "part") -> DataFrame:
@@ -148,8 +159,8 @@ def value_page(df: DataFrame, offset: int, limit: int, *order: Column | str) ->
     """Rows [offset, offset + limit) under a total order with count, total and the next offset (null at the end)."""
     require_between("offset", offset, 0, 1 << 62)
     require_between("limit", limit, 1, 1000)
-    placed = position(df, *order)
-    total = placed.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = first_positions(df, offset + limit, *order)
+    total = df.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     end = F.least(F.lit(offset + limit).cast("bigint"), total)
     inside = (F.col("position") >= offset) & (F.col("position") < offset + limit)
     return placed.where(inside).withColumns(

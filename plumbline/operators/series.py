@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -358,25 +359,44 @@ def nearest_join(
 
 
 def range_correlate(
-    selections: DataFrame, sources: dict[str, DataFrame], at: str, start_us: str, end_us: str, bucket_us: int
+    selections: DataFrame,
+    sources: dict[str, DataFrame],
+    at: str,
+    start_us: str,
+    end_us: str,
+    bucket_us: int,
+    hot_rows: int = HOT_ROWS,
+    salts: int = 64,
 ) -> DataFrame:
     """Events of every source inside each selected interval [start, end).
 
     An equi-join on time buckets with the half-open predicate as residual: an interval takes one row per bucket it
-    touches, an event exactly one, so no pair is produced twice. AQE splits an oversized bucket.
+    touches, an event exactly one, so no pair is produced twice. Events of a bucket with more than ``hot_rows`` rows
+    are spread over ``salts`` parts, and only the intervals touching such a bucket are repeated per part.
     """
-    merged = None
-    for name, rows in sources.items():
-        tagged = rows.withColumn("source", F.lit(name))
-        merged = tagged if merged is None else merged.unionByName(tagged)
+    merged = reduce(
+        lambda a, b: a.unionByName(b), [rows.withColumn("source", F.lit(name)) for name, rows in sources.items()]
+    )
     width = F.lit(bucket_us).cast("bigint")
     floor = lambda c: F.call_function("div", c - F.pmod(c, width), width)
     events = merged.withColumn("at_us", F.unix_micros(at)).withColumn("_bucket", floor(F.col("at_us")))
     nonempty = selections.where(F.col(start_us) < F.col(end_us))
     buckets = F.sequence(floor(F.col(start_us)), floor(F.col(end_us) - 1))
     wanted = nonempty.withColumn("_bucket", F.explode(buckets))
+    on = ["_bucket"]
+    hot = find_hot(events, on, hot_rows)
+    if hot is not None:
+        on.append("_salt")
+        marked = hot.withColumn("_hot", F.lit(True))
+        # by row number rather than by content, so that copies of one event spread too; any part is a right one
+        part = F.when(F.col("_hot"), F.pmod("_row", F.lit(salts))).otherwise(0).cast("int")
+        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        # at most rows / hot_rows buckets are hot
+        events = events.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(marked), "_bucket", "left")
+        events = events.withColumn("_salt", part).drop("_hot", "_row")
+        wanted = wanted.join(F.broadcast(marked), "_bucket", "left").withColumn("_salt", F.explode(every)).drop("_hot")
     inside = (F.col("at_us") >= F.col(start_us)) & (F.col("at_us") < F.col(end_us))
-    return events.join(wanted, "_bucket").where(inside).drop("_bucket")
+    return events.join(wanted, on).where(inside).drop("_bucket", "_salt")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, **sums: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import exact, temporal, text, values
+from plumbline.functions.definitions import define
 from plumbline.plans.common import LINE_KEYS, E, L, events, half_even, lines, plain
 from plumbline.registry import query
 from plumbline.session import load
@@ -79,6 +80,33 @@ def decimal(spark, sf):
     return plain(df)
 
 
+@query(
+    "text",
+    f"""WITH {E} SELECT event_id, CAST(cents AS VARCHAR) AS from_int, printf('%d.%02d', cents // 100, cents % 100) AS from_decimal,
+      CASE WHEN k > 50 THEN 'true' ELSE 'false' END AS from_bool, event_type || '/' || k AS joined FROM e""",
+)
+def text_(spark, sf):
+    amount = (F.col("cents").cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)")
+    return events(spark, sf).select(
+        "event_id",
+        F.col("cents").cast("string").alias("from_int"),
+        amount.cast("string").alias("from_decimal"),
+        (F.col("k") > 50).cast("string").alias("from_bool"),
+        F.concat("event_type", F.lit("/"), F.col("k").cast("string")).alias("joined"),
+    )
+
+
+@define("Decimal", total="Int", parts="Int")
+def share(total, parts):
+    return exact.round_div(total, F.greatest(parts, F.lit(1)), 1)
+
+
+@query("define", f"WITH {E} SELECT event_id, {half_even('cents', 'CASE WHEN k < 1 THEN 1 ELSE k END', 1)} AS share FROM e")
+def define_(spark, sf):
+    df = events(spark, sf)
+    return plain(df.select("event_id", share.over(df, total=F.col("cents"), parts=F.col("k")).alias("share")))
+
+
 _DAY = 86_400_000_000
 
 

@@ -150,6 +150,13 @@ def scan_stream(spark, sf):
     return runs.run_to_table(stream, "scan")
 
 
+@query("scan_batches", _RECORDS)
+def scan_batches(spark, sf):
+    rows = event_stream(spark, sf).select("event_id", "user_id", "cents")
+    folder = publish.scan_records_batches(rows, ["user_id"], "event_id", "cents")
+    return spark.read.parquet(f"{folder}/outputs/generation=*").select("event_id", "user_id", "cents", "count", "sum")
+
+
 _LIMITS = {"input_records": 40, "input_charge": 350, "output_records": 12}
 _RAISED = {"input_records": 60, "input_charge": 500, "output_records": 20}
 

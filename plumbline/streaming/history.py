@@ -118,15 +118,45 @@ def accumulate(
     )
 
 
-def scan_records(df: DataFrame, keys: Sequence[str], order: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+RECORD_STATE = ("count", "sum", "peak")
+
+
+def scan_records(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, state: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Scan whose state is (count, sum, peak) per key and whose outputs are the rows above every earlier value.
 
     The state is a running aggregate, so rows of one key are folded in parallel and carried over chunk borders.
+    ``state`` holds what earlier rows left behind, one row per key, see :func:`record_state`.
     """
     placed = chunked(df, keys, order, hot_rows)
     peaked = with_running(placed, keys, order, {"_peak": value}, maximum=True, inclusive=False)
-    state = with_running(peaked, keys, order, {"count": F.lit(1).cast("bigint"), "sum": value})
-    return state.where(F.col("_peak").isNull() | (F.col(value) > F.col("_peak"))).drop("_peak", CHUNK)
+    running = with_running(peaked, keys, order, {"count": F.lit(1).cast("bigint"), "sum": value}).drop(CHUNK)
+    if state is not None:
+        earlier = state.select(*keys, *[F.col(n).alias(f"_s_{n}") for n in RECORD_STATE])
+        zero = F.lit(0).cast("bigint")
+        running = running.join(earlier, list(keys), "left").withColumns(
+            {
+                "_peak": F.greatest("_peak", "_s_peak"),
+                "count": F.col("count") + F.coalesce("_s_count", zero),
+                "sum": F.col("sum") + F.coalesce("_s_sum", zero),
+            }
+        )
+        running = running.drop(*[f"_s_{n}" for n in RECORD_STATE])
+    return running.where(F.col("_peak").isNull() | (F.col(value) > F.col("_peak"))).drop("_peak")
+
+
+def record_state(df: DataFrame, keys: Sequence[str], value: str, state: DataFrame | None = None) -> DataFrame:
+    """State of :func:`scan_records` after these rows: partial states merge by addition and maximum."""
+    fresh = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(value).cast("bigint").alias("sum"), F.max(value).alias("peak")
+    )
+    if state is None:
+        return fresh
+    merged = state.select(*fresh.columns).unionByName(fresh)
+    return merged.groupBy(*keys).agg(
+        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.max("peak").alias("peak")
+    )
 
 
 def _within_bounds(df, keys, order, size, produces, limits, debits, hot_rows) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.guards import require_between, strict_bool
 from plumbline.sources import datasets
+from plumbline.streaming import history
 from plumbline.streaming.runs import BATCH_BYTES, run_batches
 
 
@@ -66,6 +67,28 @@ def live_rollup(stream: DataFrame, seq: str, keep: int, rollup, folder: str | No
     return run_batches(stream, "rollup", step, folder)
 
 
+def scan_records_batches(
+    stream: DataFrame, keys: Sequence[str], order: str, value: str, folder: str | None = None
+) -> str:
+    """The scan of :func:`history.scan_records` over large micro-batches, parallel also inside a hot key.
+
+    Each batch writes its outputs and the merged state as its own generation and starts from the state of the one
+    before, so a repeated batch changes nothing. Returns the folder: ``outputs/generation=N`` and
+    ``state/generation=N``. State is rewritten per batch; with many small keys :func:`stateful.scan_stream` touches
+    less of it.
+    """
+
+    def step(batch: DataFrame, batch_id: int, where: str) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{where}/state/generation={batch_id - 1}") if batch_id > 0 else None
+        outputs = history.scan_records(batch, keys, order, value, before)
+        outputs.write.mode("overwrite").parquet(f"{where}/outputs/generation={batch_id}")
+        state = history.record_state(batch, keys, value, before)
+        state.write.mode("overwrite").parquet(f"{where}/state/generation={batch_id}")
+
+    return run_batches(stream, "scan", step, folder)
+
+
 def latest_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """The roll-up of the last completed publication."""
     table = spark.read.option("basePath", f"{folder}/rollup").parquet(f"{folder}/rollup/generation=*")

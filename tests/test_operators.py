@@ -5,6 +5,7 @@ from helpers import fails, one, rows
 from pyspark.sql import functions as F
 
 from plumbline.functions import codes
+from plumbline.functions.definitions import define
 from plumbline.guards import KindError, LimitError
 from plumbline.operators import contracts as c
 from plumbline.operators import journal, lineage, series, summaries
@@ -211,3 +212,32 @@ def test_range_correlation_has_no_double_pairs(spark):
     got = series.range_correlate(picks, {"e": events}, "ts", "from_us", "to_us", 64)
     want = sorted((p, t) for p, a, b in ((1, 0, 500), (2, 499, 501), (3, 600, 600)) for t in range(0, 1000, 7) if a <= t < b)
     assert sorted((x.pick, x.id) for x in got.collect()) == want
+    salted = series.range_correlate(picks, {"e": events}, "ts", "from_us", "to_us", 64, hot_rows=9, salts=3)
+    assert rows(salted, *got.columns) == rows(got)
+
+
+def test_pages_beyond_the_top_rows(spark, monkeypatch):
+    df = spark.range(60).select((F.col("id") * 7 % 60).alias("n"))
+    near = rows(r.value_page(df, 20, 10, "n"))
+    monkeypatch.setattr(r, "TOP_ROWS", 5)
+    assert rows(r.value_page(df, 20, 10, "n")) == near
+
+
+def test_pushed_filters_keep_the_check(spark):
+    df = spark.createDataFrame([(1,), (5,)], "n bigint")
+    assert rows(r.filter_rows(df, F.col("n") > 2, reads=["n"])) == [(5,)]
+    with_null = df.unionByName(spark.createDataFrame([(None,)], "n bigint"))
+    fails(r.filter_rows(with_null, F.col("n") > 2, reads=["n"]), "did not produce a Bool")
+
+
+def test_definitions_check_kinds(spark):
+    @define("Int", a="Int")
+    def twice(a):
+        return a * 2
+
+    df = spark.range(3)
+    assert rows(df.select(twice.over(df, a=F.col("id")))) == [(0,), (2,), (4,)]
+    with pytest.raises(KindError):
+        twice.over(df, a=F.lit("x"))
+    with pytest.raises(KindError):
+        twice.over(df, b=F.col("id"))
