@@ -206,7 +206,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, starts: Column, name
 
 
 def position(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
-    """Add the global 0-based position under a total order, without a single-task sort.
+    """Add the global 0-based position under a total ascending order, without a single-task sort.
 
     Rows are range-partitioned and sorted, the partition number is frozen by a reliable checkpoint (a second
     evaluation could sample other range bounds), and per-partition offsets - one row per partition - are broadcast.

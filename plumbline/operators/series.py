@@ -334,7 +334,11 @@ def nearest_join(
     Both sides are merged by instant and ordered once; no pair of cursor and sample is formed to be thrown away.
     """
     side = lambda df, is_cursor, value: df.select(
-        *keys, F.unix_micros(at).alias("_at"), F.lit(is_cursor).alias("_cursor"), F.lit(not is_cursor).alias("_is_sample"), value.alias("_value")
+        *keys,
+        F.unix_micros(at).alias("_at"),
+        F.lit(is_cursor).alias("_cursor"),
+        F.lit(not is_cursor).alias("_is_sample"),
+        value.alias("_value"),
     )
     points = side(samples, False, sample)
     marks = side(cursors, True, F.lit(None).cast(points.schema["_value"].dataType))

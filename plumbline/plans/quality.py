@@ -117,10 +117,13 @@ def subtype(spark, sf):
     orders = _orders(spark, sf)
     narrow = record("Narrow", o_orderkey=scalar("Int", low=0), price=scalar("Decimal", low=Decimal(1000), high=Decimal(500000)))
     wide = record("Wide", o_orderkey=scalar("Int"), price=scalar("Decimal", low=Decimal(0)))
+    # the structural contract of the table itself: kinds without limits
+    structural = contracts.contract_of(orders)
     violations = orders.select(F.size(contracts.row_issues(orders, wide)).alias("n")).agg(F.sum("n").alias("violations"))
     return violations.select(
         F.lit(contracts.subtype(narrow, wide)).alias("narrow_fits_wide"),
         F.lit(contracts.subtype(wide, narrow)).alias("wide_fits_narrow"),
+        F.lit(contracts.subtype(structural, wide)).alias("table_fits_wide"),
         "violations",
     )
 

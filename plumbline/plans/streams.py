@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.text import line_items
+from plumbline.functions.values import json_field
 from plumbline.plans.aggregates import _HEALTH, _STATE, health_of
 from plumbline.plans.common import E, events, with_amounts
 from plumbline.plans.ordered import AUDIT_SQL, DELIVERY, deliveries
 from plumbline.registry import query
 from plumbline.session import load, run_folder
-from plumbline.sources import datasets
+from plumbline.sources import datasets, framing
 from plumbline.streaming import history, publish, runs, stateful, stateless
 
 
@@ -77,9 +79,16 @@ def _sized(df):
     return df.select("user_id", F.col("event_id").alias("seq"), (F.octet_length("props").cast("bigint") + F.col("k")).alias("size"))
 
 
-@query("rolling_window", _WINDOW)
+@query(
+    "rolling_window",
+    f"""SELECT *, CASE WHEN omitted > 0 THEN 'Stream window omitted ' || omitted || ' older items.' ELSE '' END ||
+      CASE WHEN omitted > 0 AND rejected > 0 THEN ' ' ELSE '' END ||
+      CASE WHEN rejected > 0 THEN 'Stream rejected ' || rejected || ' invalid items.' ELSE '' END AS cautions FROM ({_WINDOW})""",
+)
 def rolling_window(spark, sf):
-    return history.rolling_window(_sized(events(spark, sf)), ["user_id"], "seq", "size", 25, 100)
+    window = history.rolling_window(_sized(events(spark, sf)), ["user_id"], "seq", "size", 25, 100)
+    cautions = history.loss_cautions(F.col("omitted"), F.col("rejected"))
+    return window.withColumn("cautions", F.array_join(cautions, " "))
 
 
 @query("rolling_window_stream", _WINDOW)
@@ -277,3 +286,27 @@ def csv_files(spark, sf):
     datasets.export_csv(docs, path)
     options = {"quote": '"', "escape": '"', "multiLine": True, "lineSep": "\r\n"}
     return spark.read.schema("doc_id bigint, text string").options(**options).csv(path)
+
+
+@query(
+    "text_files",
+    "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(*) AS n FROM l GROUP BY line",
+)
+def text_files(spark, sf):
+    """Document lines written as text files with CRLF ends and read back as records."""
+    path = run_folder(spark, "text")
+    lines = load(spark, sf, "documents").select(F.explode(line_items(F.col("text"))).alias("line"))
+    lines.write.option("lineSep", "\r\n").text(path)
+    return framing.read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("json_files", f"WITH {E} SELECT user_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM e GROUP BY user_id")
+def json_files(spark, sf):
+    """Events written as one JSON value per line and read back, every line checked."""
+    path = run_folder(spark, "json")
+    events(spark, sf).select(F.to_json(F.struct("user_id", "k")).alias("line")).write.text(path)
+    value = F.col("value")
+    read = framing.read_json_lines(spark, path).select(
+        json_field(value, "$.user_id", "bigint").alias("user_id"), json_field(value, "$.k", "bigint").alias("k")
+    )
+    return read.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))

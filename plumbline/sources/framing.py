@@ -6,16 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import items_table, let, offsets
+from plumbline.functions.values import parse_json
 from plumbline.guards import LimitError, refuse_when, require_between, require_kind
 
 MAX_EXCERPT = 4096
 
 
 def read_lines(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFrame:
-    """Records of text files as ``value``; files are split by Spark at the delimiter."""
+    """Records of text files as ``value``, by LF/CRLF or a literal delimiter; Spark splits large files.
+
+    A lone CR is content. Line records carry no spans: files are read in parallel parts.
+    """
     if not delimiter:
         raise LimitError("delimiter must not be empty")
-    return spark.read.option("lineSep", delimiter).text(path)
+    rows = spark.read.option("lineSep", delimiter).text(path)
+    if delimiter != "\n":
+        return rows
+    value = F.col("value")
+    return rows.withColumn("value", F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value))
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON value per line as a VARIANT ``value``; every line must be valid, blank ones included."""
+    return read_lines(spark, path).select(parse_json(F.col("value")).alias("value"))
 
 
 def frame_lines(df: DataFrame, key: str, text: str, delimiter: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from plumbline.guards import KindError, LimitError
 from plumbline.operators import contracts as c
 from plumbline.operators import journal, lineage, series, summaries
 from plumbline.operators import rows as r
+from plumbline.sources import framing
 
 
 def requests(spark, data):
@@ -241,3 +242,17 @@ def test_definitions_check_kinds(spark):
         twice.over(df, a=F.lit("x"))
     with pytest.raises(KindError):
         twice.over(df, b=F.col("id"))
+
+
+def test_shapes_without_data(spark):
+    df = spark.range(1).select("id", F.array(F.lit("a")).alias("tags"))
+    assert r.shape_only(df) == [("id", "bigint"), ("tags", "array<string>")]
+    contract = c.contract_of(df)
+    assert c.subtype(contract, c.record("R", tags=c.list_of(c.scalar("Text"))))
+    assert not c.subtype(contract, c.record("R", tags=c.list_of(c.scalar("Int"))))
+
+
+def test_text_and_json_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\rstill two\n\nlast")
+    assert sorted(x.value for x in framing.read_lines(spark, str(tmp_path)).collect()) == ["", "last", "one", "two\rstill two"]
+    fails(framing.read_json_lines(spark, str(tmp_path)), "not valid JSON")
