@@ -334,14 +334,14 @@ def join_text(spark, sf):
 
 @query(
     "slice_text",
-    "SELECT doc_id, substring(text, 2, 15) AS part, substring(text, 3, 1) AS third, (string_split(text, ' '))[1] AS first_word FROM documents",
+    "SELECT doc_id, substring(text, 2, 15) AS part, left(text, 1) AS initial, (string_split(text, ' '))[1] AS first_word FROM documents",
 )
 def slice_text(spark, sf):
     t = F.col("text")
     return load(spark, sf, "documents").select(
         "doc_id",
         text.slice_text(t, F.lit(1), F.least(F.lit(16), F.length(t))).alias("part"),
-        text.char_at(t, F.lit(2)).alias("third"),
+        text.char_at(t, F.lit(0)).alias("initial"),
         values.element(F.split(t, " "), F.lit(0)).alias("first_word"),
     )
 
