@@ -22,6 +22,8 @@ from plumbline.session import reliable_checkpoint
 HOT_ROWS = 1 << 22
 CHUNK_SPAN = 1 << 22
 CHUNK = "_chunk"
+NULLS = "_null_keys"
+MARKS = (CHUNK, NULLS)  # columns to drop once the ordered steps are done
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -56,7 +58,9 @@ def chunk_hot(
     if hot is None:
         return df
     marked = _mark_hot(df, hot, keys)
-    return marked.withColumn(CHUNK, F.when(F.col("_hot"), number)).drop("_hot")
+    chunks = marked.withColumn(CHUNK, F.when(F.col("_hot"), number)).drop("_hot")
+    missing = hot.where(reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys]))
+    return chunks if missing.isEmpty() else chunks.withColumn(NULLS, F.lit(True))
 
 
 def co_located(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
@@ -96,7 +100,10 @@ def _per_chunk(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataF
 
 
 def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _lookup(df, carried, [*keys, CHUNK])
+    # plain equality keeps the partitioning of the windows; only a hot null key needs the null-safe join
+    if NULLS in df.columns:
+        return _lookup(df, carried, [*keys, CHUNK])
+    return df.join(carried, [*keys, CHUNK], "left")
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, fields: Mapping[str, Column | str]) -> DataFrame:
@@ -156,25 +163,26 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: str, value: Column, before: str, after: str) -> DataFrame:
     """Add the nearest non-null ``value`` at or before each row and the nearest one at or after it."""
-    window = _within(df, keys, order)
-    back, ahead = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    # what follows is looked up against the order: a frame that ends after the row would be read again for every row
+    so_far = (Window.unboundedPreceding, 0)
     local = df.withColumns(
         {
-            "_near_b": F.last(value, ignorenulls=True).over(window.rowsBetween(*back)),
-            "_near_a": F.first(value, ignorenulls=True).over(window.rowsBetween(*ahead)),
+            "_near_b": F.last(value, ignorenulls=True).over(_within(df, keys, order).rowsBetween(*so_far)),
+            "_near_a": F.last(value, ignorenulls=True).over(_within(df, keys, F.desc(order)).rowsBetween(*so_far)),
         }
     )
     result = {before: F.col("_near_b"), after: F.col("_near_a")}
     if is_chunked(df):
         known = F.when(value.isNotNull(), F.col(order))
         ends = _per_chunk(df, keys, F.max_by(value, known).alias("_end"), F.min_by(value, known).alias("_start"))
-        earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-        later = _across(keys).rowsBetween(1, Window.unboundedFollowing)
+        until = (Window.unboundedPreceding, -1)
+        earlier = _across(keys).rowsBetween(*until)
+        later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(*until)
         carried = ends.select(
             *keys,
             CHUNK,
             F.last("_end", ignorenulls=True).over(earlier).alias("_carry_b"),
-            F.first("_start", ignorenulls=True).over(later).alias("_carry_a"),
+            F.last("_start", ignorenulls=True).over(later).alias("_carry_a"),
         )
         local = _attach(local, carried, keys)
         result = {before: F.coalesce("_near_b", "_carry_b"), after: F.coalesce("_near_a", "_carry_a")}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exact import round_div_half_up
 from plumbline.guards import refuse_when, require_between
 from plumbline.operators.ordered import (
-    CHUNK,
+    MARKS,
     CHUNK_SPAN,
     HOT_ROWS,
     chunk_hot,
@@ -36,7 +36,7 @@ def recent_n(df: DataFrame, n: int, seq: str, keys: Sequence[str] = (), hot_rows
     if not keys:
         last = df.groupBy().agg(F.max(seq).alias("last")).scalar()
         return df.where(F.col(seq) > last - n)
-    return newest(chunked(df, keys, seq, hot_rows), keys, seq, n).drop(CHUNK, "_rank")
+    return newest(chunked(df, keys, seq, hot_rows), keys, seq, n).drop(*MARKS, "_rank")
 
 
 def log_tail(
@@ -56,7 +56,7 @@ def log_tail(
         kept.withColumn("truncated", more)
         .where(F.col("_rank") <= tail)
         .withColumn("reason", F.when(F.col("truncated"), "line_limit"))
-        .drop(CHUNK, "_rank")
+        .drop(*MARKS, "_rank")
     )
 
 
@@ -165,7 +165,7 @@ def collapse_repeats(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("first"), F.max(order).alias("last")
     )
     # a key has at most as many runs as rows
-    return newest(chunk_hot(runs, keys, "run", hot), keys, "run", keep).drop(CHUNK, "_rank")
+    return newest(chunk_hot(runs, keys, "run", hot), keys, "run", keep).drop(*MARKS, "_rank")
 
 
 def gap_samples(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -178,7 +178,7 @@ def _gaps(placed: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     jump = F.col(seq) - F.col("_before") - 1
     missing = F.when(F.col("_before") > 0, F.greatest(jump, F.lit(0))).otherwise(F.lit(0))
     return before.withColumn("missing", missing.cast("bigint")).withColumn("gap", F.col("missing") > 0).drop(
-        "_before", CHUNK
+        "_before", *MARKS
     )
 
 
@@ -188,7 +188,7 @@ def gap_coverage(
     """Per key over its last ``keep`` sequence values: samples, gaps, omitted, coverage [first, last + 1), errors."""
     # sequence values are unique, so the last `keep` of them are among the newest `keep` rows: each task drops the
     # rest before the shuffle
-    recent = newest(chunked(df.withColumn("_failed", failed), keys, seq, hot_rows), keys, seq, keep).drop(CHUNK, "_rank")
+    recent = newest(chunked(df.withColumn("_failed", failed), keys, seq, hot_rows), keys, seq, keep).drop(*MARKS, "_rank")
     last = F.max(seq).over(Window.partitionBy(*keys))
     flagged = _gaps(recent.withColumn("_last", last).where(F.col(seq) > F.col("_last") - keep), keys, seq)
     totals = flagged.groupBy(*keys).agg(
@@ -217,7 +217,7 @@ def sequence_audit(df: DataFrame, keys: Sequence[str], seq: str, arrival: str, h
         .when(step > 1, "gap")
         .otherwise("backward")
     )
-    return before.withColumn("verdict", verdict).drop("_before", CHUNK)
+    return before.withColumn("verdict", verdict).drop("_before", *MARKS)
 
 
 def connection_gap(df: DataFrame, keys: Sequence[str], order: str, epoch: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -225,7 +225,7 @@ def connection_gap(df: DataFrame, keys: Sequence[str], order: str, epoch: str, h
     before = with_previous(chunked(df, keys, order, hot_rows), keys, order, {"_before": epoch})
     caution = "Connection gap observed; events during disconnection were not observed."
     changed = F.col("_before").isNotNull() & (F.col("_before") != F.col(epoch))
-    return before.withColumn("caution", F.when(changed, caution)).drop("_before", CHUNK)
+    return before.withColumn("caution", F.when(changed, caution)).drop("_before", *MARKS)
 
 
 def label_key(labels: Column) -> Column:
@@ -405,4 +405,4 @@ def range_correlate(
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, **sums: Column) -> DataFrame:
     """Running sums per key that include the current row."""
-    return with_running(chunked(df, keys, order, hot_rows), keys, order, sums).drop(CHUNK)
+    return with_running(chunked(df, keys, order, hot_rows), keys, order, sums).drop(*MARKS)

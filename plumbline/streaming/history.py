@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.guards import LimitError, require_between
 from plumbline.operators.ordered import (
-    CHUNK,
+    MARKS,
     HOT_ROWS,
     chunked,
     newest,
@@ -131,7 +131,7 @@ def scan_records(
     """
     placed = chunked(df, keys, order, hot_rows)
     peaked = with_running(placed, keys, order, {"_peak": value}, maximum=True, inclusive=False)
-    running = with_running(peaked, keys, order, {"count": F.lit(1).cast("bigint"), "sum": value}).drop(CHUNK)
+    running = with_running(peaked, keys, order, {"count": F.lit(1).cast("bigint"), "sum": value}).drop(*MARKS)
     if state is not None:
         earlier = state.select(*keys, *[F.col(n).alias(f"_s_{n}") for n in RECORD_STATE])
         zero = F.lit(0).cast("bigint")
@@ -166,7 +166,7 @@ def _within_bounds(df, keys, order, size, produces, limits, debits, hot_rows) ->
         "input_charge": F.col(size).cast("bigint"),
         "output_records": F.when(produces, 1).otherwise(0).cast("bigint"),
     }
-    running = with_running(chunked(df, keys, order, hot_rows), keys, order, charges).drop(CHUNK)
+    running = with_running(chunked(df, keys, order, hot_rows), keys, order, charges).drop(*MARKS)
     if debits is not None:
         earlier = debits.select(*keys, *[F.col(n).alias(f"_d_{n}") for n in charges])
         running = running.join(earlier, list(keys), "left").select(

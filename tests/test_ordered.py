@@ -36,7 +36,7 @@ def test_only_hot_keys_are_chunked(table):
 
 def plain_and_chunked(table, function):
     plain = function(ordered.chunked(table, ["key"], "at"))
-    cut = function(ordered.chunked(table, ["key"], "at", 20, 16)).drop(ordered.CHUNK)
+    cut = function(ordered.chunked(table, ["key"], "at", 20, 16)).drop(*ordered.MARKS)
     assert rows(plain) == rows(cut)
     return plain
 
@@ -46,6 +46,13 @@ def test_previous(table):
     assert found.where("b is null").count() == 5
 
 
+def test_keys_without_nulls_join_by_equality(table):
+    known = table.where("key is not null")
+    assert ordered.NULLS not in ordered.chunked(known, ["key"], "at", 20, 16).columns
+    plain_and_chunked(known, lambda df: ordered.with_previous(df, ["key"], "at", {"b": "v"}))
+    plain_and_chunked(known, lambda df: ordered.with_running(df, ["key"], "at", {"s": "v"}))
+
+
 def test_running_sum_and_maximum(table):
     plain_and_chunked(table, lambda df: ordered.with_running(df, ["key"], "at", {"n": F.lit(1).cast("bigint"), "s": "v"}))
     plain_and_chunked(table, lambda df: ordered.with_running(df, ["key"], "at", {"s": "v"}, inclusive=False))
