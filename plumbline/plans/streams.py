@@ -1,5 +1,6 @@
 """Datasets and streams: every stream runs as a Structured Streaming job over the event files."""
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,12 +142,13 @@ def scan(spark, sf):
     return history.scan_records(df, ["user_id"], "event_id", "cents")
 
 
-def _record_step(state, row):
+def _record_step(state, frame):
     count, total, peak = state
-    count, total = count + 1, total + row.cents
-    if row.cents > peak:
-        return (count, total, row.cents), [(row.event_id, row.cents, count, total)]
-    return (count, total, peak), []
+    value = frame["cents"].to_numpy()
+    highest = np.maximum.accumulate(np.concatenate(([peak], value)))
+    outputs = frame.assign(count=count + np.arange(1, len(frame) + 1), sum=total + value.cumsum())
+    state = (count + len(frame), int(total + value.sum()), int(highest[-1]))
+    return state, outputs[value > highest[:-1]]
 
 
 @query("scan_stream", _RECORDS)
@@ -209,15 +211,14 @@ def sequence_audit_stream(spark, sf):
     return runs.run_to_table(stream, "audit")
 
 
-def _audit_step(state, row):
+def _audit_step(state, frame):
+    seq = frame["seq"].to_numpy()
     (seen,) = state
+    step = np.diff(seq, prepend=seq[0] if seen is None else seen)
+    verdict = np.select([step == 1, step == 0, step > 1], ["next", "duplicate", "gap"], "backward")
     if seen is None:
-        verdict = "first"
-    elif row.seq == seen + 1:
-        verdict = "next"
-    else:
-        verdict = "duplicate" if row.seq == seen else "gap" if row.seq > seen else "backward"
-    return (row.seq,), [(row.event_id, row.seq, verdict)]
+        verdict = np.concatenate((["first"], verdict[1:]))
+    return (int(seq[-1]),), frame.assign(verdict=verdict)
 
 
 @query("live_rollup", f"WITH {E}, h AS (SELECT {_HEALTH} FROM e WHERE event_id > (SELECT max(event_id) FROM e) - 20) SELECT *, {_STATE} FROM h")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -87,21 +88,22 @@ class AccumulateProcessor(StatefulProcessor):
         seen, dropped, error = self._checkpoint.get() or (0, 0, None)
         items = [row[0] for row in self._history.get()] if self._history.exists() else []
         arrived = _ordered(rows, self._arrival)
-        for sequence, item in zip(arrived[self._seq].tolist(), arrived[self._item].tolist()):
-            if error is not None:
-                break
-            if seen and sequence == seen:
-                continue
-            if sequence != seen + 1:
-                error = "ACC003" if seen else "ACC006"
-            elif len(items) == self._limit and not self._drop_oldest:
-                error = "ACC004"
-            else:
-                items.append(item)
-                seen = sequence
-                if len(items) > self._limit:
-                    items.pop(0)
-                    dropped += 1
+        sequence, item = arrived[self._seq].to_numpy(), arrived[self._item].to_numpy()
+        if error is None:
+            before = np.concatenate(([seen], sequence[:-1]))
+            step = sequence - before
+            # a repeat is harmless once something was accepted; any other step but one ends the history
+            irregular = (step != 1) & ~((step == 0) & (before > 0))
+            full = (sequence > self._limit) & (not self._drop_oldest)
+            stops = np.flatnonzero(irregular | full)
+            end = stops[0] if len(stops) else len(sequence)
+            if len(stops):
+                error = "ACC004" if not irregular[end] else "ACC003" if before[end] > 0 else "ACC006"
+            accepted = step[:end] == 1
+            if accepted.any():
+                seen = int(sequence[:end][accepted][-1])
+                items = [*items, *item[:end][accepted].tolist()][-self._limit :]
+            dropped = seen - len(items)
         self._checkpoint.update((int(seen), int(dropped), error))
         if items:
             self._history.put([(int(i),) for i in items])
@@ -122,7 +124,10 @@ class AccumulateProcessor(StatefulProcessor):
 
 
 class FoldProcessor(StatefulProcessor):
-    """``step(state, row) -> (state, outputs)`` over the ordered rows of a key; state and outputs are tuples."""
+    """``step(state, frame) -> (state, outputs)`` over the ordered rows of a key.
+
+    ``state`` is a tuple, ``frame`` the key's rows of one micro-batch in order, ``outputs`` a frame.
+    """
 
     def __init__(self, order: str, step: Callable, initial: tuple, state_schema: str, outputs: Sequence[str]) -> None:
         self._order, self._step, self._initial = order, step, initial
@@ -132,13 +137,9 @@ class FoldProcessor(StatefulProcessor):
         self._state = handle.getValueState("state", self._schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self._state.get() or self._initial
-        produced: list[tuple] = []
-        for row in _ordered(rows, self._order).itertuples(index=False):
-            state, outputs = self._step(state, row)
-            produced.extend(outputs)
+        state, outputs = self._step(self._state.get() or self._initial, _ordered(rows, self._order))
         self._state.update(state)
-        frame = pd.DataFrame(produced, columns=self._outputs)
+        frame = outputs[self._outputs].reset_index(drop=True)
         for i, value in enumerate(key):
             frame.insert(i, f"key{i}", value)
         yield frame
@@ -187,7 +188,10 @@ def scan_stream(
     state_schema: str,
     output_schema: StructType,
 ) -> DataFrame:
-    """Checkpointed fold per key that emits ``step``'s outputs; the state has a fixed schema."""
+    """Checkpointed fold per key that emits ``step``'s outputs; the state has a fixed schema.
+
+    ``step`` sees the ordered rows of a key and micro-batch as one frame and works on whole columns.
+    """
     processor = FoldProcessor(order, step, initial, state_schema, output_schema.fieldNames())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in output_schema)
     return _transform(df, keys, processor, fields, "append")
