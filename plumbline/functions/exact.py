@@ -32,15 +32,16 @@ def exact_div(a: Column, b: Column, scale: int = 0) -> Column:
 
     Operands have at most 18 digits, ``scale`` of them fractional. The quotient is exact when the integer remainder of
     ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused like 1/3 is. Most
-    quotients end within six places, which BIGINT arithmetic decides without wide decimals.
+    quotients end within nine places, which BIGINT arithmetic decides without wide decimals.
     """
     require_between("scale", scale, 0, 17)
     shift = F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")
     left, right = ((x.cast(f"decimal(18,{scale})") * shift).cast("decimal(18,0)") for x in (a, b))
     long_left, long_right = left.cast("bigint"), right.cast("bigint")
-    millionths = long_left * 1_000_000
-    short = (F.abs(long_left) < _LONG // 1_000_000) & (long_right != 0) & (millionths % long_right == 0)
-    near = (div(millionths, long_right).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(38,19)")
+    # null instead of a failure: a condition may be evaluated ahead of the branch it guards
+    billionths = F.try_multiply(long_left, F.lit(10**9).cast("bigint"))
+    short = F.coalesce(F.try_mod(billionths, long_right) == 0, F.lit(False))
+    near = (div(billionths, long_right).cast("decimal(19,0)") * F.lit("0.000000001").cast("decimal(10,9)")).cast("decimal(38,19)")
     rest = (left.cast(_WIDE) * F.lit(Decimal(10**19)).cast(_WIDE)).cast(_WIDE) % right.cast(_WIDE)
     far = refuse_when(rest != 0, (left / right).cast("decimal(38,19)"), "division has no exact decimal result")
     return F.when(short, near).otherwise(far)
@@ -64,9 +65,9 @@ def round_div_half_up(a: Column, b: Column, scale: int) -> Column:
 def _rounded_ratio(a: Column, b: Column, scale: int, half_even: bool) -> Column:
     def magnitude(top: Column, bottom: Column) -> Column:
         whole = div(top, bottom)  # BIGINT; a quotient beyond 63 bits fails
-        twice = (top % bottom) * 2
-        up = (twice > bottom) | ((twice == bottom) & (whole % 2 == 1)) if half_even else twice >= bottom
-        return whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+        # up when twice the remainder exceeds the divisor, or equals it and the tie goes up (an odd quotient, or always)
+        tie = whole % 2 if half_even else F.lit(1)
+        return whole + ((top % bottom) * 2 + tie > bottom).cast("bigint")
 
     # BIGINT arithmetic where the scaled operands fit, 38-digit decimals elsewhere
     fits = (F.abs(a) < _LONG // 10**scale) & (F.abs(b) < _LONG // 2)

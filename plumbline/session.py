@@ -14,6 +14,8 @@ _SETTINGS = {
     # instants are UTC; naive Parquet timestamps are read as UTC instants
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # generated methods above the size the JVM compiles run interpreted; Spark then splits the expressions instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

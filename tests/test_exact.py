@@ -75,3 +75,14 @@ def test_int_and_decimal_do_not_mix(spark):
     assert require_same_kind(df, "i", "i") == "Int"
     with pytest.raises(KindError):
         require_same_kind(df, "i", "d")
+
+
+def test_wide_operands_from_columns(spark):
+    df = spark.createDataFrame([(10**17 + 1, 1024), (10**17, 10**17), (7, 8), (0, 5)], "a bigint, b bigint")
+    a, b = F.col("a"), F.col("b")
+    # used twice, so that common parts are shared between the two
+    twice = df.select("a", "b", exact.exact_div(a, b).alias("q"), (exact.exact_div(a, b) + 1).alias("r"))
+    for row in twice.collect():
+        assert row.q == Decimal(row.a) / row.b and row.r == row.q + 1
+    rounded = df.select("a", "b", exact.round_div(a * 9, b, 9).alias("q"), exact.round_div(a * 9, b, 9).alias("r"))
+    assert [r.q for r in rounded.collect() if r.a == 7] == [Decimal("7.875")]
