@@ -2,21 +2,89 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near
+from plumbline.llm import bpe, decontaminate, language, licences, near, resample, urls, warc
 from plumbline.registry import query
 from plumbline.session import load
 
 
+def documents(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", "text")
+
+
+@query("op1_importance_resampling")
+def op1_importance_resampling(spark, sf):
+    good = load(spark, sf, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return resample.resample(documents(spark, sf), good)
+
+
+@query("op2_warc_derivatives")
+def op2_warc_derivatives(spark, sf):
+    return warc.derive(warc.responses_of_pages(load(spark, sf, "pages")), keep=["page_id"])
+
+
+@query("op4_licence_sentences")
+def op4_licence_sentences(spark, sf):
+    return licences.scan_licences(documents(spark, sf)).drop("text")
+
+
+def tokenizer() -> bpe.Vocabulary:
+    return bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark, sf):
+    return bpe.encode(documents(spark, sf), tokenizer(), keep=["doc_id"], digests=True)
+
+
+SITE_RULES = (
+    urls.SiteRule("allow", "org", "/"),
+    urls.SiteRule("block", "example.org", "/es/"),
+    urls.SiteRule("block", "example.org", "/en/1"),
+    urls.SiteRule("allow", "com", "/fr/"),
+    urls.SiteRule("block", "com", "/de/"),
+)
+
+_SITES_SQL = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in SITE_RULES)
+
+OP7_SQL = f"""
+WITH sites(action, rule_host, rule_path) AS (VALUES {_SITES_SQL}),
+u AS (SELECT page_id, url,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(url) AS low, regexp_extract(rest, '^[^/?#]*') AS raw_host,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT *, (SELECT max_by(struct_pack(rule := rule_host || rule_path, action := action), length(rule_host || rule_path)) FROM sites
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN
+    regexp_matches(low, '^[^/?#]*://([^/?#]*\\.)?spam-') OR low LIKE '%-pills.%' OR
+    regexp_matches(low, '[^a-z0-9_.%-]casino([^a-z0-9_.%-]|$)') OR regexp_matches(low, '/adclick([^a-z0-9_.%-]|$)') OR
+    low LIKE '%://%/popunder/%' THEN 'block' ELSE 'allow' END) AS verdict
+FROM m"""
+
+
+@query("op7_url_rules", OP7_SQL)
+def op7_url_rules(spark, sf):
+    return urls.judge_urls(load(spark, sf, "pages").select("page_id", "url"), SITE_RULES).drop("url")
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.is_held_out(F.col("doc_id")))
+    model = language.fit(docs.where("NOT held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
 @query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark, sf):
-    return near.jaccard_components(load(spark, sf, "documents").select("doc_id", "text"), words=3, percent=90)
+    return near.jaccard_components(documents(spark, sf), words=3, percent=90)
 
 
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    found = decontaminate.with_verdict(decontaminate.find_contamination(docs, load(spark, sf, "benchmark"), keep=["doc_id"]))
+    found = decontaminate.find_contamination(documents(spark, sf), load(spark, sf, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "spans")
+    return decontaminate.with_verdict(found).select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "spans")
