@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, licences, near, resample, urls, warc
+from plumbline.llm import bpe, decontaminate, fingerprints, language, licences, near, resample, urls, warc
 from plumbline.registry import query
 from plumbline.session import load
 
@@ -25,6 +25,11 @@ def op2_warc_derivatives(spark, sf):
     return warc.derive(warc.responses_of_pages(load(spark, sf, "pages")), keep=["page_id"])
 
 
+@query("op3_weighted_sampling")
+def op3_weighted_sampling(spark, sf):
+    return fingerprints.compare_neighbours(documents(spark, sf))
+
+
 @query("op4_licence_sentences")
 def op4_licence_sentences(spark, sf):
     return licences.scan_licences(documents(spark, sf)).drop("text")
