@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, fingerprints, language, licences, near, resample, urls, warc
+from plumbline.llm import bpe, decontaminate, fingerprints, language, licences, near, privacy, resample, urls, warc
 from plumbline.registry import query
 from plumbline.session import load
 
@@ -44,6 +44,15 @@ def op5_byte_bpe(spark, sf):
     return bpe.encode(documents(spark, sf), tokenizer(), keep=["doc_id"], digests=True)
 
 
+@query("op6_information_privacy")
+def op6_information_privacy(spark, sf):
+    found = privacy.find_personal_data(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["kind"].isin(*privacy.KINDS))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in privacy.KINDS]
+    digest = F.sha2(privacy.span_text(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, privacy.span_text(F.col("spans")).alias("spans"))
+
+
 SITE_RULES = (
     urls.SiteRule("allow", "org", "/"),
     urls.SiteRule("block", "example.org", "/es/"),
