@@ -1,57 +1,68 @@
 """N-gram Jaccard join with set-relation skipping.
 
-A text's set holds the 64-bit hashes of its distinct word shingles, in order. Texts with equal sets form one class; only
-classes are joined. The order is cut into position blocks: a set of size class ``l`` has ``K`` of them, more than two
-linked sets of that class can differ in, so linked sets hold at least ``g`` blocks alike. The index has one list per
-(size class, block, content of the block); everything else is skipped:
-
-* a list with a single set is skipped, and so is a set with fewer than ``g`` blocks in shared lists, before any set is
-  compared with another;
-* within the lists, answers come from answers: each set is compared with one pivot per round, and what links to the same
-  pivot is in one component, so those sets are not compared with each other. Only lists that still span several
-  components go on. When those are few, their remaining pairs are compared, except pairs whose overlap is bounded too
-  low by the overlaps both have with a common pivot: ``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)``.
-
-The filters lose no link, whatever the data: the block filter by the pigeonhole principle, the others by bounds. No list
-is collected: pivots are minima, pairs are rows, and large lists shrink by merging, not by a cap.
+A text's set holds the 64-bit hashes of its distinct word shingles. Texts with equal sets form one class; only classes are
+joined, in three steps.
+
+1. Which sets can link at all. The range of hashes is cut into blocks, more of them than two linked sets can differ in, so
+   linked sets hold at least the spare ones alike. A set stays if enough of its blocks also occur in other sets.
+2. Index lists over the sets that stay. Elements are ordered by frequency, rare ones first, and each set is listed under
+   its first few elements with its size and the element's place. Lists are joined block by block of equal size and place;
+   a block pair whose places leave too few elements to share is skipped as a whole.
+3. Answers from answers. A set is first compared with one pivot of its lists. What links to a pivot is in its component,
+   and two sets of one component are not compared again. For sets similar to the same pivot p the overlap follows from
+   what they lack of p and have besides it: ``|x & y| = |p| - |p - x| - |p - y| + |(p - x) & (p - y)| + |(x - p) & (y - p)|``.
+   For others it is bounded: ``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)``.
+
+The filters lose no link, whatever the data: the first by the pigeonhole principle, the others by bounds. No list is
+collected: pivots are minima, pairs are rows, and long lists shrink by merging and skipping, not by a cap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import SPACED, U64, find_words, grams, mix, row_count, settled, text_slices
 
-STAR_ROUNDS = 12  # at most; the rest is compared pair by pair
+STAR_ROUNDS = 6  # at most; the rest is compared pair by pair
 BROADCAST_ROWS = 1 << 20  # ids (8 bytes each) broadcast at most
+FEW = 0.05  # a round that links a smaller share of what it compares is the last one
 _I64 = np.int64
 LONGEST = 1 << 40
 
 
-def size_classes() -> np.ndarray:
-    """Upper ends of the size classes; each is about half as large again as the one before."""
-    ends = [1]
-    while ends[-1] < LONGEST:
-        ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
-    return np.array(ends, _I64)
-
-
 class Shape:
-    """Blocks per size class for links at ``100 * common >= percent * union``."""
+    """Size classes and blocks for links at ``100 * common >= percent * union``.
+
+    A linked set lies in the same size class or the next. Blocks with fewer than ``thin`` elements are alike by chance too
+    often to be worth a list; ``thin`` is the largest number for which thin
+    blocks are few against the spare ones.
+    """
 
     def __init__(self, percent: int):
         if not 67 < percent <= 100:
             raise ValueError("percent must lie above 67 and be at most 100")
         self.percent = percent
-        self.ends = size_classes()
+        ends = [1]
+        while ends[-1] < LONGEST:
+            ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent) if percent < 100 else ends[-1] * 2)
+        self.ends = np.array(ends, _I64)  # upper ends of the classes
         differ = 2 * self.ends * (100 - percent) // (100 + percent)  # most elements in which linked sets differ
-        self.spare = np.where(differ > 0, np.maximum(2, differ // 7), 0)
+        # more blocks than can differ: linked sets share at least the spare ones. Higher percentages can afford more
+        ratio = 1.0 if percent >= 90 else 0.4
+        self.spare = np.where(differ > 0, np.maximum(2, (differ * ratio).astype(_I64)), 0)
         self.blocks = np.where(differ > 0, differ + self.spare, 0)
+        mean = (100 + percent) / (2 * max(100 - percent, 1)) / (1 + ratio) * percent / 100  # elements of a block
+        self.thin, below, term = 0, 0.0, math.exp(-mean)
+        while below + term <= ratio / (1 + ratio) / 4:
+            below += term
+            self.thin += 1
+            term *= mean / self.thin
 
     def classes(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each size, and whether a linked set can lie in the next class."""
@@ -84,13 +95,11 @@ def shingle_sets(data: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.n
     return value, np.searchsorted(row, np.arange(rows + 1))
 
 
-def _digests(value: np.ndarray, borders: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for seed in (0x1234567, 0x89ABCDEF):
-        total = np.zeros(len(value) + 1, U64)
-        np.cumsum(mix(value ^ U64(seed)), out=total[1:])
-        out.append(mix(total[borders[1:]] - total[borders[:-1]]).view(_I64))
-    return out
+def _set_numbers(value: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """A 64-bit number per set; different sets share one with probability about 2**-64."""
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(mix(value ^ U64(0x1234567)), out=total[1:])
+    return mix(total[borders[1:]] - total[borders[:-1]] + np.diff(borders).astype(U64)).view(_I64)
 
 
 def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, wanted: np.ndarray, shape: Shape):
@@ -111,19 +120,25 @@ def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, want
     content = total[ends] - total[at]
     place = level[row[at]].astype(U64) << U64(40) | number[at]
     keys = mix(content + mix(place + U64(1))).view(_I64)
-    filled = np.bincount(row[at], minlength=len(sizes))
-    # a block that is empty in both sets is alike as well, so empty blocks count as shared
-    need = np.where(used, shape.spare[level] - (blocks - filled), -1)
-    bare = np.flatnonzero(used & (need <= 0))
-    if len(bare):  # so many empty blocks that these alone could be the shared ones: they get lists as well
+    size = ends - at
+    thick = np.bincount(row[at][size >= shape.thin], minlength=len(sizes))
+    # thin blocks may be alike without having a list, so they count as shared
+    need = np.where(used, shape.spare[level] - (blocks - thick), -1)
+    every = used & (need <= 0)  # so many thin blocks that these alone could be the shared ones: they get lists as well
+    keep = (size >= shape.thin) | every[row[at]]
+    keys, owner = keys[keep], row[at][keep]
+    bare = np.flatnonzero(every)
+    if len(bare):  # among them the empty ones
         again = np.repeat(bare, blocks[bare])
-        every = np.arange(len(again)) - np.repeat(np.cumsum(blocks[bare]) - blocks[bare], blocks[bare])
-        empty = ~np.isin(again << 40 | every, row[at] << 40 | number[at].astype(_I64))
-        again, every = again[empty], every[empty]
-        place = level[again].astype(U64) << U64(40) | every.astype(U64)
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(blocks[bare]) - blocks[bare], blocks[bare])
+        empty = ~np.isin(again << 40 | nth, row[at] << 40 | number[at].astype(_I64))
+        again, nth = again[empty], nth[empty]
+        place = level[again].astype(U64) << U64(40) | nth.astype(U64)
         keys = np.concatenate([keys, mix(mix(place + U64(1))).view(_I64)])
-        keys = keys[np.argsort(np.concatenate([row[at], again]), kind="stable")]
-        filled = filled + np.bincount(again, minlength=len(sizes))
+        owner = np.concatenate([owner, again])
+        order = np.argsort(owner, kind="stable")
+        keys, owner = keys[order], owner[order]
+    filled = np.bincount(owner, minlength=len(sizes))
     return keys, filled, need
 
 
@@ -132,11 +147,11 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
-_INDEX = "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys0 array<bigint>, need0 bigint, keys1 array<bigint>, need1 bigint"
+_INDEX = "doc_id bigint, n bigint, `set` bigint, keys0 array<bigint>, need0 bigint, keys1 array<bigint>, need1 bigint"
 
 
 def index_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per text: set size, digest of the set, and the keys of its block lists in its own and the next size class."""
+    """Per text: set size, number of the set, and the keys of its block lists in its own and the next size class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = Shape(percent)
@@ -145,36 +160,33 @@ def index_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 value, cut = shingle_sets(data, borders, words)
                 sizes = np.diff(cut)
                 own, spill = shape.classes(sizes)
-                d1, d2 = _digests(value, cut)
                 keys0, filled0, need0 = _block_lists(value, cut, own, sizes > 0, shape)
                 keys1, filled1, need1 = _block_lists(value, cut, own + 1, spill & (sizes > 0), shape)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, end - first),
                         pa.array(sizes.astype(_I64)),
-                        pa.array(d1),
-                        pa.array(d2),
+                        pa.array(_set_numbers(value, cut)),
                         _lists(keys0, filled0),
                         pa.array(need0.astype(_I64)),
                         _lists(keys1, filled1),
                         pa.array(need1.astype(_I64)),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "keys0", "need0", "keys1", "need1"],
+                    names=["doc_id", "n", "set", "keys0", "need0", "keys1", "need1"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _INDEX)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Per row of ``(set, d1, d2, text)``: the sorted shingle hashes of the text whose digest matches."""
+    """Per row of ``(set, text)``: the sorted shingle hashes of the text, if it has this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, borders in text_slices(batch.column("text")):
                 value, cut = shingle_sets(data, borders, words)
-                d1, d2 = _digests(value, cut)
                 part = batch.slice(first, end - first)
-                same = (np.asarray(part.column("d1")) == d1) & (np.asarray(part.column("d2")) == d2)
+                same = np.asarray(part.column("set")) == _set_numbers(value, cut)
                 counts = np.diff(cut)
                 out = pa.RecordBatch.from_arrays(
                     [part.column("set"), pa.array(counts.astype(_I64)), _lists(value.view(_I64), counts)],
@@ -182,7 +194,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 )
                 yield out.filter(pa.array(same))
 
-    return docs.select("set", "d1", "d2", F.col("text").cast("string")).mapInArrow(run, "set bigint, n bigint, items array<bigint>")
+    return docs.select("set", F.col("text").cast("string")).mapInArrow(run, "`set` bigint, n bigint, items array<bigint>")
 
 
 def merge_labels(edges: DataFrame) -> DataFrame:
@@ -218,66 +230,131 @@ def merge_labels(edges: DataFrame) -> DataFrame:
     return settled(known.unionByName(known.select(F.col("root").alias("node"), "root").distinct()), "labels")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(x, y, nx, ny, common)`` of pairs of sets."""
+_TRIED = "x bigint, y bigint, nx bigint, ny bigint, common bigint, lacks array<bigint>, extra array<bigint>"
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with their sizes and overlap, and for similar ones what ``x`` lacks of ``y`` and has besides it."""
     x = sets.select(F.col("set").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
     y = sets.select(F.col("set").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
     common = F.size(F.array_intersect("ix", "iy")).cast("bigint").alias("common")
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", common)
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", common, "ix", "iy")
+    total = F.col("nx") + F.col("ny")
+    similar = (total - 2 * F.col("common")) * (100 + percent) <= total * 3 * (100 - percent)
+    lacks, extra = F.when(similar, F.array_except("iy", "ix")), F.when(similar, F.array_except("ix", "iy"))
+    return both.select("x", "y", "nx", "ny", "common", lacks.alias("lacks"), extra.alias("extra"))
 
 
 def _linked(common, union, percent: int):
     return common * 100 >= union * percent
 
 
+def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, set, n, at``: the index. Elements in order of their frequency, rare ones first; linked sets share one of the
+    first ``n - ceil(percent * n / 100) + 1``. ``at`` is the element's place in the set, ``n`` the set's size."""
+    items = sets.select("set", "n", F.explode("items").alias("key"))
+    counts = items.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    order = Window.partitionBy("set").orderBy("members", "key")
+    placed = items.join(counts, "key").withColumn("nth", F.row_number().over(order)).withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("set")))
+    # elements of no other set come before all others and have no list
+    at = F.col("n") - F.col("common") + F.col("nth") - 1
+    longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return settled(placed.withColumn("at", at).where(F.col("at") < longest).select("key", "set", "n", "at"), "lists")
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    return lists.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+
+
+def _open_lists(member: DataFrame) -> DataFrame:
+    """``key, members, apart, main``: lists with several components, the pairs between these, and the largest one."""
+    parts = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        parts.groupBy("key")
+        .agg(
+            F.sum("n").alias("members"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"),
+            F.max(F.struct("n", "root"))["root"].alias("main"),
+        )
+        .where("apart > 0")
+    )
+
+
 def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(set, root)`` of the sets that link with another one. ``lists(set, key)``: members of shared block lists."""
+    """``(set, root)`` of the sets that link with another one, by the index ``lists(key, set, n, at)``."""
     spark = lists.sparkSession
-    tried = spark.createDataFrame([], "x bigint, y bigint, nx bigint, ny bigint, common bigint")
+    union = F.col("nx") + F.col("ny") - F.col("common")
+    tried = spark.createDataFrame([], _TRIED)
     label = spark.createDataFrame([], "node bigint, root bigint")
     merged = True
     for turn in range(STAR_ROUNDS):
-        member = lists.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        summary = member.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        open_lists = summary.where("low < high")
-        todo, total = open_lists.agg(F.sum(F.expr("members * (members - 1) / 2")), F.sum("members")).first()
-        if not todo or todo <= 4 * total or not merged:
+        member = _labelled(lists, label)
+        still = settled(_open_lists(member), "open")
+        todo, total = still.agg(F.sum("apart"), F.sum("members")).first()
+        if not todo:
+            return label.select(F.col("node").alias("set"), "root")
+        member = settled(member.join(still.select("key", "main"), "key"), "members")
+        lists = member.select("key", "set", "n", "at")
+        if todo <= total or not merged:
             break
-        # one pivot per list, another one each round; each set takes the smallest pivot of its lists
+        # one pivot per list, from its largest component; each other set takes one of the pivots of its lists
         rank = F.xxhash64(F.col("set"), F.lit(turn))
         pivots = (
-            member.join(open_lists.select("key"), "key", "left_semi")
+            member.where("root = main")
             .groupBy("key")
-            .agg(F.min(F.struct(rank.alias("rank"), F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))).alias("best"))
+            .agg(F.min(F.struct(rank.alias("rank"), F.col("set").alias("pivot"))).alias("best"))
             .select("key", "best.*")
         )
-        offers = member.join(pivots, "key").where("root != pivot_root")
-        pairs = offers.groupBy("set").agg(F.min(F.struct("rank", "pivot")).alias("best")).select(F.col("set").alias("x"), F.col("best.pivot").alias("y"))
-        new = settled(_compare(pairs, sets), "compared")
+        offers = member.where("root != main").join(pivots, "key")
+        pairs = offers.groupBy("set").agg(F.min(F.struct("rank", "pivot"))["pivot"].alias("y")).select(F.col("set").alias("x"), "y")
+        new = settled(_compare(pairs, sets, percent), "compared")
+        links = new.where(_linked(F.col("common"), union, percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         tried = tried.unionByName(new)
-        links = tried.where(_linked(F.col("common"), F.col("nx") + F.col("ny") - F.col("common"), percent))
-        merged = not new.where(_linked(F.col("common"), F.col("nx") + F.col("ny") - F.col("common"), percent)).isEmpty()
-        label = merge_labels(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    # what is left: pairs of one list in different components
-    base = tried.groupBy("x").agg(F.min(F.struct(F.col("y").alias("pivot"), F.col("common").alias("shared"))).alias("b")).select(F.col("x").alias("set"), "b.*")
-    member = lists.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    open_lists = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    info = sets.select("set", "n").join(base, "set", "left")
-    member = settled(member.join(open_lists, "key", "left_semi").join(info, "set"), "members")
-    x, y = (member.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "root", "n", "pivot", "shared")]) for s in "xy")
-    least_n, most_n = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    bound = F.least("shared_x", "shared_y") + F.least(F.col("n_x") - F.col("shared_x"), F.col("n_y") - F.col("shared_y"))
-    possible = F.coalesce((F.col("pivot_x") != F.col("pivot_y")) | _linked(bound, F.col("n_x") + F.col("n_y") - bound, percent), F.lit(True))
+        found = row_count(links)
+        merged = found > FEW * row_count(new)
+        if found:
+            label = merge_labels(links.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    else:
+        member = _labelled(lists, label)
+        member = settled(member.join(_open_lists(member).select("key", "main"), "key"), "members")
+    # What is left: pairs in different components, one of the two outside the list's largest. Lists are joined block by
+    # block of equal size and place; blocks are skipped that cannot share enough from their places on.
+    bx = member.where("root != main").select("key", F.col("n").alias("n_x"), F.col("at").alias("at_x")).distinct()
+    by = member.select("key", F.col("n").alias("n_y"), F.col("at").alias("at_y")).distinct()
+    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    blocks = bx.join(by, "key").where(_linked(most, F.col("n_x") + F.col("n_y") - most, percent))
+    none = F.array().cast("array<bigint>")
+    facts = ["common", "lacks", "extra"]
+    seen = tried.select(F.col("x").alias("set"), F.col("y").alias("pivot"), F.col("ny").alias("size"), *facts).unionByName(
+        tried.groupBy("y").agg(F.max("ny").alias("size")).select(
+            F.col("y").alias("set"), F.col("y").alias("pivot"), "size", F.col("size").alias("common"), none.alias("lacks"), none.alias("extra")
+        )
+    )
+    seen = seen.groupBy("set").agg(F.collect_list(F.struct("pivot", "size", *facts)).alias("seen"))  # one element a round
+    member = settled(member.join(seen, "set", "left"), "members")
+    x, y = (member.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "root", "n", "at", "seen")]) for s in "xy")
+
+    def excluded(a: Column, b: Column) -> Column:
+        """Whether the answers for a common pivot leave no room for a link, or tell the overlap and it is too small."""
+        shared = lambda name: F.size(F.array_intersect(a[name], b[name]))
+        exact = a["size"] - F.size(a["lacks"]) - F.size(b["lacks"]) + shared("lacks") + shared("extra")
+        bound = F.least(a["common"], b["common"]) + F.least(F.col("n_x") - a["common"], F.col("n_y") - b["common"])
+        most = F.when(a["lacks"].isNotNull() & b["lacks"].isNotNull(), exact).otherwise(bound)
+        return (a["pivot"] == b["pivot"]) & ~_linked(most, F.col("n_x") + F.col("n_y") - most, percent)
+
+    possible = ~F.coalesce(F.exists("seen_x", lambda a: F.exists("seen_y", lambda b: excluded(a, b))), F.lit(False))
     pairs = (
-        x.join(y, "key")
-        .where((F.col("set_x") < F.col("set_y")) & (F.col("root_x") != F.col("root_y")))
-        .where(_linked(least_n, most_n, percent) & possible)
-        .select(F.col("set_x").alias("x"), F.col("set_y").alias("y"))
+        x.where("root_x != main")
+        .join(blocks, ["key", "n_x", "at_x"])
+        .join(y.drop("main"), ["key", "n_y", "at_y"])
+        .where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("set_x") < F.col("set_y"))))
+        .where(possible)
+        .select(F.least("set_x", "set_y").alias("x"), F.greatest("set_x", "set_y").alias("y"))
         .distinct()
     )
-    new = settled(_compare(pairs, sets), "compared")
-    links = tried.unionByName(new).where(_linked(F.col("common"), F.col("nx") + F.col("ny") - F.col("common"), percent))
-    label = merge_labels(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = _compare(settled(pairs, "pairs"), sets, percent).where(_linked(F.col("common"), union, percent))
+    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    label = merge_labels(links.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return label.select(F.col("node").alias("set"), "root")
 
 
@@ -290,32 +367,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     with each other. A null doc_id takes part and is never the smallest unless alone. An empty table gives an empty one.
     """
     index = settled(index_sets(docs, words, percent), "sets")
-    classes = (
-        index.where("n > 0")
-        .groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", "keys0", "need0", "keys1", "need1")])
-    )
-    classes = settled(classes.withColumn("set", F.monotonically_increasing_id()), "classes")
-    entries = None
-    for level in (0, 1):
-        part = classes.select("set", F.lit(level).alias("level"), F.col(f"need{level}").alias("need"), F.explode(f"keys{level}").alias("key"))
-        entries = part if entries is None else entries.unionByName(part)
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    hits = settled(entries.join(shared, "key", "left_semi"), "hits")
-    enough = hits.groupBy("set", "level").agg(F.count(F.lit(1)).alias("hit"), F.first("need").alias("need")).where("hit >= need")
-    lists = settled(hits.join(enough.select("set", "level"), ["set", "level"], "left_semi").select("set", "key"), "lists")
-    chosen = settled(lists.select("set").distinct().join(classes.select("set", "d1", "d2", "first_doc"), "set"), "chosen")
+    classes = settled(index.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first_doc")), "classes")
+    # a set takes part once per size class; equal sets have equal rows
+    part = lambda level: index.select("set", F.lit(level).alias("level"), F.explode(f"keys{level}").alias("key"))
+    entries = part(0).unionByName(part(1))
+    shared = entries.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("key")
+    hits = settled(entries.join(shared, "key", "left_semi").distinct(), "hits")
+    need = index.select("set", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"need{i}").alias("need")) for i in (0, 1)])).alias("x"))
+    need = need.select("set", "x.*").where("need > -1").distinct()
+    enough = hits.groupBy("set", "level").agg(F.count(F.lit(1)).alias("hit")).join(need, ["set", "level"]).where("hit >= need")
+    chosen = settled(enough.select("set").distinct().join(classes, "set"), "chosen")
     small = row_count(chosen) <= BROADCAST_ROWS
-    lookup = chosen.select("set", "d1", "d2", F.col("first_doc").alias("doc_id"))
+    lookup = chosen.select("set", F.col("first_doc").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     same = texts["doc_id"].eqNullSafe(lookup["doc_id"])
-    texts = texts.join(F.broadcast(lookup) if small else lookup, same).select("set", "d1", "d2", "text")
+    texts = texts.join(F.broadcast(lookup) if small else lookup, same).select("set", "text")
     sets = settled(full_sets(texts, words).dropDuplicates(["set"]), "items")
-    linked = _link_sets(lists, sets, percent)
+    linked = _link_sets(prefix_lists(sets, percent), sets, percent)
     rooted = linked.join(classes.select("set", "first_doc"), "set")
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
     component = rooted.join(smallest, "root").select("set", "component")
-    by_digest = classes.join(component, "set", "left").select("d1", "d2", F.coalesce("component", "first_doc").alias("component"))
-    out = index.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(by_digest, ["d1", "d2"], "left")
+    component = classes.join(component, "set", "left").select("set", F.coalesce("component", "first_doc").alias("component"))
+    out = index.select("doc_id", F.col("n").alias("n_shingles"), "set").join(component, "set", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
