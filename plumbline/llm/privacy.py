@@ -129,11 +129,15 @@ def disclosing_terms(
     seen = every.select(F.xxhash64("text").alias("sentence"), F.explode(_terms(known)).alias("term")) if total else None
     if seen is None:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
-    per_term = seen.join(_near(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(float(total))
-    weighed = pairs.join(per_entity, "entity").join(per_term, "term")
-    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    weighed = weighed.where(F.col("n_e") < total).withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
+    share = lambda held: F.log(n * F.col("n_te") / (held * F.col("n_e"))) / F.log(n / F.col("n_e"))
+    weighed = settled(pairs.join(per_entity.where(F.col("n_e") < total), "entity"), "weighed")
+    # a sketch of the sentence counts rules out the many terms that stand in far too many; the rest is counted exactly
+    about = seen.join(_near(wanted), "term", "left_semi").groupBy("term").agg(F.approx_count_distinct("sentence", 0.05).alias("about"))
+    likely = weighed.join(about, "term").where(share(F.greatest(F.col("about") / 2, F.col("n_te"))) >= generalise)
+    likely = settled(likely.select("term").distinct(), "likely")
+    per_term = seen.join(_near(likely), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    weighed = weighed.join(per_term, "term").withColumn("disclosure", share(F.col("n_t"))).where(F.col("disclosure") >= generalise)
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return settled(weighed.select("entity", "term", "disclosure", action.alias("action")), "disclosing")
 
