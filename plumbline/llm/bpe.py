@@ -162,8 +162,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], digests: bo
 
     Each match of the vocabulary's pattern is encoded by itself; there are no special tokens. Null counts as empty and has
     no ids. With ``digests`` the ids are decoded again, and ``ids_sha256`` and ``decoded_sha256`` replace the ids. The
-    vocabulary is broadcast; its size does not depend on the corpus.
+    vocabulary is broadcast; its size does not depend on the corpus. Kept columns with a name of the result are replaced;
+    repeated rows are encoded one by one; an empty table stays empty.
     """
+    made = ["ids_sha256", "decoded_sha256"] if digests else ["ids"]
+    keep = [c for c in keep if c not in ("n_tokens", *made)]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], digests: bo
                     out.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", *made])
 
-    made = ["ids_sha256", "decoded_sha256"] if digests else ["ids"]
     types = dict(docs.dtypes)
     fields = [*[f"`{c}` {types[c]}" for c in keep], "n_tokens bigint", *[f"{c} {'string' if digests else 'binary'}" for c in made]]
     return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, ", ".join(fields))
@@ -188,6 +190,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], digests: bo
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs(ids, ...)`` with ``bytes``, what the ids stand for; null ids give null."""
+    keep = [c for c in keep if c != "bytes"]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

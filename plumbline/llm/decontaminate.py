@@ -332,9 +332,10 @@ def find_contamination(
     A-Z count as a-z. A phrase is ``window`` consecutive words of an item, or all words of a shorter item. Returns the
     ``keep`` columns (default: all) of every row with ``n_words``, ``spans`` (merged word spans covered by occurrences) and
     ``items`` (ids of the items with an occurring phrase, in no order). Null and empty texts have no words; items without
-    words or id have no phrases; repeated rows are answered one by one; empty tables give no spans.
+    words or id have no phrases; repeated rows are answered one by one; empty tables give no spans. Kept columns with a
+    name of the result are replaced.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")]
     found = None
     for phrases in phrase_blocks(benchmark, window, block_bytes):
         if found is None:

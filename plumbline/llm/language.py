@@ -123,7 +123,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     The prediction maximises the summed log frequencies of the text's words; ties go to the first language in order. The
     score is the mean over the words of the predicted language's share among the languages, given that word (0 to 1).
     Texts that are null or hold no letter, and all texts under a model without languages, are ``und`` with score 0.
+    Columns named ``lang_pred`` or ``score`` are replaced; repeated rows are judged one by one; an empty table stays empty.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list, table: WordTable) -> tuple[list[str], list[float]]:

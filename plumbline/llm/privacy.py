@@ -169,10 +169,10 @@ def find_personal_data(
     revealing = disclosing_terms(docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL"), generalise, remove, families)
     if revealing.isEmpty():
         return found
-    keyed = found.withColumn("key", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    extra = settled(_term_spans(keyed.where(F.size("spans") > 0).select("key", "text", "spans"), revealing), "extra")
-    spans = F.concat("spans", F.coalesce("extra", F.array().cast(_SPAN)))
-    return keyed.join(_near(extra), "key", "left").select(*columns, spans.alias("spans"))
+    keyed = found.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    extra = settled(_term_spans(keyed.where(F.size("spans") > 0).select(F.col("_key").alias("key"), "text", "spans"), revealing), "extra")
+    spans = F.concat("spans", F.coalesce("_extra", F.array().cast(_SPAN)))
+    return keyed.join(_near(extra.toDF("_key", "_extra")), "_key", "left").select(*columns, spans.alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -129,11 +129,11 @@ def judge_urls(
     fits = candidates.join(rules, "token").where(F.rlike(subject, F.col("regex")))
     allow = F.col("action") == "allow"
     site, pattern = F.col("site"), ~F.col("site")
-    best = F.max(F.when(site, F.struct(F.length("rule").alias("size"), allow.alias("allow"), "rule", "action"))).alias("best")
+    best = F.max(F.when(site, F.struct(F.length("rule").alias("size"), allow.alias("allow"), "rule", "action"))).alias("_best")
     decided = fits.groupBy("url").agg(
-        best, F.max(F.when(pattern, allow)).alias("allowed"), F.max(F.when(pattern, ~allow)).alias("blocked")
+        best, F.max(F.when(pattern, allow)).alias("_allowed"), F.max(F.when(pattern, ~allow)).alias("_blocked")
     )
     # a hot url is one row on the right side, so the large side of this join can be split
     out = pages.join(decided, "url", "left").withColumns({"host": host, "path": path})
-    own = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise(F.lit(default))
-    return out.select(*pages.columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", own).alias("verdict"))
+    own = F.when(F.col("_allowed"), "allow").when(F.col("_blocked"), "block").otherwise(F.lit(default))
+    return out.select(*pages.columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", own).alias("verdict"))
