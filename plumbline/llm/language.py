@@ -109,13 +109,30 @@ class WordTable(dict):
     def __init__(self, scorer: Scorer):
         super().__init__()
         self.scorer = scorer
-        self.rows: list[np.ndarray] = []
+        self.fresh: list[np.ndarray] = []
+        self.vectors = np.empty((0, len(scorer.model.languages)), np.float32)
+        self.share = self.vectors
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.rows)
-        self.rows.append(self.scorer.vector(word))
+        self[word] = at = len(self)
+        self.fresh.append(self.scorer.vector(word))
         return at
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all words so far, and the share of each language among the languages, given the word."""
+        if self.fresh:
+            new = np.array(self.fresh, np.float32)
+            end = self.used + len(new)
+            if end > len(self.vectors):
+                room = np.empty((end, new.shape[1]), np.float32)
+                self.vectors, self.share = (np.concatenate([old[: self.used], room]) for old in (self.vectors, self.share))
+            odds = np.exp(new - new.max(axis=1, keepdims=True))
+            self.vectors[self.used : end] = new
+            self.share[self.used : end] = odds / odds.sum(axis=1, keepdims=True)
+            self.used, self.fresh = end, []
+        return self.vectors, self.share
+
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred`` and ``score``.
@@ -138,9 +155,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not index or not languages:
             return names, scores
-        vectors = np.array(table.rows)
-        share = np.exp(vectors - vectors.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
+        vectors, share = table.arrays()
         index = np.array(index)
         at = 0
         for i, size in enumerate(sizes):
@@ -158,7 +173,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                if len(table.rows) > CACHED_WORDS:
+                if len(table) > CACHED_WORDS:
                     table = WordTable(scorer)
                 names, scores = judge(part.column("text").to_pylist(), table)
                 yield pa.RecordBatch.from_arrays(

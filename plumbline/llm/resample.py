@@ -63,7 +63,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             for first, end, data, borders in text_slices(batch.column("text")):
                 bucket, row = _features(data, borders, len(ratio))
-                weight = np.bincount(row, weights=ratio[bucket], minlength=end - first)
+                weight = np.bincount(row, weights=ratio[bucket], minlength=end - first).astype(np.float64)
                 count = np.bincount(row, minlength=end - first)
                 ids = batch.column("doc_id").slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(count.astype(np.int64)), pa.array(weight)], names=["doc_id", "n_features", "log_weight"])
