@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.guards import refuse_when, require_between
 
 _WIDE = "decimal(38,0)"
+_TOO_FINE = "operand has more fractional digits than its scale"
 _LONG = (1 << 63) - 1
 
 
@@ -27,34 +28,50 @@ def rem(a: Column, b: Column) -> Column:
     return a % b
 
 
+def _as_whole(value: Column, scale: int) -> Column:
+    """``value * 10**scale`` as a whole decimal; a value with more than ``scale`` fractional digits is refused."""
+    if scale == 0:
+        return refuse_when(value % 1 != 0, value, _TOO_FINE)
+    digits = min(19, 36 - 2 * scale)  # so that the product below keeps all digits
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")
+    shift = F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")
+    whole = (value.cast(f"decimal({digits + scale},{scale})") * shift).cast(f"decimal({digits + scale},0)")
+    return refuse_when(value % unit != 0, whole, _TOO_FINE)
+
+
 def exact_div(a: Column, b: Column, scale: int = 0) -> Column:
     """``a / b`` as a decimal with 19 fractional digits, failing unless the quotient is exact.
 
-    Operands have at most 18 digits, ``scale`` of them fractional. The quotient is exact when the integer remainder of
-    ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused like 1/3 is. Most
-    quotients end within nine places, which BIGINT arithmetic decides without wide decimals.
+    Operands are Int, or Decimals with at most ``scale`` fractional digits; others are refused. The quotient is exact when
+    the integer remainder of ``a * 10**19`` by ``b`` is zero; a finite quotient that needs more than 19 places is refused
+    like 1/3 is. Most quotients end within nine places, which BIGINT arithmetic decides without wide decimals.
     """
     require_between("scale", scale, 0, 17)
-    shift = F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")
-    left, right = ((x.cast(f"decimal(18,{scale})") * shift).cast("decimal(18,0)") for x in (a, b))
-    long_left, long_right = left.cast("bigint"), right.cast("bigint")
+    left, right = (_as_whole(x, scale).cast(_WIDE) for x in (a, b))
+    long_left, long_right = left.try_cast("bigint"), right.try_cast("bigint")
     # null instead of a failure: a condition may be evaluated ahead of the branch it guards
     billionths = F.try_multiply(long_left, F.lit(10**9).cast("bigint"))
     short = F.coalesce(F.try_mod(billionths, long_right) == 0, F.lit(False))
     near = (div(billionths, long_right).cast("decimal(19,0)") * F.lit("0.000000001").cast("decimal(10,9)")).cast("decimal(38,19)")
-    rest = (left.cast(_WIDE) * F.lit(Decimal(10**19)).cast(_WIDE)).cast(_WIDE) % right.cast(_WIDE)
-    far = refuse_when(rest != 0, (left / right).cast("decimal(38,19)"), "division has no exact decimal result")
+    top, bottom = F.abs(left), F.abs(right)
+    tail = ((top % bottom).cast(_WIDE) * F.lit(Decimal(10**19)).cast(_WIDE)).cast(_WIDE)
+    places = F.lpad((tail / bottom).cast("decimal(20,0)").cast("string"), 19, "0")
+    sign = F.when((left < 0) != (right < 0), "-").otherwise("")
+    written = F.concat(sign, div(top, bottom).cast("string"), F.lit("."), places).cast("decimal(38,19)")
+    far = refuse_when(tail % bottom != 0, written, "division has no exact decimal result")
     return F.when(short, near).otherwise(far)
 
 
-def round_div(a: Column, b: Column, scale: int) -> Column:
-    """``a / b`` rounded half-even to ``scale`` places, from Int operands, in integer arithmetic only.
+def round_div(a: Column, b: Column, scale: int, operand_scale: int = 0) -> Column:
+    """``a / b`` rounded half-even to ``scale`` places, in integer arithmetic only.
 
-    The quotient is truncated once and corrected by comparing twice the remainder with the divisor, so no value is
-    rounded twice.
+    Operands are Int, or Decimals with at most ``operand_scale`` fractional digits; others are refused. Both are brought to
+    whole numbers of that unit, so the quotient stays the same. It is truncated once and corrected by comparing twice the
+    remainder with the divisor, so no value is rounded twice.
     """
     require_between("scale", scale, 0, 16)
-    return _rounded_ratio(a, b, scale, half_even=True)
+    require_between("operand_scale", operand_scale, 0, 17)
+    return _rounded_ratio(_as_whole(a, operand_scale), _as_whole(b, operand_scale), scale, half_even=True)
 
 
 def round_div_half_up(a: Column, b: Column, scale: int) -> Column:
@@ -92,10 +109,13 @@ def text_to_int(value: Column) -> Column:
 
 def to_decimal(value: Column, scale: int = 6) -> Column:
     """Decimal from Int or Text; digits that do not fit ``scale`` fail."""
+    narrow = value.cast(f"decimal(38,{scale})")
+    text = value.cast("string")
+    # what stands behind the point, without zeros at the end; powers of ten are compared by value
+    digits = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1))
     wide = value.cast("decimal(38,18)")
-    narrow = wide.cast(f"decimal(38,{scale})")
-    # compared in one type: between unequal scales Spark would round to the smaller one first
-    return refuse_when(narrow.cast("decimal(38,18)") != wide, narrow, "decimal needs more fractional digits")
+    lossy = F.when(text.rlike("[eE]"), narrow.cast("decimal(38,18)") != wide).otherwise(digits > scale)
+    return refuse_when(lossy, narrow, "decimal needs more fractional digits")
 
 
 def cents(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -14,7 +15,6 @@ from pyspark.sql import types as T
 from plumbline.functions.text import pattern
 from plumbline.guards import KindError, kind_of, refuse_when
 
-MAX_ISSUES = 100
 CODE = "TYP005"
 _ISSUES = "array<struct<path:string,code:string,message:string>>"
 
@@ -128,12 +128,11 @@ def _limit_checks(contract: Contract, value: Column, kind: str, path: Column) ->
 
 
 def issues(contract: Contract, value: Column, data_type: T.DataType, path: Column | None = None) -> Column:
-    """Violations of ``value`` as an array of (path, code, message), at most the first hundred.
+    """All violations of ``value`` as an array of (path, code, message).
 
     The kind is compared with the column's type while planning, so only real value checks reach the rows.
     """
-    found = _inspect(contract, value, data_type, F.lit("") if path is None else path)
-    return F.slice(found, 1, MAX_ISSUES)
+    return _inspect(contract, value, data_type, F.lit("") if path is None else path)
 
 
 def _inspect(contract: Contract, value: Column, data_type: T.DataType, path: Column) -> Column:
@@ -200,17 +199,25 @@ def row_issues(df: DataFrame, contract: Contract) -> Column:
     return issues(contract, row, T.StructType([df.schema[c] for c in known]))
 
 
-def contract_check(df: DataFrame, contract: Contract, key: str) -> DataFrame:
-    """Violation report: key, path, code and message per violation. One narrow pass over the checked columns."""
-    return df.select(key, F.explode(row_issues(df, contract)).alias("i")).select(key, "i.path", "i.code", "i.message")
+def contract_check(df: DataFrame, contract: Contract, key: str, limit: int | None = None) -> DataFrame:
+    """Violation report: key, path, code and message per violation. One narrow pass over the checked columns.
+
+    With ``limit`` a row reports its first ``limit`` violations, and ``total`` and ``complete`` say what was left out.
+    """
+    found = df.select(key, row_issues(df, contract).alias("found"))
+    if limit is None:
+        return found.select(key, F.explode("found").alias("i")).select(key, "i.path", "i.code", "i.message")
+    total = F.size("found")
+    cut = found.select(key, total.alias("total"), (total <= limit).alias("complete"), F.explode(F.slice("found", 1, limit)).alias("i"))
+    return cut.select(key, "i.path", "i.code", "i.message", "total", "complete")
 
 
 def checked(df: DataFrame, contract: Contract) -> DataFrame:
     """The rows unchanged; the first violating row fails the query."""
     found = row_issues(df, contract)
-    first = contract.fields and next(c for c in contract.fields if c in df.columns)
     message = F.concat_ws(": ", F.get(found, F.lit(0))["path"], F.get(found, F.lit(0))["message"])
-    return df.withColumn(first, refuse_when(F.size(found) > 0, F.col(first), message))
+    # a filter, which stays whatever columns are read later
+    return df.where(refuse_when(F.size(found) > 0, F.lit(True), message))
 
 
 def valid_split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
@@ -227,68 +234,69 @@ def union_resolve(df: DataFrame, value: str, alternatives: Sequence[Contract]) -
 
 
 def subtype(actual: Contract, required: Contract) -> bool:
-    """Whether every value of ``actual`` can be used where ``required`` is asked for. Plans only, reads no data."""
-    if actual == required:
-        return True
-    if actual.kind == "Union":
-        return all(subtype(a, required) for a in actual.alternatives)
-    if required.kind == "Union":
-        return any(subtype(actual, r) for r in required.alternatives)
-    if required.kind == "Unknown":
+    """Whether the values of ``actual`` are a subset of those of ``required``. Plans only, reads no data.
+
+    Both are taken as sets of values: a union is the list of its members, a scalar a set of choices or a box of ranges.
+    Each member of ``actual`` must lie in one member of ``required``.
+    """
+    return all(any(_covers(big, small) for big in _members(required)) for small in _members(actual))
+
+
+def _members(contract: Contract) -> list[Contract]:
+    return [m for a in contract.alternatives for m in _members(a)] if contract.kind == "Union" else [contract]
+
+
+# the ranges that limit a value, and what of the value each of them measures
+_RANGES = {
+    "size of a number": ("low", "high", lambda v: v if isinstance(v, (int, Decimal)) and not isinstance(v, bool) else None),
+    "length of a text": ("min_length", "max_length", lambda v: len(v) if isinstance(v, str) else None),
+    "number of items": ("min_items", "max_items", lambda v: len(v) if isinstance(v, (list, tuple)) else None),
+}
+
+
+def _range(contract: Contract, name: str) -> tuple[Decimal, Decimal]:
+    low, high = (getattr(contract, end) for end in _RANGES[name][:2])
+    return Decimal("-Infinity") if low is None else Decimal(low), Decimal("Infinity") if high is None else Decimal(high)
+
+
+def _admits(contract: Contract, value: Any) -> bool:
+    """Whether a scalar value of the contract's kind keeps its limits."""
+    for name, (_, _, measure) in _RANGES.items():
+        low, high = _range(contract, name)
+        if (measured := measure(value)) is not None and not low <= measured <= high:
+            return False
+    listed = not contract.enum or value in contract.enum
+    return listed and not (isinstance(value, str) and any(re.search(p, value) is None for p in contract.patterns))
+
+
+def _covers(big: Contract, small: Contract) -> bool:
+    """Inclusion of two contracts that are no unions."""
+    if big.kind == "Unknown":
         return True
-    if actual.kind != required.kind:
-        return False
-    if required.enum and not (actual.enum and set(actual.enum) <= set(required.enum)):
+    if big.kind != small.kind:
         return False
-    if not (_finite_proof(actual, required) or _tighter(actual, required)):
+    if small.enum:  # finitely many values: look at each that ``small`` really allows
+        return all(_admits(big, v) for v in small.enum if _admits(small, v))
+    boxes = ((_range(big, name), _range(small, name)) for name in _RANGES)
+    if big.enum or not all(b[0] <= s[0] and s[1] <= b[1] for b, s in boxes) or not {*big.patterns} <= {*small.patterns}:
         return False
-    if actual.kind == "Record":
-        return all(
-            name in actual.fields
-            and (wanted.optional or not actual.fields[name].optional)
-            and subtype(replace(actual.fields[name], optional=False), replace(wanted, optional=False))
-            for name, wanted in required.fields.items()
-        )
-    if actual.kind in ("List", "Option"):
-        return subtype(actual.item, required.item)
-    if actual.kind == "Map":
-        same_keys = subtype(actual.key, required.key) and subtype(required.key, actual.key)
-        return same_keys and subtype(actual.item, required.item)
-    return True
-
-
-def _finite_proof(actual: Contract, required: Contract) -> bool:
-    """An enumeration proves the bounds of ``required`` by checking each of its values."""
-    import re
-
-    def fits(v: Any) -> bool:
-        number = isinstance(v, (int, Decimal)) and not isinstance(v, bool)
-        size = len(v) if isinstance(v, str) else None
-        return (
-            (not number or _within_bounds(v, required.low, required.high))
-            and (size is None or _within_bounds(size, required.min_length, required.max_length))
-            and (size is None or all(re.search(p, v) for p in required.patterns))
-        )
+    return _PARTS.get(small.kind, lambda big, small: True)(big, small)
 
-    return bool(actual.enum) and all(fits(v) for v in actual.enum)
 
+def _covers_fields(big: Contract, small: Contract) -> bool:
+    def present(name: str) -> bool:
+        return name in small.fields and (big.fields[name].optional or not small.fields[name].optional)
 
-def _within_bounds(value: Any, low: Any, high: Any) -> bool:
-    return (low is None or value >= low) and (high is None or value <= high)
+    return all(present(name) and subtype(small.fields[name], wanted) for name, wanted in big.fields.items())
 
 
-def _tighter(actual: Contract, required: Contract) -> bool:
-    at_least = lambda a, r: r is None or (a is not None and a >= r)
-    at_most = lambda a, r: r is None or (a is not None and a <= r)
-    return (
-        at_least(actual.low, required.low)
-        and at_most(actual.high, required.high)
-        and at_least(actual.min_length, required.min_length)
-        and at_most(actual.max_length, required.max_length)
-        and at_least(actual.min_items, required.min_items)
-        and at_most(actual.max_items, required.max_items)
-        and set(required.patterns) <= set(actual.patterns)
-    )
+# how the parts of a value take part: keys must be the same set, so that looking one up means the same
+_PARTS = {
+    "Record": _covers_fields,
+    "List": lambda big, small: subtype(small.item, big.item),
+    "Option": lambda big, small: subtype(small.item, big.item),
+    "Map": lambda big, small: subtype(small.item, big.item) and subtype(small.key, big.key) and subtype(big.key, small.key),
+}
 
 
 def contract_of(df: DataFrame, name: str = "Row") -> Contract:

@@ -77,9 +77,14 @@ def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys where null equals null, as it does in a window partition."""
+    return match_keys(df, table, keys, "left")
+
+
+def match_keys(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys of ``df`` are kept."""
     renamed = table.withColumnsRenamed({key: f"_k_{key}" for key in keys})
     same = reduce(lambda a, b: a & b, [df[key].eqNullSafe(renamed[f"_k_{key}"]) for key in keys])
-    return df.join(renamed, same, "left").drop(*[f"_k_{key}" for key in keys])
+    return df.join(renamed, same, how).drop(*[f"_k_{key}" for key in keys])
 
 
 def is_chunked(df: DataFrame) -> bool:

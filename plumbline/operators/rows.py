@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.exact import to_decimal
 from plumbline.guards import (
+    LimitError,
     KindError,
-    refuse_when,
     require_between,
     require_columns,
     require_kind,
@@ -123,13 +124,17 @@ def skip(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return position(df, *order).where(F.col("position") >= n)
 
 
+def _count(df: DataFrame) -> int:
+    return df.agg(F.count(F.lit(1))).first()[0]
+
+
 def slice_rows(df: DataFrame, start: int, end: int, *order: Column | str) -> DataFrame:
     """Rows [start, end) under a total order; an end past the table fails."""
     require_between("start", start, 0, end)
-    total = df.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
-    inside = (F.col("position") >= start) & (F.col("position") < end)
-    checked = refuse_when(total < end, F.col("position"), "slice bounds lie outside the list")
-    return first_positions(df, end, *order).where(inside).withColumn("position", checked)
+    # counted first: a check in the rows would vanish with them
+    if end > _count(df):
+        raise LimitError("slice bounds lie outside the list")
+    return first_positions(df, end, *order).where((F.col("position") >= start) & (F.col("position") < end))
 
 
 def concat(first: DataFrame, second: DataFrame, source: str = "part") -> DataFrame:
@@ -159,15 +164,17 @@ def value_page(df: DataFrame, offset: int, limit: int, *order: Column | str) ->
     """Rows [offset, offset + limit) under a total order with count, total and the next offset (null at the end)."""
     require_between("offset", offset, 0, 1 << 62)
     require_between("limit", limit, 1, 1000)
+    total = _count(df)
+    if offset > total:
+        raise LimitError("offset lies past the end of the list")
     placed = first_positions(df, offset + limit, *order)
-    total = df.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
-    end = F.least(F.lit(offset + limit).cast("bigint"), total)
+    end = min(offset + limit, total)
     inside = (F.col("position") >= offset) & (F.col("position") < offset + limit)
     return placed.where(inside).withColumns(
         {
-            "count": refuse_when(total < offset, end - offset, "offset lies past the end of the list"),
-            "total": total,
-            "next_offset": F.when(end < total, end),
+            "count": F.lit(end - offset).cast("bigint"),
+            "total": F.lit(total).cast("bigint"),
+            "next_offset": F.lit(end if end < total else None).cast("bigint"),
         }
     )
 
@@ -190,7 +197,9 @@ def csv_rows(df: DataFrame, columns: Sequence[str], line: str = "line") -> DataF
 
 
 def line_series(df: DataFrame, x: Column, y: Column, order: str) -> DataFrame:
-    """Chart points with an exact decimal y. Rows without a number are left out and counted in ``dropped``."""
-    points = df.select(F.col(order), x.alias("x"), y.try_cast("decimal(38,6)").alias("y"))
+    """Chart points with an exact decimal y; more than six fractional digits fail. Rows without a number are left out and
+    counted in ``dropped``."""
+    number = F.when(y.try_cast("decimal(38,6)").isNotNull(), to_decimal(y, 6))
+    points = df.select(F.col(order), x.alias("x"), number.alias("y"))
     dropped = points.groupBy().agg(F.count_if(F.col("y").isNull()).alias("n")).scalar()
     return points.where(F.col("y").isNotNull()).withColumn("dropped", dropped)

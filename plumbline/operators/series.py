@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.exact import round_div_half_up
+from plumbline.functions.exact import round_div_half_up, to_decimal
 from plumbline.guards import refuse_when, require_between
 from plumbline.operators.ordered import (
+    match_keys,
     MARKS,
     CHUNK_SPAN,
     HOT_ROWS,
@@ -152,9 +153,12 @@ def event_clusters(
 
 
 def collapse_repeats(
-    df: DataFrame, keys: Sequence[str], order: str, message: Sequence[str], keep: int = 500, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: str, message: Sequence[str], keep: int | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Runs of identical consecutive messages as one row with count, first and last; the newest ``keep`` per key."""
+    """Runs of identical consecutive messages as one row with count, first and last.
+
+    With ``keep`` only the newest ``keep`` runs of a key are returned, and ``omitted`` counts its older ones.
+    """
     record = F.struct(*message)
     hot = find_hot(df, keys, hot_rows)
     placed = chunk_hot(df.select(*keys, order, *message), keys, order, hot)
@@ -164,8 +168,13 @@ def collapse_repeats(
     runs = numbered.groupBy(*keys, "run", *message).agg(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("first"), F.max(order).alias("last")
     )
+    if keep is None:
+        return runs.drop(*MARKS)
+    total = F.count(F.lit(1)).alias("_runs")
+    counted = runs.groupBy(*keys).agg(total).withColumn("omitted", F.greatest(F.col("_runs") - keep, F.lit(0)).cast("bigint"))
     # a key has at most as many runs as rows
-    return newest(chunk_hot(runs, keys, "run", hot), keys, "run", keep).drop(*MARKS, "_rank")
+    kept = newest(chunk_hot(runs, keys, "run", hot), keys, "run", keep).drop(*MARKS, "_rank")
+    return match_keys(kept, counted.drop("_runs"), keys)
 
 
 def gap_samples(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -201,7 +210,7 @@ def gap_coverage(
     )
     everything = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
     omitted = (F.col("_all") - F.col("samples") + F.col("_missing")).cast("bigint")
-    return totals.join(everything, list(keys)).select(
+    return match_keys(totals, everything, keys).select(
         *keys, "samples", "gaps", omitted.alias("omitted"), "coverage_start", "coverage_end", "errors"
     )
 
@@ -243,17 +252,18 @@ LOG_RECORD = "struct<stream:map<string,string>,values:array<array<string>>>"
 def series_adapter(df: DataFrame, body: Column, start_us: int, end_us: int) -> DataFrame:
     """Samples of range-matrix records: one row per (series, instant) inside [start, end).
 
-    ``NaN`` becomes a gap with value 0. Two values for one instant of a series fail.
+    ``NaN`` becomes a gap with value 0. Two values for one instant of a series fail, and so do instants and values with
+    more than six fractional digits.
     """
     records = df.select(F.from_json(body, RANGE_RECORD, {"mode": "FAILFAST"}).alias("r"))
     pairs = records.select(label_key(F.col("r.metric")).alias("_key"), F.explode("r.values").alias("p"))
-    micros = (F.get("p", F.lit(0)).cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    micros = (to_decimal(F.get("p", F.lit(0)), 6).cast("decimal(20,6)") * 1_000_000).cast("bigint")
     text = F.get("p", F.lit(1))
     # numbers and flags rather than text, so the duplicate check aggregates by hash
     samples = pairs.select(
         F.when(F.col("_key") == "", "scalar").otherwise(F.col("_key")).alias("series"),
         micros.alias("at_us"),
-        F.when(text == "NaN", F.lit(0)).otherwise(text.cast("decimal(38,6)")).cast("decimal(38,6)").alias("value"),
+        F.when(text == "NaN", F.lit(0)).otherwise(to_decimal(text, 6)).cast("decimal(38,6)").alias("value"),
         (text == "NaN").alias("gap"),
     ).where((F.col("at_us") >= start_us) & (F.col("at_us") < end_us))
     one = samples.groupBy("series", "at_us").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
 from plumbline.guards import require_between, require_kind
-from plumbline.operators.ordered import chunk_hot, find_hot, newest
+from plumbline.operators.ordered import chunk_hot, find_hot, match_keys, newest
 
 
 def sum_where(df: DataFrame, predicate: Column, value: Column) -> DataFrame:
@@ -76,7 +76,7 @@ def log_summary(
         for k in range(1, examples + 1)
         for c in (F.col(f"_p{k}.preview").alias(f"preview_{k}"), F.col(f"_p{k}.shortened").alias(f"shortened_{k}"))
     ]
-    return counts.join(shown, source, "left").select(*counts.columns, *columns)
+    return match_keys(counts, shown, [source], "left").select(*counts.columns, *columns)
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

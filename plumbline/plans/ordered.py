@@ -69,11 +69,10 @@ def event_clusters(spark, sf):
         CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS s FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
     r AS (SELECT *, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM f)
-    SELECT * FROM (SELECT user_id, run, event_type, count(*) AS "count", min(event_id) AS first, max(event_id) AS last FROM r GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) <= 500""",
+    SELECT * FROM (SELECT user_id, run, event_type, count(*) AS "count", min(event_id) AS first, max(event_id) AS last FROM r GROUP BY ALL)""",
 )
 def collapse_repeats(spark, sf):
-    return series.collapse_repeats(load(spark, sf, "events"), ["user_id"], "event_id", ["event_type"], 500)
+    return series.collapse_repeats(load(spark, sf, "events"), ["user_id"], "event_id", ["event_type"])
 
 
 @query(
@@ -81,11 +80,10 @@ def collapse_repeats(spark, sf):
     """WITH f AS (SELECT conv_id, turn, role, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS s FROM conversations
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM f)
-    SELECT * FROM (SELECT conv_id, run, role, count(*) AS "count", min(turn) AS first, max(turn) AS last FROM r GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY run DESC) <= 500""",
+    SELECT * FROM (SELECT conv_id, run, role, count(*) AS "count", min(turn) AS first, max(turn) AS last FROM r GROUP BY ALL)""",
 )
 def collapse_repeats_roles(spark, sf):
-    return series.collapse_repeats(load(spark, sf, "conversations"), ["conv_id"], "turn", ["role"], 500)
+    return series.collapse_repeats(load(spark, sf, "conversations"), ["conv_id"], "turn", ["role"])
 
 
 @query(

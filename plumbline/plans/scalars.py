@@ -62,6 +62,38 @@ def round_div(spark, sf):
     return plain(df)
 
 
+@query(
+    "exact_div_decimal",
+    f"WITH {L} SELECT {_K}, (p::DOUBLE / 25) AS quotient, -(q::DOUBLE * 2) AS negative FROM l",
+)
+def exact_div_decimal(spark, sf):
+    """Decimal operands of unequal scales."""
+    price, quarter = (F.col("p") / 100).cast("decimal(18,2)"), F.lit("0.25").cast("decimal(5,3)")
+    half = F.lit("-0.5").cast("decimal(2,1)")
+    df = lines(spark, sf).select(
+        *LINE_KEYS,
+        exact.exact_div(price, quarter, 2).alias("quotient"),
+        exact.exact_div(F.col("q").cast("decimal(20,0)"), half, 1).alias("negative"),
+    )
+    return plain(df)
+
+
+@query(
+    "round_div_decimal",
+    f"WITH {L} SELECT {_K}, {half_even('p', 'q * 50', 3)} AS rounded, -{half_even('p * 2', 'q * 5', 0)} AS negative FROM l",
+)
+def round_div_decimal(spark, sf):
+    """Decimal operands of unequal scales, with ties and signs."""
+    price, half = (F.col("p") / 100).cast("decimal(18,2)"), (F.col("q") / 2).cast("decimal(12,1)")
+    tenth = (F.col("q") / -40).cast("decimal(12,3)")
+    df = lines(spark, sf).select(
+        *LINE_KEYS,
+        exact.round_div(price, half, 3, operand_scale=2).alias("rounded"),
+        exact.round_div(price, tenth, 0, operand_scale=3).alias("negative"),
+    )
+    return plain(df)
+
+
 @query("int", f"WITH {L} SELECT {_K}, p AS from_text, q AS from_decimal FROM l")
 def int_(spark, sf):
     written = F.concat(F.lit("+"), F.col("p").cast("string"))

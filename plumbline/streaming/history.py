@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.guards import LimitError, require_between
 from plumbline.operators.ordered import (
+    match_keys,
     MARKS,
     HOT_ROWS,
     chunked,
@@ -54,7 +55,7 @@ def rolling_window(
         )
     )
     kept = F.coalesce("kept", F.lit(0))
-    return totals.join(window, list(keys), "left").select(
+    return match_keys(totals, window, keys, "left").select(
         *keys,
         kept.alias("kept"),
         (F.col("_accepted") - kept).alias("omitted"),
@@ -135,7 +136,7 @@ def scan_records(
     if state is not None:
         earlier = state.select(*keys, *[F.col(n).alias(f"_s_{n}") for n in RECORD_STATE])
         zero = F.lit(0).cast("bigint")
-        running = running.join(earlier, list(keys), "left").withColumns(
+        running = match_keys(running, earlier, keys, "left").withColumns(
             {
                 "_peak": F.greatest("_peak", "_s_peak"),
                 "count": F.col("count") + F.coalesce("_s_count", zero),
@@ -222,11 +223,11 @@ def scan_continue(
 ) -> tuple[DataFrame, DataFrame]:
     """Continue every stopped key after its position under raised totals; earlier charges keep counting."""
     before = receipts.select(*keys, F.col("position").alias("_position"))
-    rest = df.join(before, list(keys)).where(F.col("_position").isNull() | (F.col(order) > F.col("_position")))
+    rest = match_keys(df, before, keys).where(F.col("_position").isNull() | (F.col(order) > F.col("_position")))
     prefix, later = scan_bounds(rest.drop("_position"), keys, order, size, produces, limits, receipts, hot_rows)
     charges = ("input_records", "input_charge", "output_records")
     renamed = later.withColumnsRenamed({n: f"_{n}" for n in ("position", "exhausted", "status", *charges)})
-    merged = receipts.join(renamed, list(keys), "left").select(
+    merged = match_keys(receipts, renamed, keys, "left").select(
         *keys,
         F.coalesce("_position", "position").alias("position"),
         # a key that accepted nothing more keeps its charges

@@ -86,3 +86,24 @@ def test_wide_operands_from_columns(spark):
         assert row.q == Decimal(row.a) / row.b and row.r == row.q + 1
     rounded = df.select("a", "b", exact.round_div(a * 9, b, 9).alias("q"), exact.round_div(a * 9, b, 9).alias("r"))
     assert [r.q for r in rounded.collect() if r.a == 7] == [Decimal("7.875")]
+
+
+def test_decimal_operands_keep_their_digits(spark):
+    decimal = lambda text, kind: F.lit(text).cast(kind)
+    assert value(spark, exact.round_div(decimal("7.5", "decimal(3,1)"), decimal("2.5", "decimal(3,1)"), 1, operand_scale=1)) == 3
+    assert value(spark, exact.round_div(decimal("-0.25", "decimal(4,2)"), decimal("0.1", "decimal(3,1)"), 0, operand_scale=2)) == -2
+    assert value(spark, exact.exact_div(decimal("1.5", "decimal(3,1)"), decimal("-0.50", "decimal(4,2)"), scale=2)) == -3
+    assert value(spark, exact.exact_div(lit(4 * 10**18), lit(2))) == 2 * 10**18
+    assert value(spark, exact.exact_div(lit(1), lit(1 << 19))) == Decimal(1) / (1 << 19)
+    assert value(spark, exact.exact_div(lit(-(10**18)), lit(1 << 12))) == Decimal(-(10**18)) / 4096
+    one = spark.range(1)
+    fails(one.select(exact.round_div(decimal("7.5", "decimal(3,1)"), lit(2), 1)), "fractional digits")
+    fails(one.select(exact.exact_div(decimal("1.5", "decimal(3,1)"), decimal("0.5", "decimal(3,1)"))), "fractional digits")
+    fails(one.select(exact.exact_div(lit(1), lit(1 << 20))), "no exact decimal result")
+
+
+def test_text_keeps_all_digits_or_fails(spark):
+    assert value(spark, exact.to_decimal(F.lit("12345678901234567890123"), 0)) == 12345678901234567890123
+    assert value(spark, exact.to_decimal(F.lit("1.5000000000000000000000"), 1)) == Decimal("1.5")
+    fails(spark.range(1).select(exact.to_decimal(F.lit("0.1234567890123456789"), 18)), "fractional digits")
+    fails(spark.range(1).select(exact.to_decimal(F.lit("1e-9"), 6)), "fractional digits")

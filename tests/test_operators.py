@@ -85,7 +85,8 @@ def test_paging(spark):
     page = r.value_page(df, 8, 5, "n").collect()
     assert [(p.n, p["count"], p.total, p.next_offset) for p in page] == [(8, 2, 10, None), (9, 2, 10, None)]
     assert r.value_page(df, 0, 4, "n").first().next_offset == 4
-    fails(r.slice_rows(df, 5, 11, "n"), "outside the list")
+    with pytest.raises(LimitError, match="outside the list"):
+        r.slice_rows(df, 5, 11, "n")
     assert [x.n for x in r.slice_rows(df, 3, 5, "n").orderBy("n").collect()] == [3, 4]
     listing = r.bounded_listing(df, 3, "n").first()
     assert (listing.returned, listing.omitted, listing.complete) == (3, 7, False)
@@ -180,10 +181,10 @@ def test_contracts(spark):
     assert rows(c.contract_check(df, text, "id"), "path", "message")[0] == ("/id", "expected Text")
 
 
-def test_contract_issue_limit(spark):
+def test_many_contract_issues(spark):
     df = spark.range(1).select("id", F.sequence(F.lit(1), F.lit(500)).alias("v"))
     contract = c.record("R", v=c.list_of(c.scalar("Int", low=1000)))
-    assert c.contract_check(df, contract, "id").count() == 100
+    assert c.contract_check(df, contract, "id").count() == 500
 
 
 def test_subtypes():
@@ -256,3 +257,29 @@ def test_text_and_json_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\rstill two\n\nlast")
     assert sorted(x.value for x in framing.read_lines(spark, str(tmp_path)).collect()) == ["", "last", "one", "two\rstill two"]
     fails(framing.read_json_lines(spark, str(tmp_path)), "not valid JSON")
+
+
+def test_guards_hold_whatever_is_read(spark):
+    df = spark.createDataFrame([(1, 5), (2, -5)], "a bigint, b bigint")
+    strict = c.checked(df, c.record("R", a=c.scalar("Int"), b=c.scalar("Int", low=0)))
+    fails(strict.select("a"), "number is outside")
+    with pytest.raises(Exception):
+        strict.count()
+    ten = spark.range(10).withColumnRenamed("id", "n")
+    for bad in (lambda: r.slice_rows(ten, 20, 30, "n"), lambda: r.slice_rows(ten, 5, 30, "n").count(), lambda: r.value_page(ten, 50, 5, "n")):
+        with pytest.raises(Exception):
+            bad()
+
+
+def test_every_violation_is_reported(spark):
+    df = spark.createDataFrame([(1, [9] * 150)], "id bigint, v array<bigint>")
+    contract = c.record("R", v=c.list_of(c.scalar("Int", high=1)))
+    assert c.contract_check(df, contract, "id").count() == 150
+    cut = c.contract_check(df, contract, "id", limit=20).collect()
+    assert len(cut) == 20 and all(x.total == 150 and not x.complete for x in cut)
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (None, 5), (1, 1)], "k bigint, seq bigint")
+    got = {x.k: (x.samples, x.gaps) for x in series.gap_coverage(df, ["k"], "seq", F.lit(False)).collect()}
+    assert got == {None: (3, 1), 1: (1, 0)}
