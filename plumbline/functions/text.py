@@ -9,20 +9,61 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.guards import LimitError, refuse_when
 
 MAX_PATTERN_BYTES = 16 * 1024
-# constructs outside the linear-time dialect
-_OUTSIDE_DIALECT = re.compile(r"\(\?(?:=|!|<[=!]|>)|(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)|[*+?}]\+")
-
 _ESCAPE = "\x1b"
 # 7-bit CSI sequences and terminated OSC sequences
 _TERMINAL = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)"
 
 
+_COUNT = re.compile(r"\{\d+(?:,\d*)?\}")
+_LOOKS = ("(?=", "(?!", "(?<=", "(?<!", "(?>")
+
+
+def _class_end(regex: str, at: int) -> int:
+    """Index behind the character class that opens at ``at``."""
+    depth = 0
+    while at < len(regex):
+        depth += {"[": 1, "]": -1}.get(regex[at], 0)
+        at += 2 if regex[at] == "\\" else 1
+        if depth == 0:
+            break
+    return at
+
+
+def _outside_dialect(regex: str) -> bool:
+    """Whether a pattern looks around, refers back or repeats possessively. Escapes and classes are read as one piece."""
+    at, repeated = 0, False
+    while at < len(regex):
+        char = regex[at]
+        if char == "\\":
+            kind = regex[at + 1 : at + 2]
+            if kind and kind in "123456789" or regex.startswith("k<", at + 1):
+                return True
+            stop = "\\E" if kind == "Q" else "}" if regex[at + 2 : at + 3] == "{" and kind in "pPxN" else ""
+            end = regex.find(stop, at + 2) if stop else at + 2
+            at, repeated = len(regex) if end < 0 else end + len(stop), False
+        elif char == "[":
+            at, repeated = _class_end(regex, at), False
+        elif char == "(":
+            if regex.startswith(_LOOKS, at):
+                return True
+            at, repeated = at + (2 if regex.startswith("(?", at) else 1), False
+        elif char in "*+?" or char == "{" and _COUNT.match(regex, at):
+            if repeated and char == "+":
+                return True
+            at += _COUNT.match(regex, at).end() - at if char == "{" else 1
+            repeated = not repeated  # the mark behind a repeat only says how it repeats
+        else:
+            at, repeated = at + 1, False
+    return False
+
+
 def pattern(regex: str) -> str:
     """Check a pattern and select Unicode classes and LF-only line ends.
 
@@ -30,14 +71,24 @@ def pattern(regex: str) -> str:
     """
     if len(regex.encode()) > MAX_PATTERN_BYTES:
         raise LimitError("pattern exceeds 16 KiB")
-    if _OUTSIDE_DIALECT.search(regex):
+    if _outside_dialect(regex):
         raise LimitError("look-around, back-references and possessive repeats are not supported")
     return f"(?Ud){regex}"
 
 
+def _compiled(regex: str):
+    """The pattern as the JVM reads it, which is what the queries run."""
+    return SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern(regex))
+
+
+def found_in(regex: str, text: str) -> bool:
+    """Whether the pattern occurs in a text, decided while planning."""
+    return _compiled(regex).matcher(text).find()
+
+
 def _nonempty_pattern(regex: str) -> str:
     checked = pattern(regex)
-    if re.search(regex, "") is not None:
+    if found_in(regex, ""):
         raise LimitError("a pattern that matches empty text cannot split")
     return checked
 
@@ -111,7 +162,7 @@ def match_items(text: Column, regex: str) -> Column:
 
 def capture_items(text: Column, regex: str) -> Column:
     """Matches with their groups. A group that took no part is '' (the JVM function does not tell it apart)."""
-    groups = re.compile(regex).groups
+    groups = _compiled(regex).matcher("").groupCount()
     columns = [F.regexp_extract_all(text, F.lit(pattern(regex)), F.lit(i)) for i in range(groups + 1)]
     zipped = F.arrays_zip(*[c.alias(f"g{i}") for i, c in enumerate(columns)])
     return F.transform(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import pattern
+from plumbline.functions.text import found_in, pattern
 from plumbline.guards import KindError, kind_of, refuse_when
 
 CODE = "TYP005"
@@ -266,7 +265,7 @@ def _admits(contract: Contract, value: Any) -> bool:
         if (measured := measure(value)) is not None and not low <= measured <= high:
             return False
     listed = not contract.enum or value in contract.enum
-    return listed and not (isinstance(value, str) and any(re.search(p, value) is None for p in contract.patterns))
+    return listed and not (isinstance(value, str) and not all(found_in(p, value) for p in contract.patterns))
 
 
 def _covers(big: Contract, small: Contract) -> bool:

@@ -37,21 +37,31 @@ def mark_stale(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFram
     return nodes.join(closure, "node", "left").withColumn("state", state).drop("_stale")
 
 
-def execution_levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def execution_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of each node: 0 without dependencies, else one more than its deepest dependency.
 
-    Ordering by level puts every node after what it depends on. A cycle fails when ``max_depth`` is passed.
+    Ordering by level puts every node after what it depends on. A node is placed when its last dependency has been, and the
+    edges it leaves behind are taken out, so each edge and node is handled once. A cycle fails as soon as nothing more can
+    be placed, and an edge of a node that is not listed fails at once.
     """
-    roots = nodes.select("node").join(edges.select(F.col("target").alias("node")), "node", "left_anti")
-    frontier = reliable_checkpoint(roots.distinct())
-    layers = frontier.withColumn("level", F.lit(0))
-    for level in range(1, max_depth + 1):
-        targets = edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"))
-        frontier = reliable_checkpoint(targets.distinct())
+    listed = nodes.select("node").distinct()
+    ends = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node")))
+    if not ends.join(listed, "node", "left_anti").isEmpty():
+        raise ValueError("an edge names a node that is not listed")
+    left = reliable_checkpoint(edges.select("source", "target").distinct())
+    targets = lambda e: e.select(F.col("target").alias("node")).distinct()
+    frontier = reliable_checkpoint(listed.join(targets(left), "node", "left_anti"))
+    layers, level = frontier.withColumn("level", F.lit(0)), 0
+    while not left.isEmpty():
         if frontier.isEmpty():
-            return layers.groupBy("node").agg(F.max("level").alias("level"))
+            raise ValueError("graph has a cycle")
+        level += 1
+        placed = frontier.withColumnRenamed("node", "source")
+        freed = targets(left.join(placed, "source", "left_semi"))
+        left = reliable_checkpoint(left.join(placed, "source", "left_anti"))
+        frontier = reliable_checkpoint(freed.join(targets(left), "node", "left_anti"))
         layers = layers.unionByName(frontier.withColumn("level", F.lit(level)))
-    raise ValueError("graph has a cycle or is deeper than max_depth")
+    return layers
 
 
 def recompute_set(nodes: DataFrame, default_policy: str = "Automatic") -> DataFrame:

@@ -61,6 +61,19 @@ def log_tail(
     )
 
 
+# Texts that readers of these results look for, and the key format of label maps in label_key.
+NO_RATE = {
+    "cpu counters": "CPU counters unavailable",
+    "cpu count": "CPU count unavailable",
+    "cpu order": "CPU requires increasing sample time and system counter, nondecreasing usage, and a valid prior sample",
+    "memory usage": "Memory usage unavailable",
+    "memory cache": "Memory cache counter unavailable; working set cannot be derived",
+    "memory order": "Memory cache exceeds usage; inconsistent sample",
+    "memory limit": "Memory limit unavailable or zero",
+}
+CONNECTION_CAUTION = "Connection gap observed; events during disconnection were not observed."
+
+
 def counter_rates(
     df: DataFrame,
     keys: Sequence[str],
@@ -94,19 +107,16 @@ def counter_rates(
         & c("_cpus").between(1, 1_000_000)
     )
     cpu_reason = (
-        F.when(missing, "CPU counters unavailable")
-        .when(no_cpus, "CPU count unavailable")
-        .when(
-            ~F.coalesce(advancing, F.lit(False)),
-            "CPU requires increasing sample time and system counter, nondecreasing usage, and a valid prior sample",
-        )
+        F.when(missing, NO_RATE["cpu counters"])
+        .when(no_cpus, NO_RATE["cpu count"])
+        .when(~F.coalesce(advancing, F.lit(False)), NO_RATE["cpu order"])
     )
     working = c("_use") - c("_cache")
     memory_reason = (
-        F.when(c("_use").isNull(), "Memory usage unavailable")
-        .when(c("_cache").isNull(), "Memory cache counter unavailable; working set cannot be derived")
-        .when(working < 0, "Memory cache exceeds usage; inconsistent sample")
-        .when(c("_limit").isNull() | (c("_limit") == 0), "Memory limit unavailable or zero")
+        F.when(c("_use").isNull(), NO_RATE["memory usage"])
+        .when(c("_cache").isNull(), NO_RATE["memory cache"])
+        .when(working < 0, NO_RATE["memory order"])
+        .when(c("_limit").isNull() | (c("_limit") == 0), NO_RATE["memory limit"])
     )
     wide = "decimal(25,0)"
     rated = before.withColumns({"cpu_unavailable": cpu_reason, "memory_unavailable": memory_reason})
@@ -232,9 +242,8 @@ def sequence_audit(df: DataFrame, keys: Sequence[str], seq: str, arrival: str, h
 def connection_gap(df: DataFrame, keys: Sequence[str], order: str, epoch: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark rows whose source epoch differs from the one before: events between them were not observed."""
     before = with_previous(chunked(df, keys, order, hot_rows), keys, order, {"_before": epoch})
-    caution = "Connection gap observed; events during disconnection were not observed."
     changed = F.col("_before").isNotNull() & (F.col("_before") != F.col(epoch))
-    return before.withColumn("caution", F.when(changed, caution)).drop("_before", *MARKS)
+    return before.withColumn("caution", F.when(changed, CONNECTION_CAUTION)).drop("_before", *MARKS)
 
 
 def label_key(labels: Column) -> Column:

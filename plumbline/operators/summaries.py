@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
-from plumbline.guards import require_between, require_kind
+from plumbline.guards import require_between, require_kind, required
 from plumbline.operators.ordered import chunk_hot, find_hot, match_keys, newest
 
 
@@ -140,10 +140,14 @@ def rollup_counters(
 
 
 def footprint(references: DataFrame, sizes: DataFrame, root: str, item: str, size: str) -> DataFrame:
-    """Per root: bytes of its distinct objects, how many of them other roots share, and the exclusive rest."""
+    """Per root: bytes of its distinct objects, how many of them other roots share, and the exclusive rest.
+
+    An object without a size fails: its root would look smaller than it is.
+    """
     pairs = references.select(root, item).distinct()
     holders = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_roots"))
-    objects = holders.join(sizes.select(item, F.col(size).alias("_size")), item)
+    objects = match_keys(holders, sizes.select(item, F.col(size).alias("_size")), [item], "left")
+    objects = objects.withColumn("_size", required(F.col("_size"), "object has no size"))
     held = pairs.join(objects, item)
     bytes_of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_size"))), F.lit(0)).cast("bigint")
     return held.groupBy(root).agg(

@@ -166,44 +166,39 @@ def frame_delimited(spark, sf):
     return framing.frame_lines(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", ", ")
 
 
-# bytes cut after 300: the cut may split a character
-_SPLITS = "strlen(text) > 300 AND NOT list_contains(list_transform(range(301), lambda n: strlen(left(text, n))), 300)"
+# French documents get a byte that UTF-8 never holds in their middle
+_DAMAGED = """d AS (SELECT doc_id, text, lang = 'fr' AS bad, strlen(text) + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS size FROM documents)"""
 
 
-def _clipped(spark, sf):
-    docs = load(spark, sf, "documents")
+def _damaged(spark, sf):
     raw = F.encode("text", "utf-8")
-    data = F.when(F.col("n_chars") > 4000, raw).otherwise(F.substring(raw, 1, 300))
-    return docs.select("doc_id", data.alias("data"))
+    middle = F.floor(F.octet_length(raw) / 2).cast("int")
+    broken = F.concat(F.substring(raw, F.lit(1), middle), F.lit(b"\xff"), F.substring(raw, middle + 1, F.octet_length(raw)))
+    return load(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "fr", broken).otherwise(raw).alias("data"))
 
 
 @query(
     "frame_reject",
-    f"""SELECT doc_id, CASE WHEN n_chars > 4000 THEN 'raw_limit' WHEN {_SPLITS} THEN 'invalid_utf8' END AS reason,
-      CASE WHEN n_chars <= 4000 AND NOT ({_SPLITS}) THEN length(text) > 0 END AS decoded,
-      CASE WHEN n_chars > 4000 THEN 40 WHEN {_SPLITS} THEN 40 END AS excerpt_bytes,
-      n_chars > 4000 OR ({_SPLITS}) AS excerpt_truncated FROM documents""",
+    f"""WITH {_DAMAGED}, r AS (SELECT *, CASE WHEN size > 4000 THEN 'raw_limit' WHEN bad THEN 'invalid_utf8' END AS reason FROM d)
+    SELECT doc_id, reason, CASE WHEN reason IS NULL THEN length(text) > 0 END AS decoded,
+      CASE WHEN reason IS NOT NULL THEN least(size, 40)::INT END AS excerpt_bytes,
+      reason IS NOT NULL AND size > 40 AS excerpt_truncated FROM r""",
 )
 def frame_reject(spark, sf):
-    tagged = framing.frame_reject(_clipped(spark, sf), "data", raw_limit=4000, decoded_limit=1 << 20, excerpt=40)
+    tagged = framing.frame_reject(_damaged(spark, sf), "data", raw_limit=4000, decoded_limit=1 << 20, excerpt=40)
     return tagged.select(
         "doc_id", "reason", (F.length("text") > 0).alias("decoded"), F.octet_length("excerpt").alias("excerpt_bytes"), "excerpt_truncated"
     )
 
 
-@query(
-    "decode_utf8",
-    f"""WITH r AS (SELECT doc_id, text, list_max(list_transform(list_filter(range(301), lambda n: strlen(left(text, n)) <= 300), lambda n: strlen(left(text, n)))) AS fits,
-        n_chars <= 4000 AND ({_SPLITS}) AS splits FROM documents)
-    SELECT doc_id, NOT splits AS strict_ok, splits AS replaced FROM r""",
-)
+@query("decode_utf8", f"WITH {_DAMAGED} SELECT doc_id, NOT bad AS strict_ok, bad AS replaced FROM d")
 def decode_utf8(spark, sf):
-    clipped = _clipped(spark, sf)
+    damaged = _damaged(spark, sf)
     valid = F.is_valid_utf8(F.col("data").cast("string"))
     # strict decoding fails the query on malformed bytes, so it only sees the valid ones here
     strict = F.when(valid, text_functions.decode_utf8(F.when(valid, F.col("data"))))
     lossy = text_functions.decode_utf8(F.col("data"), lossy=True)
-    return clipped.select("doc_id", strict.isNotNull().alias("strict_ok"), lossy.contains("�").alias("replaced"))
+    return damaged.select("doc_id", strict.isNotNull().alias("strict_ok"), lossy.contains("�").alias("replaced"))
 
 
 @query(

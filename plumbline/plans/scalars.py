@@ -347,6 +347,18 @@ def regex_test(spark, sf):
     )
 
 
+@query(
+    "regex_test_repeats",
+    r"""SELECT doc_id, regexp_matches(text, '[*+]+') AS marks, regexp_matches(text, '\++') AS pluses, regexp_matches(text, '^\p{L}+ ') AS word_first
+    FROM documents""",
+)
+def regex_test_repeats(spark, sf):
+    """Repeats of escapes and classes, which are no possessive repeats."""
+    t = F.col("text")
+    tests = {"marks": "[*+]+", "pluses": r"\++", "word_first": r"^\p{L}+ "}
+    return load(spark, sf, "documents").select("doc_id", *[text.regex_test(t, p).alias(name) for name, p in tests.items()])
+
+
 @query("strip_ansi", "SELECT conv_id, turn, role || ': ' || text AS clean, 2::BIGINT AS runs, strlen(role) + 9 AS second_start FROM conversations")
 def strip_ansi(spark, sf):
     colored = F.concat(F.lit("\x1b[1;31m"), F.col("role"), F.lit("\x1b[0m"), F.lit("\x1b]0;t\x07"), F.lit(": "), F.col("text"))

@@ -232,9 +232,10 @@ def _three_generations(spark, sf):
     """Events written as a dataset of three generations split by time."""
     path = run_folder(spark, "dataset")
     df = events(spark, sf).select("event_id", "ts", "user_id", "cents")
-    days = ["2024-01-01", "2024-01-11", "2024-01-21", "2100-01-01"]
-    for generation, (start, end) in enumerate(zip(days, days[1:])):
-        part = df.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    first, second = (F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21"))
+    number = F.when(F.col("ts") < first, 0).when(F.col("ts") < second, 1).otherwise(2)
+    for generation in range(3):
+        part = df.where(number == generation)
         datasets.append(part.drop("ts"), path, generation, "event_id")
     return path
 

@@ -66,10 +66,14 @@ def rolling_window(
     )
 
 
+# The two loss reports of a window.
+OMITTED, REJECTED = "Stream window omitted %d older items.", "Stream rejected %d invalid items."
+
+
 def loss_cautions(omitted: Column, rejected: Column) -> Column:
     """The two loss reports of a window as text, none where nothing was lost."""
-    older = F.when(omitted > 0, F.format_string("Stream window omitted %d older items.", omitted))
-    invalid = F.when(rejected > 0, F.format_string("Stream rejected %d invalid items.", rejected))
+    older = F.when(omitted > 0, F.format_string(OMITTED, omitted))
+    invalid = F.when(rejected > 0, F.format_string(REJECTED, rejected))
     return F.array_compact(F.array(older, invalid))
 
 

@@ -154,8 +154,13 @@ def test_lineage(spark):
     assert levels == {"a": 0, "b": 1, "c": 2, "d": 3, "x": 0, "z": 0}
     loop = edges.unionByName(spark.createDataFrame([("d", "b")], "source string, target string"))
     assert rows(lineage.downstream(loop, start)) == [("b",), ("c",), ("d",)]
-    with pytest.raises(ValueError):
-        lineage.execution_levels(nodes, loop, max_depth=8)
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.execution_levels(nodes, loop)
+    with pytest.raises(ValueError, match="not listed"):
+        lineage.execution_levels(nodes.where("node != 'x'"), edges)
+    pair = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.execution_levels(nodes, pair)
 
 
 def test_status_codes(spark):

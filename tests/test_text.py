@@ -147,3 +147,21 @@ def test_byte_range(spark):
     data = F.encode(F.lit("hello"), "utf-8")
     assert bytes(value(spark, framing.byte_range(data, 1, 3))) == b"ell"
     fails(spark.range(1).select(framing.byte_range(data, 6, 1)), "past the end")
+
+
+@pytest.mark.parametrize("regex", [r"\++", "[*+]+", r"\p{L}+", r"\p{Z}+", r"a+?", r"a{2}?", r"[\]+]+", r"\Q++\E", r"(?i)a+", r"(?<n>a)+", "[a[b+]]+", r"\\+"])
+def test_patterns_of_the_dialect(spark, regex):
+    assert text.pattern(regex).endswith(regex)
+
+
+@pytest.mark.parametrize("regex", ["a++", "a?+", "a*+", r"\d{2}+", "(a)++", r"\1", r"(a)\k<n>", "(?=a)", "(?<!a)b", "(?>a)", r"[+]++"])
+def test_patterns_outside_the_dialect(spark, regex):
+    with pytest.raises(LimitError):
+        text.pattern(regex)
+
+
+def test_groups_are_counted_as_the_jvm_reads_them(spark):
+    got = value(spark, text.capture_items(F.lit("ab 12"), r"(\p{L}+)\s(?<n>\d)"))
+    assert got[0]["groups"] == ["ab", "1"]
+    with pytest.raises(LimitError):
+        text.regex_split_items(F.lit("x"), r"\p{N}*")
