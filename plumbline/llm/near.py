@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import SPACED, U64, find_words, grams, mix, row_count, settled, text_slices
 
+SPARE_BLOCKS = 0.4  # per block in which linked sets can differ: more make the filter sharper and the shuffle larger
 STAR_ROUNDS = 6  # at most; the rest is compared pair by pair
 BROADCAST_ROWS = 1 << 20  # ids (8 bytes each) broadcast at most
 FEW = 0.05  # a round that links a smaller share of what it compares is the last one
@@ -53,8 +54,8 @@ class Shape:
             ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent) if percent < 100 else ends[-1] * 2)
         self.ends = np.array(ends, _I64)  # upper ends of the classes
         differ = 2 * self.ends * (100 - percent) // (100 + percent)  # most elements in which linked sets differ
-        # more blocks than can differ: linked sets share at least the spare ones. Higher percentages can afford more
-        ratio = 1.0 if percent >= 90 else 0.4
+        # more blocks than can differ: linked sets share at least the spare ones
+        ratio = SPARE_BLOCKS
         self.spare = np.where(differ > 0, np.maximum(2, (differ * ratio).astype(_I64)), 0)
         self.blocks = np.where(differ > 0, differ + self.spare, 0)
         mean = (100 + percent) / (2 * max(100 - percent, 1)) / (1 + ratio) * percent / 100  # elements of a block
@@ -102,6 +103,11 @@ def _set_numbers(value: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return mix(total[borders[1:]] - total[borders[:-1]] + np.diff(borders).astype(U64)).view(_I64)
 
 
+def _mark(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Keys whose lowest bit tells an even size class from an odd one: a set has lists in one of each."""
+    return (keys & ~U64(1) | level.astype(U64) & U64(1)).view(_I64)
+
+
 def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, wanted: np.ndarray, shape: Shape):
     """Per text the keys and number of its block lists at ``level``, and how many must be shared (-1: none wanted)."""
     sizes = np.diff(borders)
@@ -119,7 +125,7 @@ def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, want
     ends = np.append(at[1:], len(row))
     content = total[ends] - total[at]
     place = level[row[at]].astype(U64) << U64(40) | number[at]
-    keys = mix(content + mix(place + U64(1))).view(_I64)
+    keys = _mark(mix(content + mix(place + U64(1))), level[row[at]])
     size = ends - at
     thick = np.bincount(row[at][size >= shape.thin], minlength=len(sizes))
     # thin blocks may be alike without having a list, so they count as shared
@@ -134,7 +140,7 @@ def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, want
         empty = ~np.isin(again << 40 | nth, row[at] << 40 | number[at].astype(_I64))
         again, nth = again[empty], nth[empty]
         place = level[again].astype(U64) << U64(40) | nth.astype(U64)
-        keys = np.concatenate([keys, mix(mix(place + U64(1))).view(_I64)])
+        keys = np.concatenate([keys, _mark(mix(mix(place + U64(1))), level[again])])
         owner = np.concatenate([owner, again])
         order = np.argsort(owner, kind="stable")
         keys, owner = keys[order], owner[order]
@@ -151,7 +157,8 @@ _INDEX = "doc_id bigint, n bigint, `set` bigint, keys0 array<bigint>, need0 bigi
 
 
 def index_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per text: set size, number of the set, and the keys of its block lists in its own and the next size class."""
+    """Per text: set size, number of the set, the keys of its block lists in its own and the next size class, and how many
+    of those in an even class (``need0``) and in an odd one (``need1``) must be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = Shape(percent)
@@ -162,6 +169,8 @@ def index_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 own, spill = shape.classes(sizes)
                 keys0, filled0, need0 = _block_lists(value, cut, own, sizes > 0, shape)
                 keys1, filled1, need1 = _block_lists(value, cut, own + 1, spill & (sizes > 0), shape)
+                even = own % 2 == 0
+                need0, need1 = np.where(even, need0, need1), np.where(even, need1, need0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, end - first),
@@ -369,10 +378,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     index = settled(index_sets(docs, words, percent), "sets")
     classes = settled(index.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first_doc")), "classes")
     # a set takes part once per size class; equal sets have equal rows
-    part = lambda level: index.select("set", F.lit(level).alias("level"), F.explode(f"keys{level}").alias("key"))
-    entries = part(0).unionByName(part(1))
+    entries = index.select("set", F.explode(F.concat("keys0", "keys1")).alias("key"))
     shared = entries.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("key")
-    hits = settled(entries.join(shared, "key", "left_semi").distinct(), "hits")
+    hits = entries.join(shared, "key", "left_semi").distinct().select("set", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("level"))
     need = index.select("set", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"need{i}").alias("need")) for i in (0, 1)])).alias("x"))
     need = need.select("set", "x.*").where("need > -1").distinct()
     enough = hits.groupBy("set", "level").agg(F.count(F.lit(1)).alias("hit")).join(need, ["set", "level"]).where("hit >= need")
