@@ -123,6 +123,27 @@ def accumulate_bounded(spark, sf):
     return history.accumulate(deliveries(spark, sf), ["user_id"], "event_id", "seq", "cents", 10, "error")
 
 
+@query(
+    "accumulate_items",
+    f"""WITH {DELIVERY}, w AS (SELECT *, event_id // 4000 AS epoch, lag(seq) OVER u AS b, lag(event_id // 4000) OVER u AS e FROM d
+      WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
+    j AS (SELECT *, CASE WHEN b IS NOT NULL AND epoch <> e THEN 'ACC005' WHEN b IS NULL AND seq <> 1 THEN 'ACC006'
+      WHEN b IS NOT NULL AND seq - b NOT IN (0, 1) THEN 'ACC003' END AS error FROM w),
+    s AS (SELECT user_id, min(event_id) FILTER (error IS NOT NULL) AS stop, arg_min(error, event_id) FILTER (error IS NOT NULL) AS error FROM j GROUP BY 1),
+    a AS (SELECT j.user_id, seq, cents, epoch, max(seq) OVER (PARTITION BY j.user_id) AS top FROM j JOIN s ON s.user_id = j.user_id
+      WHERE (stop IS NULL OR event_id < stop) AND (b IS NULL OR seq = b + 1)),
+    t AS (SELECT user_id, string_agg(cents::VARCHAR, ',' ORDER BY seq) AS items, max(seq) AS sequence, max(epoch)::VARCHAR AS epoch, max(seq) - count(*) AS dropped
+      FROM a WHERE seq > top - 10 GROUP BY 1)
+    SELECT s.user_id, coalesce(items, '') AS items, epoch, sequence, dropped, error FROM s LEFT JOIN t ON t.user_id = s.user_id""",
+)
+def accumulate_items(spark, sf):
+    """Histories with their items, ended by another epoch of the source."""
+    df = deliveries(spark, sf).withColumn("epoch", F.call_function("div", F.col("event_id"), F.lit(4000)))
+    found = history.accumulation(df, ["user_id"], "event_id", "seq", "cents", 10, "drop-oldest", epoch="epoch")
+    items = F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items")
+    return found.select("user_id", items, "checkpoint.epoch", "checkpoint.sequence", "checkpoint.dropped", "error")
+
+
 @query("accumulate_stream", _DROP_OLDEST)
 def accumulate_stream(spark, sf):
     stream = stateful.accumulate_stream(delivery_stream(spark, sf), ["user_id"], "event_id", "seq", "cents", 10, "drop-oldest")

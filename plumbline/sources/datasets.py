@@ -39,13 +39,20 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Committed generations; empty for a dataset that does not exist yet."""
     try:
         return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _MANIFEST)
 
 
 def append(df: DataFrame, path: str, generation: int, *order: Column | str, lifecycle: str = "open") -> None:
-    """Write one generation. Its ordinals continue those of the generations before it, in the given total order."""
+    """Write one generation. Its ordinals continue those of the generations before it, in the given total order.
+
+    Only the last generation can be written again: another size would overlap the ordinals of later ones.
+    """
     spark = df.sparkSession
+    if not manifest(spark, path).where(F.col("generation") > generation).isEmpty():
+        raise ValueError("only the last generation of a dataset can be replaced")
     earlier = manifest(spark, path).where(F.col("generation") < generation)
     known = earlier.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n"), F.max("schema_digest").alias("s")).first()
     if known.s is not None and known.s != schema_digest(df):
@@ -66,19 +73,21 @@ def append(df: DataFrame, path: str, generation: int, *order: Column | str, life
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all generations with ``generation`` (a partition column) and ``ordinal``."""
-    return spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*")
+    """Rows of all committed generations with ``generation`` (a partition column) and ``ordinal``."""
+    stored = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*")
+    return stored.join(manifest(spark, path).select("generation"), "generation", "left_semi")
 
 
-def prefix_digest(spark: SparkSession, path: str, generation: int) -> int:
-    """Digest of the exact prefix up to a generation, from the manifest alone."""
+def prefix_digest(spark: SparkSession, path: str, generation: int) -> str:
+    """Anchor of the exact prefix up to a generation, its record count and digest, from the manifest alone."""
     upto = manifest(spark, path).where(F.col("generation") <= generation)
-    return upto.agg(F.coalesce(F.bit_xor("digest"), F.lit(0)).alias("d")).first().d
+    found = upto.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("digest"), F.lit(0)).alias("d")).first()
+    return f"{found.n}:{found.d}"
 
 
-def snapshot(spark: SparkSession, path: str, generation: int, digest: int) -> DataFrame:
+def snapshot(spark: SparkSession, path: str, generation: int, anchor: str) -> DataFrame:
     """Rows of an exact prefix. A changed anchor is refused; it never becomes "latest"."""
-    if prefix_digest(spark, path, generation) != digest:
+    if prefix_digest(spark, path, generation) != anchor:
         raise ValueError("dataset prefix does not match its anchor")
     return records(spark, path).where(F.col("generation") <= generation)
 

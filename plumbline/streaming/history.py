@@ -77,30 +77,27 @@ def loss_cautions(omitted: Column, rejected: Column) -> Column:
     return F.array_compact(F.array(older, invalid))
 
 
-def accumulate(
-    df: DataFrame,
-    keys: Sequence[str],
-    arrival: str,
-    seq: str,
-    item: str,
-    limit: int,
-    overflow: str = "error",
-    hot_rows: int = HOT_ROWS,
+def _judged(
+    df: DataFrame, keys: Sequence[str], arrival: str, seq: str, item: str, limit: int, overflow: str, hot_rows: int, epoch: str | None = None
 ) -> DataFrame:
-    """Checkpoint and history totals per source run after all deliveries.
-
-    Deliveries must count 1, 2, 3...; repeating the last number changes nothing. The first other delivery ends the
-    history: ACC006 where nothing was accepted yet, ACC003 for a gap or backward step, ACC004 beyond the limit.
-    """
+    """Deliveries with ``_error`` (of the first wrong ones), ``_sequence`` (last accepted number) and ``_held``."""
     require_between("limit", limit, 1, MAX_ACCUMULATED)
     if overflow not in ("error", "drop-oldest"):
         raise LimitError("overflow must be error or drop-oldest")
-    placed = chunked(df.select(*dict.fromkeys([*keys, arrival, seq, item])), keys, arrival, hot_rows)
-    before = with_previous(placed, keys, arrival, {"_seen": seq})
+    used = [*keys, arrival, seq, item, *([epoch] if epoch else [])]
+    placed = chunked(df.select(*dict.fromkeys(used)), keys, arrival, hot_rows)
+    fields = {"_seen": seq} | ({"_run": epoch} if epoch else {})
+    before = with_previous(placed, keys, arrival, fields)
     step = F.col(seq) - F.col("_seen")
     regular = F.when(F.col("_seen").isNull(), F.col(seq) == 1).otherwise(step.isin(0, 1))
     full = F.lit(overflow == "error") & (F.col(seq) > limit)
-    error = F.when(~regular & F.col("_seen").isNull(), "ACC006").when(~regular, "ACC003").when(full, "ACC004")
+    other_run = F.col("_seen").isNotNull() & ~F.col("_run").eqNullSafe(F.col(epoch)) if epoch else F.lit(False)
+    error = (
+        F.when(other_run, "ACC005")
+        .when(~regular & F.col("_seen").isNull(), "ACC006")
+        .when(~regular, "ACC003")
+        .when(full, "ACC004")
+    )
     judged = before.withColumn("_error", error)
     # what follows the first error of a source is not accepted, and a repeated delivery (step 0) is not an item
     failed = F.when(F.col("_error").isNotNull(), 1).otherwise(0).cast("bigint")
@@ -110,19 +107,84 @@ def accumulate(
     reached = with_totals(
         counted.withColumn("_accepted", accepted), keys, {"_sequence": F.max(F.when(F.col("_accepted"), F.col(seq)))}
     )
-    held = F.col("_accepted") & (F.col(seq) > F.col("_sequence") - limit)
+    return reached.withColumn("_held", F.col("_accepted") & (F.col(seq) > F.col("_sequence") - limit))
+
+
+def _first_error(arrival: str) -> Column:
+    return F.min(F.when(F.col("_error").isNotNull(), F.struct(F.col(arrival), F.col("_error").alias("code")))).alias("_stop")
+
+
+def accumulate(
+    df: DataFrame,
+    keys: Sequence[str],
+    arrival: str,
+    seq: str,
+    item: str,
+    limit: int,
+    overflow: str = "error",
+    hot_rows: int = HOT_ROWS,
+    epoch: str | None = None,
+) -> DataFrame:
+    """Checkpoint and history totals per source run after all deliveries.
+
+    Deliveries must count 1, 2, 3...; repeating the last number changes nothing. The first other delivery ends the
+    history: ACC005 if it belongs to another ``epoch`` of the source, ACC006 where nothing was accepted yet, ACC003 for a
+    gap or backward step, ACC004 beyond the limit.
+    """
     zero = F.lit(0).cast("bigint")
-    folded = reached.groupBy(*keys).agg(
-        F.count_if(held).alias("items"),
+    folded = _judged(df, keys, arrival, seq, item, limit, overflow, hot_rows, epoch).groupBy(*keys).agg(
+        F.count_if("_held").alias("items"),
         F.coalesce(F.max("_sequence"), zero).alias("sequence"),
-        F.coalesce(F.sum(F.when(held, F.col(item))), zero).cast("bigint").alias("total"),
-        F.min(F.when(F.col("_error").isNotNull(), F.struct(F.col(arrival), F.col("_error").alias("code")))).alias("_stop"),
+        F.coalesce(F.sum(F.when(F.col("_held"), F.col(item))), zero).cast("bigint").alias("total"),
+        _first_error(arrival),
     )
     return folded.select(
         *keys, "items", "sequence", (F.col("sequence") - F.col("items")).alias("dropped"), "total", F.col("_stop.code").alias("error")
     )
 
 
+def accumulation(
+    df: DataFrame,
+    keys: Sequence[str],
+    arrival: str,
+    seq: str,
+    item: str,
+    limit: int,
+    overflow: str = "error",
+    epoch: str | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The history itself: per source its ``items`` in order, their ``checkpoint`` and the ``error`` that ended it.
+
+    Items may be of any kind; a list holds at most ``limit`` of them. The checkpoint names version, epoch, sequence, limit,
+    overflow and dropped; it is null where nothing was accepted. Rules as for :func:`accumulate`.
+    """
+    judged = _judged(df, keys, arrival, seq, item, limit, overflow, hot_rows, epoch)
+    run = F.col(epoch).cast("string") if epoch else F.lit(None).cast("string")
+    held = F.collect_list(F.when(F.col("_held"), F.struct(F.col(seq).alias("seq"), F.col(item).alias("item"))))
+    folded = judged.groupBy(*keys).agg(
+        held.alias("held"),
+        F.max("_sequence").alias("sequence"),
+        F.max(F.when(F.col("_accepted"), run)).alias("epoch"),
+        _first_error(arrival),
+    )
+    ordered = F.array_sort("held", lambda a, b: (a["seq"] - b["seq"]).cast("int"))
+    checkpoint = F.struct(
+        F.lit(1).alias("version"),
+        "epoch",
+        "sequence",
+        F.lit(limit).alias("limit"),
+        F.lit(overflow).alias("overflow"),
+        (F.col("sequence") - F.size("held")).alias("dropped"),
+    )
+    return folded.select(
+        *keys,
+        F.transform(ordered, lambda h: h["item"]).alias("items"),
+        F.when(F.col("sequence").isNotNull(), checkpoint).alias("checkpoint"),
+        F.col("_stop.code").alias("error"),
+    )
+
+
 RECORD_STATE = ("count", "sum", "peak")
 
 

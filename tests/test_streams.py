@@ -158,3 +158,28 @@ def test_fork_and_rollup_over_batches(spark, sf):
     where = publish.live_rollup(stream_of(spark, folder, df), "event_id", 20, plans.health_of)
     last = df.agg(F.max("event_id")).first()[0]
     assert rows(publish.latest_rollup(spark, where)) == rows(plans.health_of(df.where(F.col("event_id") > last - 20)))
+
+
+def test_only_committed_generations_are_read(spark, tmp_path):
+    path = str(tmp_path / "d")
+    datasets.append(spark.range(10), path, 0, "id")
+    anchor = datasets.prefix_digest(spark, path, 0)
+    spark.range(10, 20).withColumn("ordinal", F.col("id")).write.parquet(f"{path}/records/generation=1")  # no manifest row
+    assert datasets.records(spark, path).count() == 10
+    assert datasets.snapshot(spark, path, 5, anchor).count() == 10
+    datasets.append(spark.range(10, 15), path, 1, "id")
+    assert datasets.records(spark, path).count() == 15
+    with pytest.raises(ValueError, match="only the last generation"):
+        datasets.append(spark.range(5), path, 0, "id")
+
+
+def test_histories_with_items_and_epochs(spark):
+    data = [("a", 1, 1, "x", "r1"), ("a", 2, 2, "y", "r1"), ("a", 3, 2, "y", "r1"), ("a", 4, 3, "z", "r1"), ("a", 5, 4, "w", "r2"),
+            ("b", 1, 2, "x", "r1"), (None, 1, 1, "n", None)]
+    df = spark.createDataFrame(data, "k string, at bigint, seq bigint, item string, epoch string")
+    for hot_rows in (2, 100):
+        got = {r.k: r for r in history.accumulation(df, ["k"], "at", "seq", "item", 2, "drop-oldest", "epoch", hot_rows).collect()}
+        assert got["a"]["items"] == ["y", "z"] and got["a"].error == "ACC005"
+        assert tuple(got["a"].checkpoint) == (1, "r1", 3, 2, "drop-oldest", 1)
+        assert got["b"]["items"] == [] and got["b"].checkpoint is None and got["b"].error == "ACC006"
+        assert got[None]["items"] == ["n"] and got[None].error is None
