@@ -1,6 +1,7 @@
 """Operators on whole texts against brute force, with odd inputs."""
 
 import hashlib
+import random
 import re
 import struct
 
@@ -272,3 +273,17 @@ def test_collisions_estimate_generalised_jaccard(spark):
         want = sum(min(a.get(t, 0), b.get(t, 0)) for t in terms) / sum(max(a.get(t, 0), b.get(t, 0)) for t in terms)
         got = sum(x == y for x, y in zip(found[i, 0], found[i, 1])) / count
         assert abs(got - want) < 0.08
+
+
+def test_likenesses_are_close_to_the_true_ones(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):  # every second text is followed by a copy with four words in a row replaced
+        words = [f"w{rng.randrange(10**6)}" for _ in range(45)]
+        texts += [" ".join(words), " ".join(words[:20] + [f"e{rng.randrange(10**6)}" for _ in range(4)] + words[24:])]
+    df = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {-r["doc_id"]: r for r in fingerprints.compare_neighbours(df).collect()}
+    assert all(len(r["fingerprint"]) >= 8 * 64 for r in got.values())
+    errors = [got[i]["near_next"] - 40 / 50 for i in range(0, len(texts), 2)]
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.075
+    assert got[1]["near_next"] == 0
