@@ -81,7 +81,8 @@ FROM m"""
 
 @query("op7_url_rules", OP7_SQL)
 def op7_url_rules(spark, sf):
-    return urls.judge_urls(load(spark, sf, "pages").select("page_id", "url"), SITE_RULES).drop("url")
+    # with the patterns that OP7_SQL states; judge_urls has a longer list of its own
+    return urls.judge_urls(load(spark, sf, "pages").select("page_id", "url"), SITE_RULES, urls.REFERENCE_PATTERNS).drop("url")
 
 
 @query("op8_language_id")

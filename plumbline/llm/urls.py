@@ -35,7 +35,8 @@ class PatternRule(NamedTuple):
     pattern: str
 
 
-DEFAULT_PATTERNS = (
+# the patterns that the reference SQL of op7_url_rules states; '.' and '-' are no separators for ^
+REFERENCE_PATTERNS = (
     PatternRule("block", "||spam-"),
     PatternRule("block", "-pills."),
     PatternRule("block", "^casino^"),
@@ -43,6 +44,25 @@ DEFAULT_PATTERNS = (
     PatternRule("block", "://*/popunder/"),
 )
 
+# words that fill a host label or begin one before a hyphen, as in casino.example.com and m.casino-win.example.com
+_HOST_WORDS = (
+    *("casino", "casinos", "poker", "slots", "roulette", "blackjack", "jackpot", "betting", "sportsbet", "bets"),
+    *("free-bets", "free-bet", "free-spins", "free-casino", "online-casino", "online-poker", "online-slots", "live-casino"),
+    *("adult", "porn", "porno", "xxx", "sex-cams", "sexcams", "live-sex", "escorts", "hentai"),
+    *("ads", "ad-server", "adserver", "adservice", "adclick", "ads-track", "ad-track", "adtrack", "track-ads", "popunder", "popads", "clickbait"),
+    *("cheap-pills", "pills", "viagra", "cialis", "levitra", "cheap-meds", "online-pharmacy", "cheap-pharmacy", "discount-pharmacy", "buy-pills"),
+    *("link-farm", "linkfarm", "spam-farm", "get-rich", "make-money", "payday-loans", "replica-watches"),
+)
+# whole path segments
+_PATH_WORDS = ("adclick", "adclicks", "adserver", "adserve", "popunder", "popup-ads", "banner-ads", "track-click", "casino-bonus", "free-spins", "viagra", "cialis", "xxx", "porn")
+
+DEFAULT_PATTERNS = (
+    *REFERENCE_PATTERNS,
+    *(PatternRule("block", f"||{word}{end}") for word in _HOST_WORDS for end in "-."),
+    *(PatternRule("block", f"/{word}^") for word in _PATH_WORDS),
+    *(PatternRule("allow", f"||adult-{word}") for word in ("education", "learning", "literacy", "care", "social-care")),
+)
+
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty without ``://``."""

@@ -102,6 +102,21 @@ def test_url_rules(spark):
     assert urls.judge_urls(df, (), ()).where("verdict != 'allow'").count() == 0
 
 
+def test_shipped_patterns(spark):
+    blocked = [
+        *("http://m.casino-win.example.com/en/4033.html", "https://free-bets.example.com/en/5462#top", "https://m.ads-track.example.com/en/9823"),
+        *("https://blog.adult-x.example.net/fr/9689/", "http://www.spam-farm.example.com/fr/907?utm_source=feed", "https://www.cheap-pills.example.com/de/6652.html"),
+        *("https://casino.example.com", "http://viagra.example.net/a", "http://XXX.example.net/", "http://h.net/adclick?x=1", "http://h.net/a/casino-bonus/", "http://h.net/porn"),
+    ]
+    allowed = [
+        *("http://example.com/casino-win.html", "http://mycasino.example.com/", "https://h.net/en/free-bets-explained"),
+        *("https://adult-education.example.org/", "http://uploads-track.example.com/", "http://grads.example.com/", "http://h.net/adclicker", "http://pillsbury.example.com/", "http://h.net/?u=http://a/adult"),
+    ]
+    df = spark.createDataFrame([(u,) for u in [*blocked, *allowed]], "url string")
+    got = {r["url"]: r["verdict"] for r in urls.judge_urls(df, ()).collect()}
+    assert got == dict.fromkeys(blocked, "block") | dict.fromkeys(allowed, "allow")
+
+
 def test_rules_are_filed_under_whole_tokens():
     assert urls.rule_tokens(urls.PatternRule("block", "ads/banner*")) == []
     assert urls.rule_tokens(urls.PatternRule("block", "/ads/ban*ner^x|")) == ["ads", "x"]
