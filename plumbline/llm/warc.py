@@ -21,9 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SOFTWARE = "plumbline warc derivatives"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?<=/)>|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+# a head ends at its end tag, or at the first tag or text that cannot stand in one
+_HEAD = re.compile(
+    r"<head\b[^>]*(?:>|\Z)(?:\s|<title\b[^>]*>.*?(?:</title\s*>|\Z)|<(?:meta|link|base|basefont|bgsound)\b[^>]*(?:>|\Z)"
+    r"|</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<![^>]*>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|nav|header|footer|blockquote|pre|main|aside|form)\b[^>]*|br\b[^>]*|hr\b[^>]*)>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
@@ -70,7 +75,8 @@ def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
 def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of ``pages(page_id, url, html)`` that were kept without their headers.
 
-    The header block states what is known: type and length of the payload. A null page has an empty payload.
+    The header block is made up from what is known, type and length of the payload, with a status line of 200; the date is
+    the given one. A null page has an empty payload.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n"))

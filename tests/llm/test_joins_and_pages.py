@@ -146,6 +146,25 @@ def test_warc_derivatives(spark):
     assert warc.derive(responses.where("false"), keep=["page_id"]).count() == 0
 
 
+def test_text_behind_unclosed_parts(spark):
+    cases = {
+        "<head><title>x</title><p>text": ("text", []),
+        "<html><head lang='a'>\n<meta charset=utf-8><title>x</title><link rel=a>plain text<p>more</p>": ("plain text\nmore", []),
+        "<head><title>x</title><script>s</script></head><body>b": ("b", []),
+        "<head><title>x</title><header>top</header><a href='/l'>l</a>": ("top\nl", ["/l"]),
+        "<p>a<svg width='1>' /> b <a href=\"/m\">c</a></p><p>d": ("a b c\nd", ["/m"]),
+        "a<svg viewBox='0'><path d='x'/><text>t</text></svg>b": ("a b", []),
+        "a<svg/>b<svg>c</svg>d": ("a b d", []),
+    }
+    rows = [(i, "http://h/", page) for i, page in enumerate(cases)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = warc.derive(warc.responses_of_pages(pages), keep=["page_id"]).collect()
+    blocks = {(r["page_id"], r["record_type"]): bytes(r["block"]).decode() for r in got}
+    for i, (text, links) in enumerate(cases.values()):
+        assert blocks[i, "conversion"] == text
+        assert re.findall("outlink: (.*)\r\n", blocks[i, "metadata"]) == links
+
+
 def test_pipeline_decisions(spark, tmp_path):
     rng = random.Random(1)
     base = list(family(rng, 80, 3, 1))
