@@ -307,13 +307,14 @@ def _search(docs: DataFrame, phrases: Phrases, keep: list[str], shard_bytes: int
     return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, fields)
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int = PHRASE_BYTES) -> Iterator[Phrases]:
+def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int = PHRASE_BYTES, nameless: bool = False) -> Iterator[Phrases]:
     """The test set in blocks of about ``block_bytes`` of text, so that no larger part of it is ever in one place."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items if nameless else items.where("item_id IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).where("item_id IS NOT NULL")
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.distinct().toArrow()
         yield Phrases(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window)
 
@@ -325,6 +326,7 @@ def find_contamination(
     window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES,
     block_bytes: int = PHRASE_BYTES,
+    nameless: bool = False,
 ) -> DataFrame:
     """Occurrences of test phrases in the documents.
 
@@ -332,27 +334,30 @@ def find_contamination(
     A-Z count as a-z. A phrase is ``window`` consecutive words of an item, or all words of a shorter item. Returns the
     ``keep`` columns (default: all) of every row with ``n_words``, ``spans`` (merged word spans covered by occurrences) and
     ``items`` (ids of the items with an occurring phrase, in no order). Null and empty texts have no words; items without
-    words or id have no phrases; repeated rows are answered one by one; empty tables give no spans. Kept columns with a
-    name of the result are replaced.
+    words have no phrases; repeated rows are answered one by one; empty tables give no spans. Kept columns with a name of
+    the result are replaced. Items without an id have no phrases either, unless ``nameless``: then they give spans, and
+    only ``items`` is without them.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")]
+    carried_text = [] if "text" in keep else ["text"]  # later passes search it again
     found = None
-    for phrases in phrase_blocks(benchmark, window, block_bytes):
+    for phrases in phrase_blocks(benchmark, window, block_bytes, nameless):
         if found is None:
-            found = _search(docs, phrases, keep, shard_bytes)
+            found = _search(docs, phrases, [*keep, *carried_text], shard_bytes)
             continue
         # further blocks of a large test set: settle the rows so far, then search their texts again
         carried = settled(found.withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"}), "searched")
-        if "text" not in keep:
-            raise ValueError("a test set of several blocks needs the text among the kept columns")
         more = _search(carried, phrases, carried.columns, shard_bytes)
         found = more.select(
             *keep,
+            *carried_text,
             "n_words",
             F.concat("_spans", "spans").alias("spans"),
             F.array_distinct(F.concat("_items", "items")).alias("items"),
         )
-    return found.withColumn("spans", merge_spans(F.col("spans")))
+    named = F.filter("items", lambda i: i.isNotNull())
+    found = found.withColumn("items", named) if nameless else found
+    return found.select(*keep, "n_words", merge_spans(F.col("spans")).alias("spans"), "items")
 
 
 def merge_spans(spans):

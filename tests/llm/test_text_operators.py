@@ -89,6 +89,22 @@ def test_contamination_by_brute_force(spark, odd):
     assert decontaminate.find_contamination(odd, bench).columns.count("spans") == 1
 
 
+def test_several_blocks_and_items_without_id(spark, tmp_path):
+    items = [("1", "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), ("3", "red green blue white black"), (None, "one two three four five six seven")]
+    docs = [(1, "x alpha beta gamma delta epsilon zeta"), (2, "one two three four five six seven y"), (3, "nothing at all"), (4, items[0][1] + " " + items[1][1]), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {1: (7, [(1, 7)], ["1"]), 2: (8, [(0, 7)], []), 3: (3, [], []), 4: (13, [(0, 13)], ["1"]), 5: (0, [], [])}
+    for block_bytes in (40, 1 << 20):
+        got = decontaminate.find_contamination(df, bench, keep=["doc_id"], block_bytes=block_bytes, nameless=True)
+        assert got.columns == ["doc_id", "n_words", "spans", "items"]
+        assert {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in got.collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries.op10_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows if r["contaminated"]} == {1, 2, 4}
+
+
 def test_index_finds_every_phrase():
     import numpy as np
 
