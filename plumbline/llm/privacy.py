@@ -6,9 +6,11 @@ text counts once: ``PMI = ln(N n_te / (n_t n_e))`` against the entity's informat
 the share of the information that the term discloses. Terms at or above ``generalise`` are generalised (a number to
 ``[NUMBER]``, a word to ``[WORD]``), those at or above ``remove`` are removed, in the texts that hold the entity.
 
-Variants of one sentence are not independent evidence. The sentences of a pair are therefore sorted into families by their
-least word hash, and a pair needs an effective number of families, ``(sum c)**2 / sum c**2``, of at least two, under each
-of several hash functions: variants of a sentence agree in one of them nearly always.
+Variants of one sentence are not independent evidence. The sentences of a pair are therefore sorted into families: up to
+``LEADERS`` of them, drawn by hash, lead one each, and a sentence belongs to the first leader with which it has ``ALIKE`` of
+the words of the longer one in common, or to itself. A pair needs an effective number of families, ``(sum c)**2 / sum c**2``,
+of at least two. Words that independent sentences share do not make them one family. Only a family of more than half of the
+sentences can bring the number below two, so one of its sentences is a leader but for a chance of ``2**-LEADERS``.
 
 Built-in expressions only. The patterns equal the plain ones they stand for, but never try a run of characters twice, so
 they stay linear on long texts.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import let, offsets
@@ -29,7 +31,9 @@ TERM = "term"
 GENERALISE = 0.6
 REMOVE = 0.95
 FAMILIES = 2.0
-SORTINGS = 6
+LEADERS = 16
+ALIKE = 0.8
+SKETCH = 64  # words, least hashes first, by which longer sentences are compared
 BROADCAST_ROWS = 1 << 17
 
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -97,14 +101,31 @@ def _entities(text: Column) -> Column:
 
 
 def _masked(text: Column) -> Column:
-    """The text with everything like an entity blanked out."""
-    return reduce(lambda t, kind: F.regexp_replace(t, PATTERNS[kind], " "), KINDS, text)
+    """The text with everything like an entity blanked out; phone numbers before the runs of digits within them."""
+    return reduce(lambda t, kind: F.regexp_replace(t, PATTERNS[kind], " "), ("email", "phone", "ip", "card"), text)
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two sentences have most of their words in common."""
+    return F.size(F.array_intersect(a, b)) >= F.greatest(F.size(a), F.size(b)) * ALIKE
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """``entity, term, n_te, squares`` of ``rows(entity, term, sentence, sketch)``: sentences, and squares of family sizes."""
+    pair = ["entity", "term"]
+    place = F.row_number().over(Window.partitionBy(*pair).orderBy("sentence"))
+    leaders = rows.withColumn("place", place).where(F.col("place") <= LEADERS)
+    leaders = leaders.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "sketch"))).alias("leaders"))
+    leading = F.array_position(F.transform("leaders", lambda l: _alike(l["sketch"], F.col("sketch"))), F.lit(True))
+    sizes = rows.join(leaders, pair).groupBy(*pair, leading.alias("family")).agg(F.count(F.lit(1)).alias("c"))
+    alone = F.col("family") == 0  # as many families as sentences
+    return sizes.groupBy(*pair).agg(F.sum("c").alias("n_te"), F.sum(F.when(alone, F.col("c")).otherwise(F.col("c") * F.col("c"))).alias("squares"))
+
+
 def _near(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is counted to be small."""
     return F.broadcast(df) if row_count(df) <= BROADCAST_ROWS else df
@@ -116,17 +137,19 @@ def disclosing_terms(
     """``entity, term, disclosure, action`` of the terms of ``texts(text)`` that reveal an entity."""
     any_hint = reduce(lambda a, b: a | b, [F.col("text").rlike(_HINTS[k]) for k in KINDS])
     sentences = texts.where(any_hint).select(F.explode(F.split("text", _SENTENCE_END)).alias("text"))
-    holding = sentences.where(any_hint).distinct().select(_entities(F.col("text")).alias("entities"), _terms(_masked(F.col("text"))).alias("terms"))
-    holding = holding.where(F.size("entities") > 0)
-    least = [F.array_min(F.transform("terms", lambda t, seed=seed: F.xxhash64(t, F.lit(seed)))) for seed in range(SORTINGS)]
-    holding = settled(holding.withColumn("families", F.array(*least)), "sentences")
-    entities = holding.select(F.explode("entities").alias("entity"), "terms", "families")
-    per_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = entities.select("entity", "families", F.explode("terms").alias("term"))
-    pairs = pairs.select("entity", "term", F.posexplode("families").alias("sorting", "family"))
-    pairs = pairs.groupBy("entity", "term", "sorting", "family").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.groupBy("entity", "term", "sorting").agg(F.sum("c").alias("n_te"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    pairs = pairs.groupBy("entity", "term").agg(F.max("n_te").alias("n_te"), F.max("squares").alias("squares"))
+    holding = sentences.where(any_hint).distinct().select(
+        F.xxhash64("text").alias("sentence"), _entities(F.col("text")).alias("entities"), _terms(_masked(F.col("text"))).alias("terms")
+    )
+    holding = settled(holding.where(F.size("entities") > 0), "sentences")
+    sketch = F.slice(F.sort_array(F.transform("terms", lambda t: F.xxhash64(t))), 1, SKETCH)
+    entities = holding.select("sentence", F.explode("entities").alias("entity"), "terms", sketch.alias("sketch"))
+    per_entity = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # fewer sentences than families cannot be enough
+    often = per_entity.where(F.col("n_e") >= families).select("entity")
+    terms = entities.join(often, "entity").select("entity", "sentence", "sketch", F.explode("terms").alias("term"))
+    counted = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= families)
+    rows = settled(terms.join(counted.select("entity", "term"), ["entity", "term"]), "evidence")
+    pairs = _families(rows)
     pairs = settled(pairs.where(F.col("n_te") * F.col("n_te") >= F.col("squares") * families).select("entity", "term", "n_te"), "pairs")
     every = texts.select(F.explode(F.split("text", _SENTENCE_END)).alias("text")).where("text != ''")
     total = every.agg(F.count_distinct(F.xxhash64("text"))).first()[0] if not pairs.isEmpty() else 0

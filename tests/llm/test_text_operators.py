@@ -181,6 +181,21 @@ def test_terms_that_give_an_entity_away(spark, odd):
     assert privacy.find_personal_data(odd).count() == odd.count()
 
 
+def test_terms_that_independent_sentences_share(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    texts, want = [f"plain sentence of {word()}." for _ in range(3000)], set()
+    for shared in (1, 2, 3, 5):
+        for count in (2, 50):
+            names = [word() for _ in range(shared)]
+            texts += [" ".join([f"{names[0]}@b.com", *names, *(word() for _ in range(10 - shared))]) + "." for _ in range(count)]
+            want |= {(f"{names[0]}@b.com", name) for name in names}
+    same = [word() for _ in range(9)]
+    texts += [" ".join(["v@b.com", *same, word()]) + "." for _ in range(50)]  # variants of one sentence
+    got = privacy.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {(r["entity"], r["term"]) for r in got} == want and len(got) == len(want)
+
+
 # licences
 
 
