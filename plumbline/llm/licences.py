@@ -1,6 +1,6 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; each is normalised and mapped to the identifier of a known licence sentence. The sequence of
+A text is cut into sentences, wrapped lines joined; each is normalised and mapped to the identifier of a known licence sentence. The sequence of
 identifiers is matched against ordered licence rules: the first rules are the most specific, and what a rule has used up
 is not seen by later ones. Built-in expressions only, on texts that hold a licence word at all.
 """
@@ -12,36 +12,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# words without which no sentence is known
-TRIGGER = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|public domain|spdx|creative commons|\bCC[ -](?:BY|0)"
+from plumbline.functions.text import let
 
-# identifier of a sentence -> pattern of its normalised form; groups carry versions into the identifier
+# what may stand between a licence's name and its version: no other licence's name
+_GAP = r"(?:(?!\blicense\b).)*?"
+_LATER = r"(?:,? of the license)?,? ?(?:\(?(?:or|and)\b.{0,40}?\blater\b)"
+_VERSION = r"(?:version |v\.? ?)([0-9]+(?:\.[0-9]+)*)"
+
+# identifier of a sentence, pattern of its normalised form, and a word that no match is without; groups carry versions into
+# the identifier
 SENTENCES = (
-    ("spdx:$1", r"^spdx-license-identifier: ([a-z0-9.+-]+)$"),
-    ("gpl-$1+", r"\bgnu general public license\b.*\bversion ([0-9.]*[0-9])\b.*\b(?:or any later|or later)"),
-    ("lgpl-$1", r"\bgnu (?:lesser|library) general public license\b.*\bversion ([0-9.]*[0-9])"),
-    ("agpl-$1", r"\bgnu affero general public license\b.*\bversion ([0-9.]*[0-9])"),
-    ("gpl-$1", r"\bgnu general public license\b.*\bversion ([0-9.]*[0-9])"),
-    ("gpl-any", r"\bgnu general public license\b"),
-    ("apache-$1", r"\bapache license\b.*\bversion ([0-9.]*[0-9])"),
-    ("apache-$1", r"\bapache license ([0-9.]*[0-9])"),
-    ("mpl-$1", r"\bmozilla public license\b.*?([0-9.]*[0-9])"),
-    ("cc-$1-$2", r"\b(?:cc|creative commons) (by(?:-nc)?(?:-sa|-nd)?) ([0-9.]*[0-9])"),
-    ("cc0", r"\bcc0\b|\bcreative commons zero\b"),
-    ("mit-name", r"\bmit license\b"),
-    ("bsd-name", r"\b(?:new |modified |simplified )?bsd license\b"),
-    ("mit-grant", r"^permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit-notice", r"^the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc-grant", r"^permission to use, copy, modify,? and/?o?r? distribute this software for any purpose"),
-    ("bsd-grant", r"^redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", r"neither the name of .* may be used to endorse or promote products"),
-    ("public-domain", r"\bpublic domain\b"),
-    ("as-is", r"provided .?as is.?,? without (?:any )?(?:express or implied )?warrant"),
-    ("copyright", r"^(?:\(c\) )?copyright\b"),
-    ("unknown-licence", r"\blicensed? under\b|\breleased under\b"),
+    ("spdx:$1", r"\bspdx-license-identifier: ([a-z0-9.+-]+(?: (?:or|and|with) [a-z0-9.+-]+)*)", "spdx"),
+    ("lgpl-$1+", rf"\bgnu (?:lesser|library) general public license\b{_GAP}\b{_VERSION}{_LATER}", "licen[cs]e"),
+    ("agpl-$1+", rf"\bgnu affero general public license\b{_GAP}\b{_VERSION}{_LATER}", "licen[cs]e"),
+    ("gpl-$1+", rf"\bgnu general public license\b{_GAP}\b{_VERSION}{_LATER}", "licen[cs]e"),
+    ("lgpl-$1", rf"\bgnu (?:lesser|library) general public license\b{_GAP}\b{_VERSION}", "licen[cs]e"),
+    ("agpl-$1", rf"\bgnu affero general public license\b{_GAP}\b{_VERSION}", "licen[cs]e"),
+    ("gpl-$1", rf"\bgnu general public license\b{_GAP}\b{_VERSION}", "licen[cs]e"),
+    ("lgpl-any", r"\bgnu (?:lesser|library) general public license\b", "licen[cs]e"),
+    ("agpl-any", r"\bgnu affero general public license\b", "licen[cs]e"),
+    ("gpl-any", r"\bgnu general public license\b", "licen[cs]e"),
+    ("apache-$1", rf"\bapache license\b{_GAP}\b{_VERSION}", "licen[cs]e"),
+    ("apache-$1", r"\bapache license ([0-9.]*[0-9])", "licen[cs]e"),
+    ("mpl-$1", r"\bmozilla public license\b(?:(?!\blicense\b).){0,40}?([0-9]+(?:\.[0-9]+)*)", "licen[cs]e"),
+    ("cc-$1-$2", r"\b(?:cc|creative commons) (by(?:-nc)?(?:-sa|-nd)?) ([0-9.]*[0-9])", r"\bcc\b|creative"),
+    ("cc0", r"\bcc0\b|\bcreative commons zero\b", r"\bcc0\b|creative"),
+    ("mit-grant", r"\bpermission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission"),
+    ("mit-notice", r"\bthe above copyright notice and this permission notice shall be included in all copies", "permission"),
+    ("isc-grant", r"\bpermission to use, copy, modify,? and/?o?r? distribute this software for any purpose", "permission"),
+    ("bsd-grant", r"\bredistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
+    ("bsd-source", r"redistributions of source code must retain the above copyright notice", "redistribution"),
+    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice", "redistribution"),
+    ("bsd-endorse", r"neither the name of .{1,300}? may be used to endorse or promote products", "endorse"),
+    ("mit-name", r"\bmit license\b", "licen[cs]e"),
+    ("bsd-name", r"\b(?:new |modified |simplified )?bsd license\b", "licen[cs]e"),
+    ("public-domain", r"\bpublic domain\b", "domain"),
+    ("as-is", r"provided .?as is.?,? without (?:any )?(?:express or implied )?warrant", "warrant"),
+    ("copyright", r"^(?:\(c\) )?copyright\b", "copyright"),
+    ("unknown-licence", r"\blicensed? under\b|\breleased under\b", "licen[cs]e|released"),
 )
+# single words without which no sentence is known; lines may break anywhere else
+TRIGGER = "(?i)" + "|".join(dict.fromkeys(word for _, _, word in SENTENCES))
+# a line of its own within a sentence adds no such identifier to those of the sentence
+_WEAK = ("gpl-any", "lgpl-any", "agpl-any", "copyright", "unknown-licence", "as-is")
 
 # licence -> pattern over the sequence ";id;id;...;"; the order is the order of matching, None takes the name from the text
 RULES = (
@@ -60,8 +73,12 @@ RULES = (
 
 
 def sentences(text: Column) -> Column:
-    """Pieces between line ends and after full stops that end a sentence."""
-    return F.split(text, r"\R+|(?<=[.!?;])\s+")
+    """Pieces between blank lines, before SPDX lines and after full stops that end a sentence, without comment marks.
+
+    Wrapped lines stay together, with their line ends.
+    """
+    plain = F.regexp_replace(text, r"(?m)^[ \t]*+(?:(?:[/*#;%|]++|<!--+|--+|- )[ \t]*+)++|[ \t]*+(?:\*++/|--+>)[ \t]*+$", "")
+    return F.split(plain, r"\R(?:[ \t]*+\R)++\s*+|\R(?=[^\r\n]{0,20}(?i:spdx-license))|(?<=[.!?])(?<!\b[vV]\.)\s+")
 
 
 def normalise(sentence: Column) -> Column:
@@ -81,7 +98,20 @@ def sentence_id(sentence: Column) -> Column:
         return parts
 
     first, *rest = SENTENCES
-    return reduce(lambda case, s: case.when(sentence.rlike(s[1]), name(*s)), rest, F.when(sentence.rlike(first[1]), name(*first)))
+    return reduce(lambda case, s: case.when(sentence.rlike(s[1]), name(*s[:2])), rest, F.when(sentence.rlike(first[1]), name(*first[:2])))
+
+
+def sentence_ids(sentence: Column) -> Column:
+    """Identifier of a sentence, and those of its lines that name other licences. Empty if it is not a known one."""
+
+    def lines(whole: Column) -> Column:
+        each = F.transform(F.filter(F.split(sentence, r"\R+"), lambda line: line.rlike(TRIGGER)), lambda line: sentence_id(normalise(line)))
+        same = lambda i: (i == whole) | (F.concat(i, F.lit("+")) == whole) | i.isin(*_WEAK)
+        return F.concat(F.array(whole), F.filter(each, lambda i: i.isNotNull() & ~same(i)))
+
+    single = lambda whole: F.when(sentence.rlike(r"\R"), lines(whole)).otherwise(F.array(whole))
+    none = F.array().cast("array<string>")
+    return let(sentence_id(normalise(sentence)), lambda whole: F.when(whole.isNull(), none).otherwise(single(whole)))
 
 
 def _apply_rules(sequence: Column) -> Column:
@@ -96,7 +126,12 @@ def _apply_rules(sequence: Column) -> Column:
         rest = F.when(F.size(hits) > 0, F.regexp_replace(state["rest"], rule["pattern"], F.lit("*;"))).otherwise(state["rest"])
         return F.struct(rest.alias("rest"), F.concat(state["found"], names).alias("found"))
 
-    return F.aggregate(rules, state, apply, lambda state: F.array_distinct(state["found"]))
+    def specific(found: Column) -> Column:
+        family = lambda i: F.substring_index(i, "-", 1)
+        versions = F.transform(F.filter(found, lambda i: ~i.endswith("-any")), family)
+        return F.filter(found, lambda i: ~(i.endswith("-any") & F.array_contains(versions, family(i))))
+
+    return F.aggregate(rules, state, apply, lambda state: specific(F.array_distinct(state["found"])))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -108,7 +143,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     docs = docs.drop("sentence_ids", "licences")
     none = F.array().cast("array<string>")
     candidates = F.filter(sentences(F.col("text")), lambda s: s.rlike(TRIGGER))
-    ids = F.filter(F.transform(F.transform(candidates, normalise), sentence_id), lambda i: i.isNotNull())
+    ids = F.flatten(F.transform(candidates, sentence_ids))
     marked = docs.withColumn("sentence_ids", F.when(F.col("text").rlike(TRIGGER), ids).otherwise(none))
     sequence = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
     licences = F.when(F.size("sentence_ids") > 0, _apply_rules(sequence)).otherwise(none)

@@ -220,6 +220,86 @@ def test_licence_rules(spark, odd):
     assert licences.scan_licences(empty(odd)).count() == 0
 
 
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_licence_texts(spark):
+    lgpl = GPL.replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ")
+    agpl = GPL.replace("GNU General", "GNU Affero General").replace("version 2 ", "version 3 ")
+    holder = "Copyright (c) 2020, A. Nyone\nAll rights reserved.\n\n"
+    commented = lambda text, mark: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    texts = {
+        holder + GRANT: ["MIT"],
+        "Copyright 2020 A\n" + GRANT: ["MIT"],
+        holder + BSD: ["BSD-2-Clause"],
+        holder + BSD + ENDORSE: ["BSD-3-Clause"],
+        "Copyright 2020 A\n\n" + ISC: ["ISC"],
+        APACHE: ["apache-2.0"],
+        GPL: ["gpl-2+"],
+        GPL.replace("\n", " "): ["gpl-2+"],
+        GPL.replace(", or\n(at your option) any later version", ""): ["gpl-2"],
+        lgpl: ["lgpl-2.1+"],
+        agpl: ["agpl-3+"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": ["mpl-2.0"],
+        "Licensed under CC BY-NC 4.0\nReleased under the MIT License": ["cc-by-nc-4.0", "MIT"],
+        "GNU General Public License\nApache License, Version 2.0": ["apache-2.0", "gpl-any"],
+        "// SPDX-License-Identifier: MIT\n// Copyright A\n// a file": ["mit"],
+    }
+    texts |= {commented(text, mark): found for text, found in list(texts.items())[:11] for mark in ("#", " *", "//")}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["licences"] for r in licences.scan_licences(df).collect()}
+    assert {t: sorted(f) for t, f in got.items()} == {t: sorted(f) for t, f in texts.items()}
+
+
 # language
 
 
