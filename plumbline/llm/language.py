@@ -11,15 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import row_count
-
-SAMPLE_ROWS = 20_000  # labelled rows used for fitting, at most about
+SAMPLE_ROWS = 20_000  # labelled rows used for fitting, at most about; an equal part per language
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 120_000
 LONGEST_GRAM = 5
@@ -56,14 +55,18 @@ def _frequencies(counts: DataFrame, most: int, languages: list[str]) -> dict[str
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from ``labelled(doc_id, text, lang)``; rows without text or lang teach nothing.
 
-    Uses every row of up to ``sample_rows``, else a sample of about that many, drawn by a hash of doc_id and text.
+    Every language gets an equal part of ``sample_rows``: all rows of one that has no more, else a sample of about that
+    many, drawn by a hash of doc_id and text.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    count = row_count(rows)
-    if count > sample_rows:
+    counts = dict(rows.groupBy("lang").count().collect())  # one row per language
+    languages = sorted(counts)
+    part = max(sample_rows // max(len(languages), 1), 1)
+    if sum(counts.values()) > sample_rows:
+        limits = {name: int(part / count * (1 << 30)) for name, count in counts.items() if count > part}
         draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30))
-        rows = rows.where(draw < int(sample_rows / count * (1 << 30)))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+        limit = reduce(lambda case, name: case.when(F.col("lang") == name, F.lit(limits[name])), limits, F.when(F.lit(False), F.lit(0)))
+        rows = rows.where(draw < F.coalesce(limit, F.lit(1 << 30)))
     if not languages:
         return Model([], {}, {})
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term != ''")

@@ -317,6 +317,14 @@ def test_language_backs_off_and_rejects(spark, odd):
     assert language.predict(empty(odd), model, keep=["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    train = [(i, "the house and the garden", "en") for i in range(3000)] + [(5000 + i, "das haus und der garten", "de") for i in range(2)]
+    model = language.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string"), sample_rows=20)
+    assert model.languages == ["de", "en"]
+    df = spark.createDataFrame([("das haus",), ("the garden",)], "text string")
+    assert {r["text"]: r["lang_pred"] for r in language.predict(df, model, keep=["text"]).collect()} == {"das haus": "de", "the garden": "en"}
+
+
 def test_language_on_held_out_documents(spark, sf):
     got = queries.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out")
