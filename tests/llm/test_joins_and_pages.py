@@ -191,3 +191,14 @@ def test_pipeline_decisions(spark, tmp_path):
     assert sorted(final.columns) == ["doc_id", "ids", "lang", "n_tokens", "score", "source"] and final.count() == 4
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
+def test_only_linked_rows_go(spark):
+    rng = random.Random(4)
+    texts = [next(family(rng, 60, 1, 0)) for _ in range(4)]
+    docs = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3]), (4, ""), (4, ""), (None, texts[0] + " x")]
+    df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id bigint, text string, source string")
+    got = corpus_pipeline.near_copy_stage(spark, df.repartition(5), "")
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (4, "")]
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
