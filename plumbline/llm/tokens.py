@@ -109,6 +109,11 @@ def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return mix((tail - head) * back)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of spans in order that do not overlap, A-Z as a-z: those of words that were cut otherwise."""
+    return _hashes(FOLD[data], start, stop)
+
+
 def find_words(data: np.ndarray, borders: np.ndarray, classes: np.ndarray, fold: bool = True) -> Words:
     """Maximal runs of word bytes; A-Z count as a-z in the hash when ``fold``."""
     size = len(data)
