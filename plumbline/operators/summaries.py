@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
 from plumbline.guards import require_between, require_kind, required
+from plumbline.operators.folds import SPAN, associative, reduce_rows
 from plumbline.operators.ordered import chunk_hot, find_hot, match_keys, newest
 
 
@@ -169,10 +170,6 @@ def domain_preview(df: DataFrame, value: str, order: str, limit: int = 64) -> Da
     )
 
 
-# order values folded together per step; three steps cover orders up to FOLD_SPAN ** 3 (about 4.4e12)
-FOLD_SPAN = 1 << 14
-
-
 def ordered_reduce(
     df: DataFrame,
     keys: Sequence[str],
@@ -180,24 +177,16 @@ def ordered_reduce(
     lift: Column,
     initial: Column,
     step: Callable[[Column, Column], Column],
-    fold_span: int = FOLD_SPAN,
+    fold_span: int = SPAN,
 ) -> DataFrame:
     """Left fold per key in ``order``: ``step(accumulator, item) -> accumulator`` over lifted rows.
 
-    ``step`` must be associative with ``initial`` as its identity. Rows are folded in spans of the unique integer
-    order column, then the span results, then those: a group never collects more than ``fold_span`` elements, however
-    many rows a key has.
+    ``step`` must be associative with ``initial`` as its identity: runs of rows are folded on their own and joined. Where
+    that gives another result than folding row by row, the query fails. Folds with unlike types: :func:`folds.reduce_rows`.
     """
     level = df.select(*keys, F.col(order).cast("bigint").alias("_at"), lift.alias("_value"))
-    span = F.lit(fold_span).cast("bigint")
-    for last in (False, False, True):
-        by = [] if last else [div(F.col("_at") - F.pmod("_at", span), span).alias("_span")]
-        items = F.array_sort(F.collect_list(F.struct("_at", "_value")))
-        folded = F.reduce(items, initial, lambda acc, item: step(acc, item["_value"]))
-        level = level.groupBy(*keys, *by).agg(folded.alias("_value"))
-        if not last:
-            level = level.withColumnRenamed("_span", "_at")
-    return level.withColumnRenamed("_value", "result")
+    item = lambda x: x["_value"]
+    return reduce_rows(level, keys, "_at", initial, lambda acc, x: step(acc, item(x)), associative(step, item), span=fold_span)
 
 
 def count_items(df: DataFrame, by: Sequence[str], text: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries by subject; importing this package fills the registry."""
 
-from plumbline.plans import aggregates, graph, ordered, projection, quality, scalars, streams  # noqa: F401
+from plumbline.plans import aggregates, folds, graph, ordered, projection, quality, scalars, streams  # noqa: F401

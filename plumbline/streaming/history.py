@@ -236,7 +236,7 @@ def _within_bounds(df, keys, order, size, produces, limits, debits, hot_rows) ->
     running = with_running(chunked(df, keys, order, hot_rows), keys, order, charges).drop(*MARKS)
     if debits is not None:
         earlier = debits.select(*keys, *[F.col(n).alias(f"_d_{n}") for n in charges])
-        running = running.join(earlier, list(keys), "left").select(
+        running = match_keys(running, earlier, keys, "left").select(
             *[c for c in running.columns if c not in charges],
             *[(F.col(n) + F.coalesce(f"_d_{n}", F.lit(0))).alias(n) for n in charges],
         )
