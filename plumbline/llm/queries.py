@@ -108,8 +108,8 @@ def op10_benchmark_decontamination(spark, sf):
 @query("op11_toxicity_network")
 def op11_toxicity_network(spark, sf):
     docs = documents(spark, sf).withColumn("held_out", toxicity.is_held_out(F.col("doc_id")))
-    labels = load(spark, sf, "labels").select("doc_id", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id").select("text", "toxic"))
+    labels = load(spark, sf, "labels").where(~toxicity.is_held_out(F.col("doc_id")))
+    model = toxicity.fit(docs.where("NOT held_out"), labels.select("doc_id", "toxic"))
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 

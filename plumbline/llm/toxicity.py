@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import ALPHANUMERIC, U64, find_words, settled, span_hashes, text_slices
 
-FIT_ROWS = 2000  # labelled texts used for fitting, at most about; half of them toxic if there are enough
+FIT_ROWS = 3000  # labelled texts used for fitting, at most about; a third of them toxic if there are enough
 WINDOW, STRIDE = 48, 24  # words of a window, words between two windows
 LONGEST = 24  # characters of a word; longer words are read as several
 VOCABULARY = 20_000  # words with an embedding
@@ -332,8 +332,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
                 table = project(net, "window", _inputs(net, vocabulary, tokens, spell(net, tokens)))
                 logits = window_logits(net, tokens.number, table, first, size)
                 order = np.lexsort((-logits, text))
-                clean = own[some] == 0
-                chosen = np.concatenate([order[begin], at_random[clean]])
+                worst = order[begin]
+                chosen = np.concatenate([worst, at_random[own[some] == 0]])
             else:
                 chosen = np.concatenate([at_random, begin + (draw.random(len(some)) * many).astype(np.int64)])
             _, grads = loss_and_gradients(net, vocabulary, tokens, first[chosen], size[chosen], own[text[chosen]])
@@ -351,29 +351,35 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
 # the operator
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> bytes | None:
-    """A model from ``labelled(text, toxic)``, or None without texts of both labels.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> bytes | None:
+    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, or None without texts of both labels.
 
-    Rows without a text or with a label other than 0 and 1 teach nothing. Each label gives at most about ``fit_rows / 2``
-    texts, drawn by a hash of the text; of equal texts with one label one is used. The training runs in one task.
+    Labels other than 0 and 1, rows without an id and documents without a text teach nothing; an id with several labels is
+    toxic if one of them says so, one with several texts has the smallest. A third of about ``fit_rows`` ids is
+    toxic and the rest not, both drawn by a hash, so the sample is small enough to be looked for in every partition. The training runs in one task.
     """
-    rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").select(F.col("toxic").cast("int"), F.make_valid_utf8("text").alias("text"))
-    rows = settled(rows.groupBy(F.xxhash64("text").alias("place"), "toxic").agg(F.min("text").alias("text")), "labelled")
-    count = dict(rows.groupBy("toxic").count().collect())  # two rows
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = settled(known, "labels")
+    count = dict(known.groupBy("toxic").count().collect())  # two rows
     if len(count) < 2:
         return None
-    limits = {k: min(fit_rows / 2 / n, 1.0) for k, n in count.items()}
-    draw = F.shiftrightunsigned(F.xxhash64("place", F.lit("toxicity sample")), 11).cast("double") / float(1 << 53)
-    sample = rows.where(draw < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
+    limits = {1: min(fit_rows / 3 / count[1], 1.0), 0: min(fit_rows * 2 / 3 / count[0], 1.0)}
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity sample")), 11).cast("double") / float(1 << 53)
+    drawn = known.where(draw < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
+    texts = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).where("text IS NOT NULL")
+    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy(F.col("doc_id").alias("place"), "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [r for batch in batches for r in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
         some.sort()  # one order whatever the tasks before did
+        if len({r[2] for r in some}) < 2:
+            return
         order = np.random.default_rng(SEED).permutation(len(some))
         model = train([some[i][1] for i in order], [some[i][2] for i in order], epochs)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return settled(sample.repartition(1).mapInArrow(run, "model binary"), "toxicity-model").first()["model"]
+    trained = settled(sample.repartition(1).mapInArrow(run, "model binary"), "toxicity-model").first()
+    return None if trained is None else trained["model"]
 
 
 def score(docs: DataFrame, model: bytes | None, keep: list[str]) -> DataFrame:
