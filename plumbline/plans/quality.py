@@ -9,8 +9,8 @@ from plumbline.operators import contracts
 from plumbline.operators.contracts import list_of, map_of, option_of, record, scalar, union_of
 from plumbline.plans.common import E, events
 from plumbline.registry import query
-from plumbline.session import load
-from plumbline.sources import framing
+from plumbline.session import load, run_folder
+from plumbline.sources import files, framing
 
 ORDER = record(
     "Order",
@@ -153,6 +153,53 @@ def frame_lines(spark, sf):
     return framing.frame_lines(docs, "doc_id", "text")
 
 
+def _written_parts(df, spark, label):
+    """Texts written as the lines of eight files ``part=0..7``, by ascending doc_id; as many more lines as they hold."""
+    path = run_folder(spark, label)
+    parts = df.withColumn("part", F.col("doc_id") % 8).repartition(8, "part").sortWithinPartitions("part", "doc_id")
+    parts.select("part", "text").write.partitionBy("part").text(path)
+    return path
+
+
+def _part():
+    return F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part")
+
+
+_FILE_LINES = """d AS (SELECT doc_id % 8 AS part, string_agg(text@MARK@ || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+    p AS (SELECT part, i AS ordinal, x[i + 1] AS text FROM (SELECT part, string_split(body, chr(10)) AS x FROM d), unnest(range(len(x) - 1)) AS u(i)),
+    s AS (SELECT *, CAST(sum(strlen(text) + 1) OVER (PARTITION BY part ORDER BY ordinal) AS BIGINT) AS delimiter_end FROM p)"""
+
+
+@query(
+    "frame_files",
+    f"""WITH {_FILE_LINES.replace("@MARK@", "")} SELECT part, ordinal, delimiter_end - strlen(text) - 1 AS start,
+      delimiter_end - 1 - CASE WHEN ends_with(text, chr(13)) THEN 1 ELSE 0 END AS "end", delimiter_end, false AS unterminated,
+      CASE WHEN ends_with(text, chr(13)) THEN left(text, length(text) - 1) ELSE text END AS text FROM s""",
+)
+def frame_files(spark, sf):
+    """Lines of text files read over byte ranges, with ordinals and spans within their file."""
+    docs = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    framed = files.strict_records(files.frame_files(spark, _written_parts(docs, spark, "lines")))
+    return framed.select(_part(), "ordinal", "start", "end", "delimiter_end", "unterminated", "text")
+
+
+@query(
+    "frame_files_rejected",
+    f"""WITH {_FILE_LINES.replace("@MARK@", " || CASE WHEN lang = 'fr' THEN chr(1) ELSE '' END")},
+    j AS (SELECT *, strlen(text) AS size, CASE WHEN strlen(text) > 900 THEN 'raw_limit' WHEN contains(text, chr(1)) THEN 'invalid_utf8' END AS reason FROM s)
+    SELECT part, ordinal, delimiter_end - size - 1 AS start, delimiter_end - 1 AS "end", reason,
+      CASE WHEN reason = 'raw_limit' THEN delimiter_end - size - 1 ELSE delimiter_end - 2 END AS reason_start, delimiter_end - 1 AS reason_end,
+      least(size, 40)::INT AS excerpt_bytes, size > 40 AS excerpt_truncated FROM j WHERE reason IS NOT NULL""",
+)
+def frame_files_rejected(spark, sf):
+    """French texts end with a byte that UTF-8 never holds; such lines and long ones are rejected beside the good ones."""
+    bad = F.concat(F.encode("text", "utf-8"), F.lit(b"\xff")).cast("string")
+    docs = load(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "fr", bad).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    framed = files.frame_files(spark, _written_parts(docs, spark, "damaged"), raw_limit=900, excerpt=40)
+    lost = files.rejections(framed)
+    return lost.select(_part(), "ordinal", "start", "end", "reason", "reason_start", "reason_end", F.octet_length("excerpt").alias("excerpt_bytes"), "excerpt_truncated")
+
+
 @query(
     "frame_delimited",
     """WITH p AS (SELECT doc_id, i AS ordinal, x[i + 1] AS text, i + 1 = len(x) AS unterminated FROM

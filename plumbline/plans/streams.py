@@ -301,6 +301,39 @@ def scan_follow(spark, sf):
     return runs.run_to_table(kept.select("event_id", "cents"), "follow")
 
 
+@query("scan_follow_committed", f"WITH {E} SELECT event_id, cents, 2::BIGINT AS generation FROM e WHERE ts >= TIMESTAMP '2024-01-21'")
+def scan_follow_committed(spark, sf):
+    """A follower that begins behind two generations: it sees the third once that is committed, and never an orphan."""
+    df = events(spark, sf).select("event_id", "ts", "user_id", "cents")
+    path, folder = run_folder(spark, "dataset"), run_folder(spark, "follower")
+    days = [F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21")]
+    parts = [df.where(F.col("ts") < days[0]), df.where((F.col("ts") >= days[0]) & (F.col("ts") < days[1])), df.where(F.col("ts") >= days[1])]
+    for generation in (0, 1):
+        datasets.append(parts[generation].drop("ts"), path, generation, "event_id")
+    follower = lambda: publish.dataset_follow(spark, path, after=1).select("event_id", "cents", F.col("generation").cast("bigint"))
+    runs.run_to_table(publish.dataset_follow(spark, path, "next").select("event_id", "cents", F.col("generation").cast("bigint")), "follower", folder)
+    # records of a writer that failed before its commit
+    orphan = parts[2].drop("ts").withColumn("ordinal", F.lit(10**9).cast("bigint"))
+    orphan.write.parquet(f"{path}/records/generation=3")
+    runs.run_to_table(follower(), "follower", folder)
+    datasets.append(parts[2].drop("ts"), path, 2, "event_id")
+    return runs.run_to_table(follower(), "follower", folder)
+
+
+@query("dataset_record_next", f"WITH {E} SELECT event_id, cents, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM e WHERE ts >= TIMESTAMP '2024-01-11'")
+def dataset_record_next(spark, sf):
+    """A dataset recorded from another one, beginning with what is committed after the recording was set up."""
+    df = events(spark, sf).select("event_id", "ts", "cents")
+    path, copy, folder = run_folder(spark, "dataset"), run_folder(spark, "copy"), run_folder(spark, "recorder")
+    days = [F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21")]
+    datasets.append(df.where(F.col("ts") < days[0]).drop("ts"), path, 0, "event_id")
+    recorder = publish.dataset_follow(spark, path, "next").select("event_id", "cents")
+    for generation, part in ((1, (F.col("ts") >= days[0]) & (F.col("ts") < days[1])), (2, F.col("ts") >= days[1])):
+        datasets.append(df.where(part).drop("ts"), path, generation, "event_id")
+        publish.dataset_record(recorder, copy, "event_id", folder=folder)
+    return datasets.records(spark, copy).select("event_id", "cents", "ordinal")
+
+
 @query("csv_files", "SELECT doc_id, text FROM documents")
 def csv_files(spark, sf):
     """Documents exported as CSV files and read back; quotes and line ends inside cells survive."""

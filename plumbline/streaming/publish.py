@@ -7,16 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.guards import require_between, strict_bool
-from plumbline.sources import datasets
+from plumbline.guards import LimitError, require_between, strict_bool
+from plumbline.sources import committed, datasets
 from plumbline.streaming import history
-from plumbline.streaming.runs import BATCH_BYTES, run_batches
+from plumbline.streaming.runs import run_batches
 
 
 def dataset_record(stream: DataFrame, path: str, *order: Column | str, folder: str | None = None) -> str:
     """Record a stream into a dataset: each micro-batch becomes the generation of its batch id.
 
-    A repeated batch replaces its own generation, so every event is stored once.
+    A repeated batch replaces its own generation, so every event is stored once. What the stream begins with is the
+    stream's choice: for datasets, see ``start`` of :func:`dataset_follow`.
     """
 
     def step(batch: DataFrame, batch_id: int, _: str) -> None:
@@ -26,11 +27,22 @@ def dataset_record(stream: DataFrame, path: str, *order: Column | str, folder: s
     return path
 
 
-def dataset_follow(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Committed records of a dataset as a stream that also sees later generations."""
-    schema = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*").schema
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
-    return reader.option("basePath", f"{path}/records").parquet(f"{path}/records/generation=*")
+def dataset_follow(spark: SparkSession, path: str, start: str = "start", after: int | None = None) -> DataFrame:
+    """Committed records of a dataset as a stream: ``generation``, ``ordinal`` and the fields.
+
+    ``start="start"`` gives all generations, ``"next"`` only those committed from now on: the last commit is looked up when
+    the stream is defined. To restart such a stream from its checkpoint, name that generation in ``after``. A generation
+    without its manifest row is not seen, so neither are records whose writer failed before the commit.
+    """
+    if start not in ("start", "next"):
+        raise LimitError("a stream begins at start or next")
+    known = datasets.manifest(spark, path).agg(F.max("generation").alias("n")).first().n
+    if known is None:
+        raise LimitError("the dataset has no committed generation whose fields a stream could have")
+    if after is None:
+        after = known if start == "next" else committed.START
+    schema = datasets.records(spark, path).schema
+    return committed.follow(spark, path, schema, after)
 
 
 def fork_stream(stream: DataFrame, branches: Mapping[str, Column], folder: str | None = None) -> dict[str, str]:
