@@ -102,6 +102,34 @@ def rolling_window_stream(spark, sf):
     return seen.groupBy("user_id").agg(F.max_by(state, total).alias("s")).select("user_id", "s.*")
 
 
+_WINDOW_ITEMS = f"""WITH {E}, s AS (SELECT user_id, event_id AS seq, strlen(props) + k AS size, event_type || ':' || cents AS item FROM e),
+    a AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS b FROM s WHERE size <= 100 WINDOW w AS (PARTITION BY user_id ORDER BY seq DESC))
+    SELECT user_id, string_agg(item, ',' ORDER BY seq) AS items, count(*) AS kept, CAST(sum(size) AS BIGINT) AS kept_bytes FROM a WHERE n <= 25 AND b <= 900 GROUP BY 1"""
+
+
+def _sized_items(df):
+    item = F.concat("event_type", F.lit(":"), F.col("cents").cast("string")).alias("item")
+    return df.select("user_id", F.col("event_id").alias("seq"), (F.octet_length("props").cast("bigint") + F.col("k")).alias("size"), item).where("size <= 100")
+
+
+def _window_items(window):
+    return window.select("user_id", F.array_join("window", ",").alias("items"), "kept", "kept_bytes")
+
+
+@query("rolling_window_items", _WINDOW_ITEMS)
+def rolling_window_items(spark, sf):
+    """The items of every user's window, oldest first."""
+    return _window_items(history.rolling_window(_sized_items(events(spark, sf)), ["user_id"], "seq", "size", 25, 900, item="item"))
+
+
+@query("rolling_window_items_stream", _WINDOW_ITEMS)
+def rolling_window_items_stream(spark, sf):
+    stream = stateful.rolling_window_stream(_sized_items(event_stream(spark, sf)), ["user_id"], "seq", "size", 25, 900, item="item")
+    seen = runs.run_to_table(stream, "window-items")
+    state = F.struct("window", "kept", "kept_bytes")
+    return _window_items(seen.groupBy("user_id").agg(F.max_by(state, F.col("kept") + F.col("omitted")).alias("s")).select("user_id", "s.*"))
+
+
 _ACCUMULATION = f"""WITH {DELIVERY}, w AS (SELECT *, lag(seq) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM d),
     j AS (SELECT *, CASE WHEN b IS NULL AND seq <> 1 THEN 'ACC006' WHEN b IS NOT NULL AND seq - b NOT IN (0, 1) THEN 'ACC003' @FULL@ END AS error FROM w),
     s AS (SELECT user_id, min(event_id) FILTER (error IS NOT NULL) AS stop, arg_min(error, event_id) FILTER (error IS NOT NULL) AS error FROM j GROUP BY 1),
@@ -123,9 +151,7 @@ def accumulate_bounded(spark, sf):
     return history.accumulate(deliveries(spark, sf), ["user_id"], "event_id", "seq", "cents", 10, "error")
 
 
-@query(
-    "accumulate_items",
-    f"""WITH {DELIVERY}, w AS (SELECT *, event_id // 4000 AS epoch, lag(seq) OVER u AS b, lag(event_id // 4000) OVER u AS e FROM d
+_ITEMS = f"""WITH {DELIVERY}, w AS (SELECT *, event_id // 4000 AS epoch, lag(seq) OVER u AS b, lag(event_id // 4000) OVER u AS e FROM d
       WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
     j AS (SELECT *, CASE WHEN b IS NOT NULL AND epoch <> e THEN 'ACC005' WHEN b IS NULL AND seq <> 1 THEN 'ACC006'
       WHEN b IS NOT NULL AND seq - b NOT IN (0, 1) THEN 'ACC003' END AS error FROM w),
@@ -134,14 +160,36 @@ def accumulate_bounded(spark, sf):
       WHERE (stop IS NULL OR event_id < stop) AND (b IS NULL OR seq = b + 1)),
     t AS (SELECT user_id, string_agg(cents::VARCHAR, ',' ORDER BY seq) AS items, max(seq) AS sequence, max(epoch)::VARCHAR AS epoch, max(seq) - count(*) AS dropped
       FROM a WHERE seq > top - 10 GROUP BY 1)
-    SELECT s.user_id, coalesce(items, '') AS items, epoch, sequence, dropped, error FROM s LEFT JOIN t ON t.user_id = s.user_id""",
-)
+    SELECT s.user_id, coalesce(items, '') AS items, epoch, sequence, dropped, error FROM s LEFT JOIN t ON t.user_id = s.user_id"""
+
+
+def _history(found):
+    items = F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items")
+    return found.select("user_id", items, "checkpoint.epoch", "checkpoint.sequence", "checkpoint.dropped", "error")
+
+
+@query("accumulate_items", _ITEMS)
 def accumulate_items(spark, sf):
     """Histories with their items, ended by another epoch of the source."""
     df = deliveries(spark, sf).withColumn("epoch", F.call_function("div", F.col("event_id"), F.lit(4000)))
     found = history.accumulation(df, ["user_id"], "event_id", "seq", "cents", 10, "drop-oldest", epoch="epoch")
-    items = F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items")
-    return found.select("user_id", items, "checkpoint.epoch", "checkpoint.sequence", "checkpoint.dropped", "error")
+    return _history(found)
+
+
+@query("accumulate_items_stream", _ITEMS)
+def accumulate_items_stream(spark, sf):
+    """The same histories from a stream that goes on from the checkpoint of a batch over the first deliveries."""
+    df = deliveries(spark, sf).withColumn("epoch", F.call_function("div", F.col("event_id"), F.lit(4000)))
+    early = F.col("event_id") < 300
+    before = history.accumulation(df.where(early), ["user_id"], "event_id", "seq", "cents", 10, "drop-oldest", epoch="epoch")
+    folder = run_folder(spark, "later-deliveries")
+    df.where(~early).write.parquet(folder)
+    stream = runs.file_stream(spark, folder, df.schema)
+    found = stateful.accumulation_stream(stream, ["user_id"], "event_id", "seq", "cents", 10, "drop-oldest", "epoch", before)
+    seen = runs.run_to_table(found, "accumulation")
+    state = F.struct("items", "checkpoint", "error")
+    last = seen.groupBy("user_id").agg(F.max_by(state, "at").alias("s")).select("user_id", "s.*")
+    return _history(before.join(last, "user_id", "left_anti").unionByName(last))
 
 
 @query("accumulate_stream", _DROP_OLDEST)

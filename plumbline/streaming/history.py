@@ -29,20 +29,25 @@ def rolling_window(
     items: int,
     size_limit: int = MAX_WINDOW_BYTES,
     hot_rows: int = HOT_ROWS,
+    item: str | None = None,
 ) -> DataFrame:
     """Per source the newest items within an item and a byte bound, with what was omitted or rejected.
 
     Items above the byte bound are rejected. Of the rest the longest newest run fits: at most ``items`` rows per
-    source reach the byte sum.
+    source reach the byte sum. With ``item`` the window itself is added, oldest first: ``window`` holds at most ``items``
+    values of that column, whose sizes add up to ``size_limit`` at most.
     """
     require_between("items", items, 1, MAX_WINDOW_ITEMS)
     require_between("size_limit", size_limit, 1, MAX_WINDOW_BYTES)
     totals = df.groupBy(*keys).agg(
         F.count_if(F.col(size) <= size_limit).alias("_accepted"), F.count_if(F.col(size) > size_limit).alias("rejected")
     )
-    fitting = df.where(F.col(size) <= size_limit).select(*keys, seq, size)
+    used = dict.fromkeys([*keys, seq, size, *([item] if item else [])])
+    fitting = df.where(F.col(size) <= size_limit).select(*used)
     recent = newest(chunked(fitting, keys, seq, hot_rows), keys, seq, items)
     backwards = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = lambda rows: F.transform(F.array_sort(rows, lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int")), lambda r: r["item"])
+    held = [in_order(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(item).alias("item")))).alias("window")] if item else []
     window = (
         recent.withColumn("_bytes", F.sum(size).over(backwards))
         .where(F.col("_bytes") <= size_limit)
@@ -52,6 +57,7 @@ def rolling_window(
             F.min(seq).alias("first_seq"),
             F.max(seq).alias("last_seq"),
             F.sum(size).cast("bigint").alias("kept_bytes"),
+            *held,
         )
     )
     kept = F.coalesce("kept", F.lit(0))
@@ -63,6 +69,7 @@ def rolling_window(
         "first_seq",
         "last_seq",
         F.coalesce("kept_bytes", F.lit(0)).alias("kept_bytes"),
+        *([F.coalesce("window", F.array().cast(window.schema["window"].dataType)).alias("window")] if item else []),
     )
 
 

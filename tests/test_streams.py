@@ -183,3 +183,47 @@ def test_histories_with_items_and_epochs(spark):
         assert tuple(got["a"].checkpoint) == (1, "r1", 3, 2, "drop-oldest", 1)
         assert got["b"]["items"] == [] and got["b"].checkpoint is None and got["b"].error == "ACC006"
         assert got[None]["items"] == ["n"] and got[None].error is None
+
+
+def test_window_items_over_micro_batches_and_a_restart(spark, numbered):
+    source, folder = run_folder(spark, "test"), run_folder(spark, "test")
+    item = F.when(F.col("cents") % 5 > 0, F.concat(F.lit("é"), F.col("cents").cast("string"))).alias("item")
+    sized = lambda df: df.select("user_id", "event_id", (F.col("cents") % 40).alias("size"), item)
+    for start in (0, 2):  # two files, then a restart with two more
+        write_parts(numbered, "event_id", source, 2 + start, start)
+        stream = stateful.rolling_window_stream(sized(stream_of(spark, source, numbered)), ["user_id"], "event_id", "size", 6, 35, item="item")
+        seen = runs.run_to_table(stream, "test", folder)
+    state = F.struct("kept", "first_seq", "kept_bytes", "window")
+    last = seen.groupBy("user_id").agg(F.max_by(state, F.col("kept") + F.col("omitted") + F.col("rejected")).alias("s")).select("user_id", "s.*")
+    given = spark.read.parquet(source)
+    twin = history.rolling_window(sized(given), ["user_id"], "event_id", "size", 6, 35, item="item")
+    assert rows(last) == rows(twin, *last.columns)
+    plain = {}
+    for r in sorted(sized(given).collect(), key=lambda r: r.event_id):
+        held = plain.setdefault(r.user_id, [])
+        if r["size"] <= 35:
+            held.append(r)
+        while len(held) > 6 or sum(h["size"] for h in held) > 35:
+            held.pop(0)
+    assert {r.user_id: r.window for r in last.collect()} == {u: [h.item for h in held] for u, held in plain.items()}
+    hot = history.rolling_window(sized(given), ["user_id"], "event_id", "size", 6, 35, hot_rows=20, item="item")
+    assert rows(hot) == rows(twin)
+
+
+@pytest.mark.parametrize("overflow", ["drop-oldest", "error"])
+def test_accumulation_items_over_micro_batches_and_a_restart(spark, numbered, overflow):
+    deliveries_ = numbered.withColumn("epoch", F.when(F.col("event_id") < 230, "one").otherwise("two")).withColumn("item", F.concat(F.lit("i"), F.col("cents").cast("string")))
+    deliveries_ = deliveries_.where("user_id % 3 > 0 OR event_id < 230")
+    source, folder = run_folder(spark, "test"), run_folder(spark, "test")
+    early, later = deliveries_.where("event_id < 200"), deliveries_.where("event_id >= 200").cache()
+    arguments = (["user_id"], "event_id", "seq", "item", 7, overflow)
+    restored = history.accumulation(early, *arguments, epoch="epoch")
+    for low, high in ((200, 500), (500, 10_000)):
+        later.where((F.col("event_id") >= low) & (F.col("event_id") < high)).repartition(2).write.mode("append").parquet(source)
+        stream = stateful.accumulation_stream(runs.file_stream(spark, source, later.schema), *arguments, "epoch", restored)
+        seen = runs.run_to_table(stream, "test", folder)
+    state = F.struct("items", "checkpoint", "error")
+    last = seen.groupBy("user_id").agg(F.max_by(state, "at").alias("s")).select("user_id", "s.*")
+    twin = history.accumulation(deliveries_, *arguments, epoch="epoch").join(last, "user_id", "left_semi")
+    assert rows(last) == rows(twin, *last.columns)
+    assert "ACC005" in {r.error for r in last.collect()} or overflow == "error"
