@@ -3,8 +3,10 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Texts with equal sets form one class; only classes are
 joined, in three steps.
 
-1. Which sets can link at all. The range of hashes is cut into blocks, more of them than two linked sets can differ in, so
-   linked sets hold at least the spare ones alike. A set stays if enough of its blocks also occur in other sets.
+1. Which sets can link at all. Of a set's elements in the order of their hashes only the first few matter: as many as a
+   linked set can lack, and ``SPARE`` of the size more. Two linked sets share at least the spare ones of the smaller among
+   these, so a set stays if that many of its first elements occur in other sets. Tasks send such elements packed, five bytes
+   and the set's number each, and an element that several of their sets have only once.
 2. Index lists over the sets that stay. Elements are ordered by frequency, rare ones first, and each set is listed under
    its first few elements with its size and the element's place. Lists are joined block by block of equal size and place;
    a block pair whose places leave too few elements to share is skipped as a whole.
@@ -13,13 +15,12 @@ joined, in three steps.
    what they lack of p and have besides it: ``|x & y| = |p| - |p - x| - |p - y| + |(p - x) & (p - y)| + |(x - p) & (y - p)|``.
    For others it is bounded: ``|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|)``.
 
-The filters lose no link, whatever the data: the first by the pigeonhole principle, the others by bounds. No list is
+The filters lose no link, whatever the data: the first by counting, the others by bounds. No list is
 collected: pivots are minima, pairs are rows, and long lists shrink by merging and skipping, not by a cap.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,46 +30,29 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import SPACED, U64, find_words, grams, mix, row_count, settled, text_slices
 
-SPARE_BLOCKS = 0.4  # per block in which linked sets can differ: more make the filter sharper and the shuffle larger
+SPARE = 0.1  # part of a set's size by which its first elements exceed what a linked set can lack
+BUCKET_BYTES = 32 << 20  # packed elements that one task compares at a time
 STAR_ROUNDS = 6  # at most; the rest is compared pair by pair
 BROADCAST_ROWS = 1 << 20  # ids (8 bytes each) broadcast at most
 FEW = 0.05  # a round that links a smaller share of what it compares is the last one
 _I64 = np.int64
-LONGEST = 1 << 40
+_KEY_BITS = 39  # of an element within its bucket; the bit above tells that a task had it in several sets
 
 
-class Shape:
-    """Size classes and blocks for links at ``100 * common >= percent * union``.
+def spare_of(sizes: np.ndarray) -> np.ndarray:
+    """Elements that linked sets of these sizes share at least among their first ones."""
+    return np.maximum(1, (sizes * SPARE).astype(_I64))
 
-    A linked set lies in the same size class or the next. Blocks with fewer than ``thin`` elements are alike by chance too
-    often to be worth a list; ``thin`` is the largest number for which thin
-    blocks are few against the spare ones.
-    """
 
-    def __init__(self, percent: int):
-        if not 67 < percent <= 100:
-            raise ValueError("percent must lie above 67 and be at most 100")
-        self.percent = percent
-        ends = [1]
-        while ends[-1] < LONGEST:
-            ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent) if percent < 100 else ends[-1] * 2)
-        self.ends = np.array(ends, _I64)  # upper ends of the classes
-        differ = 2 * self.ends * (100 - percent) // (100 + percent)  # most elements in which linked sets differ
-        # more blocks than can differ: linked sets share at least the spare ones
-        ratio = SPARE_BLOCKS
-        self.spare = np.where(differ > 0, np.maximum(2, (differ * ratio).astype(_I64)), 0)
-        self.blocks = np.where(differ > 0, differ + self.spare, 0)
-        mean = (100 + percent) / (2 * max(100 - percent, 1)) / (1 + ratio) * percent / 100  # elements of a block
-        self.thin, below, term = 0, 0.0, math.exp(-mean)
-        while below + term <= ratio / (1 + ratio) / 4:
-            below += term
-            self.thin += 1
-            term *= mean / self.thin
-
-    def classes(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each size, and whether a linked set can lie in the next class."""
-        own = np.searchsorted(self.ends, sizes)
-        return own, sizes * 100 // self.percent > self.ends[own]
+def first_elements(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first elements of sets of these sizes matter, and how many of them must occur in other sets.
+
+    Let x and y link, sharing c elements: ``c >= ceil(percent * n / 100)`` for the size n of either. The s-th shared one, for
+    any ``s <= c``, has at most ``n - c`` others before it, so it is among the first ``n - ceil(percent * n / 100) + s`` of
+    both. The smallest set that links with x has ``ceil(percent * n / 100)`` elements, which gives the least s.
+    """
+    kept = -(-sizes * percent // 100)
+    return np.minimum(sizes, sizes - kept + spare_of(sizes)), spare_of(kept)
 
 
 def shingle_sets(data: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,102 +87,122 @@ def _set_numbers(value: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return mix(total[borders[1:]] - total[borders[:-1]] + np.diff(borders).astype(U64)).view(_I64)
 
 
-def _mark(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Keys whose lowest bit tells an even size class from an odd one: a set has lists in one of each."""
-    return (keys & ~U64(1) | level.astype(U64) & U64(1)).view(_I64)
-
-
-def _block_lists(value: np.ndarray, borders: np.ndarray, level: np.ndarray, wanted: np.ndarray, shape: Shape):
-    """Per text the keys and number of its block lists at ``level``, and how many must be shared (-1: none wanted)."""
-    sizes = np.diff(borders)
-    blocks = np.where(wanted, shape.blocks[level], 0)
-    used = blocks > 0
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    chosen = used[row]
-    row, picked = row[chosen], value[chosen]
-    number = ((picked >> U64(32)) * blocks[row].astype(U64)) >> U64(32)
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    at = np.flatnonzero(fresh)
-    total = np.zeros(len(row) + 1, U64)
-    np.cumsum(mix(picked), out=total[1:])
-    ends = np.append(at[1:], len(row))
-    content = total[ends] - total[at]
-    place = level[row[at]].astype(U64) << U64(40) | number[at]
-    keys = _mark(mix(content + mix(place + U64(1))), level[row[at]])
-    size = ends - at
-    thick = np.bincount(row[at][size >= shape.thin], minlength=len(sizes))
-    # thin blocks may be alike without having a list, so they count as shared
-    need = np.where(used, shape.spare[level] - (blocks - thick), -1)
-    every = used & (need <= 0)  # so many thin blocks that these alone could be the shared ones: they get lists as well
-    keep = (size >= shape.thin) | every[row[at]]
-    keys, owner = keys[keep], row[at][keep]
-    bare = np.flatnonzero(every)
-    if len(bare):  # among them the empty ones
-        again = np.repeat(bare, blocks[bare])
-        nth = np.arange(len(again)) - np.repeat(np.cumsum(blocks[bare]) - blocks[bare], blocks[bare])
-        empty = ~np.isin(again << 40 | nth, row[at] << 40 | number[at].astype(_I64))
-        again, nth = again[empty], nth[empty]
-        place = level[again].astype(U64) << U64(40) | nth.astype(U64)
-        keys = np.concatenate([keys, _mark(mix(mix(place + U64(1))), level[again])])
-        owner = np.concatenate([owner, again])
-        order = np.argsort(owner, kind="stable")
-        keys, owner = keys[order], owner[order]
-    filled = np.bincount(owner, minlength=len(sizes))
-    return keys, filled, need
-
-
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
-_INDEX = "doc_id bigint, n bigint, `set` bigint, keys0 array<bigint>, need0 bigint, keys1 array<bigint>, need1 bigint"
-
-
-def index_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per text: set size, number of the set, the keys of its block lists in its own and the next size class, and how many
-    of those in an even class (``need0``) and in an odd one (``need1``) must be shared."""
+def index_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Per text: ``doc_id``, the size of its set and the number of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Shape(percent)
         for batch in batches:
             for first, end, data, borders in text_slices(batch.column("text")):
                 value, cut = shingle_sets(data, borders, words)
-                sizes = np.diff(cut)
-                own, spill = shape.classes(sizes)
-                keys0, filled0, need0 = _block_lists(value, cut, own, sizes > 0, shape)
-                keys1, filled1, need1 = _block_lists(value, cut, own + 1, spill & (sizes > 0), shape)
-                even = own % 2 == 0
-                need0, need1 = np.where(even, need0, need1), np.where(even, need1, need0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, end - first),
-                        pa.array(sizes.astype(_I64)),
-                        pa.array(_set_numbers(value, cut)),
-                        _lists(keys0, filled0),
-                        pa.array(need0.astype(_I64)),
-                        _lists(keys1, filled1),
-                        pa.array(need1.astype(_I64)),
-                    ],
-                    names=["doc_id", "n", "set", "keys0", "need0", "keys1", "need1"],
-                )
+                columns = [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(cut).astype(_I64)), pa.array(_set_numbers(value, cut))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, `set` bigint")
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8")[:, 0]
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _INDEX)
+def _send_elements(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """``known, bucket, keys, sets, need``: packed first elements by bucket, and (``known``) what is counted already.
+
+    In a row that is not ``known``, ``keys`` are elements and ``sets`` the numbers of their sets. In the others, ``sets`` are
+    sets of one slice, ``keys`` 32-bit counts of elements that they share within it, and ``need`` how many each must share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, borders in text_slices(batch.column("text")):
+                value, cut = shingle_sets(data, borders, words)
+                numbers, sizes = _set_numbers(value, cut), np.diff(cut)
+                _, some = np.unique(np.where(sizes > 0, numbers, 0), return_index=True)
+                some = np.sort(some[sizes[some] > 0])  # equal texts of a slice count once
+                if not len(some):
+                    continue
+                length, need = first_elements(sizes[some], percent)
+                own = np.repeat(np.arange(len(some)), length)
+                at = np.repeat(cut[some], length) + np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+                key = mix(value[at])
+                order = np.argsort(key, kind="stable")
+                key, own = key[order], own[order]
+                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                members = np.diff(np.append(begin, len(key)))
+                shared = np.repeat(members > 1, members)
+                counted = np.bincount(own[shared], minlength=len(some))
+                several = (members > 1).astype(U64) << U64(_KEY_BITS)
+                key, own = key[begin], own[begin]
+                bucket = ((key >> U64(40)) % U64(buckets)).astype(np.int32)
+                packed = key & U64((1 << _KEY_BITS) - 1) | several
+                order = np.argsort(bucket, kind="stable")
+                bucket, packed, sets = bucket[order], packed[order], numbers[some][own[order]]
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(starts[1:], len(bucket))
+                spread = int(numbers[some[0]]) % buckets
+                rows = [(False, int(bucket[a]), _packed(packed[a:b]), sets[a:b].astype("<i8").tobytes(), b"") for a, b in zip(starts.tolist(), ends.tolist())]
+                rows.append((True, spread, counted.astype("<i4").tobytes(), numbers[some].astype("<i8").tobytes(), need.astype("<i4").tobytes()))
+                kinds = [pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["known", "bucket", "keys", "sets", "need"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "known boolean, bucket int, keys binary, sets binary, need binary")
+
+
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """``set, sent, counted, need`` of one group of :func:`_send_elements`."""
+    join = lambda name: b"".join(table.column(name).to_pylist())
+    sets = np.frombuffer(join("sets"), "<i8")
+    if table.column("known")[0].as_py():
+        counted, need = np.frombuffer(join("keys"), "<i4"), np.frombuffer(join("need"), "<i4")
+        return pa.table({"set": pa.array(sets), "sent": pa.array(np.zeros(len(sets), _I64)), "counted": pa.array(counted.astype(_I64)), "need": pa.array(need.astype(_I64))})
+    packed = _unpacked(join("keys"))
+    key, several = packed & U64((1 << _KEY_BITS) - 1), (packed >> U64(_KEY_BITS)).astype(bool)
+    order = np.lexsort((sets, key))
+    key, several, sets = key[order], several[order], sets[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(begin, len(key)))
+    # an element is shared if a slice had it in several sets or two different sets sent it
+    shared = np.logical_or.reduceat(several, begin) | (sets[begin] != sets[begin + sizes - 1])
+    fresh = np.append(True, (key[1:] != key[:-1]) | (sets[1:] != sets[:-1]))
+    hit, count = np.unique(sets[np.repeat(shared, sizes) & fresh & ~several], return_counts=True)
+    return pa.table({"set": pa.array(hit), "sent": pa.array(count.astype(_I64)), "counted": pa.nulls(len(hit), pa.int64()), "need": pa.nulls(len(hit), pa.int64())})
+
+
+def sets_that_may_link(docs: DataFrame, words: int, percent: int, elements: int) -> DataFrame:
+    """Numbers of the sets that share enough of their first elements with other sets; ``elements``: of all sets together."""
+    sent = int(elements * ((100 - percent) / 100 + SPARE)) * 13  # bytes
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * tasks, sent // BUCKET_BYTES + 1)
+    counts = _send_elements(docs, words, percent, buckets).groupBy("known", "bucket").applyInArrow(_count_bucket, "`set` bigint, sent bigint, counted bigint, need bigint")
+    # a set with copies in several slices is counted in each: the largest of these counts is one that is complete with what was sent
+    total = counts.groupBy("set").agg(F.sum("sent").alias("sent"), F.max("counted").alias("counted"), F.max("need").alias("need"))
+    return total.where("sent + counted >= need").select("set")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Per row of ``(set, text)``: the sorted shingle hashes of the text, if it has this set."""
+    """Per row of ``(set, text)``: the sorted shingle hashes of the text, if it has this set. A null set takes any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, borders in text_slices(batch.column("text")):
                 value, cut = shingle_sets(data, borders, words)
                 part = batch.slice(first, end - first)
-                same = np.asarray(part.column("set")) == _set_numbers(value, cut)
+                numbers = _set_numbers(value, cut)
+                wanted = part.column("set")
+                same = wanted.is_null().to_numpy(zero_copy_only=False) | (wanted.fill_null(0).to_numpy() == numbers)
                 counts = np.diff(cut)
                 out = pa.RecordBatch.from_arrays(
-                    [part.column("set"), pa.array(counts.astype(_I64)), _lists(value.view(_I64), counts)],
+                    [pa.array(numbers), pa.array(counts.astype(_I64)), _lists(value.view(_I64), counts)],
                     names=["set", "n", "items"],
                 )
                 yield out.filter(pa.array(same))
@@ -367,6 +371,25 @@ def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return label.select(F.col("node").alias("set"), "root")
 
 
+def _chosen_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """``set, n, items`` of the chosen sets, each read from one text: that of its smallest id where the id has no other.
+
+    Sets without such an id (rows without an id, ids with several chosen sets) are found by their number among the sets of
+    all rows with these ids, so that no row meets more than one of them.
+    """
+    per_id = chosen.groupBy("first_doc").agg(F.min("set").alias("set"), F.count(F.lit(1)).alias("many"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    single = per_id.where("many = 1 AND first_doc IS NOT NULL").select(F.col("first_doc").alias("doc_id"), "set")
+    small = row_count(chosen) <= BROADCAST_ROWS
+    found = full_sets(texts.join(F.broadcast(single) if small else single, "doc_id").select("set", "text"), words)
+    other = per_id.where("many > 1 OR first_doc IS NULL").select(F.col("first_doc").alias("other_id"))
+    if not other.isEmpty():
+        same = texts["doc_id"].eqNullSafe(other["other_id"])
+        rows = texts.join(F.broadcast(other) if small else other, same, "left_semi").select(F.lit(None).cast("bigint").alias("set"), "text")
+        found = found.unionByName(full_sets(rows, words).join(chosen.select("set"), "set", "left_semi"))
+    return found.dropDuplicates(["set"])
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of texts linked by ``100 * common >= percent * union`` of their sets of word shingles.
 
@@ -375,22 +398,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Null and empty texts have no shingles and link with nothing; their component is their own doc_id. Repeated rows link
     with each other. A null doc_id takes part and is never the smallest unless alone. An empty table gives an empty one.
     """
-    index = settled(index_sets(docs, words, percent), "sets")
+    if not 50 < percent <= 100:
+        raise ValueError("percent must lie above 50 and be at most 100")
+    index = settled(index_sets(docs, words), "sets")
     classes = settled(index.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first_doc")), "classes")
-    # a set takes part once per size class; equal sets have equal rows
-    entries = index.select("set", F.explode(F.concat("keys0", "keys1")).alias("key"))
-    shared = entries.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("key")
-    hits = entries.join(shared, "key", "left_semi").distinct().select("set", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("level"))
-    need = index.select("set", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"need{i}").alias("need")) for i in (0, 1)])).alias("x"))
-    need = need.select("set", "x.*").where("need > -1").distinct()
-    enough = hits.groupBy("set", "level").agg(F.count(F.lit(1)).alias("hit")).join(need, ["set", "level"]).where("hit >= need")
-    chosen = settled(enough.select("set").distinct().join(classes, "set"), "chosen")
-    small = row_count(chosen) <= BROADCAST_ROWS
-    lookup = chosen.select("set", F.col("first_doc").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    same = texts["doc_id"].eqNullSafe(lookup["doc_id"])
-    texts = texts.join(F.broadcast(lookup) if small else lookup, same).select("set", "text")
-    sets = settled(full_sets(texts, words).dropDuplicates(["set"]), "items")
+    elements = index.agg(F.sum("n")).first()[0] or 0
+    chosen = settled(sets_that_may_link(docs, words, percent, elements).join(classes, "set"), "chosen")
+    sets = settled(_chosen_sets(docs, chosen, words), "items")
     linked = _link_sets(prefix_lists(sets, percent), sets, percent)
     rooted = linked.join(classes.select("set", "first_doc"), "set")
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
