@@ -1,6 +1,8 @@
 """Operators on whole texts against brute force, with odd inputs."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -385,7 +387,8 @@ def test_collisions_estimate_generalised_jaccard(spark):
     df = spark.createDataFrame(rows, "i int, side int, term string, w int")
     term, log_weight = F.xxhash64("term"), F.log(F.col("w").cast("double"))
     count = 400
-    signed = df.groupBy("i", "side").agg(*[F.min(fingerprints.sample_value(term, log_weight, d)).alias(f"s{d}") for d in range(count)])
+    valued = fingerprints.with_sample_values(df.select("i", "side", term.alias("t"), log_weight.alias("l")), "t", ["l"], range(count))
+    signed = valued.groupBy("i", "side").agg(*[F.min(f"l{d}").alias(f"s{d}") for d in range(count)])
     found = {(r["i"], r["side"]): r[2:] for r in signed.collect()}
     for i, (a, b) in enumerate(bags):
         terms = a.keys() | b.keys()
@@ -394,6 +397,54 @@ def test_collisions_estimate_generalised_jaccard(spark):
         assert abs(got - want) < 0.08
 
 
+def plain_fingerprint(text, samples):
+    """The printed fingerprint from the formula, with exact logarithms."""
+    xxhash = pytest.importorskip("xxhash")
+    long_hash = lambda x: xxhash.xxh64(struct.pack("<Q", x), seed=42).intdigest()
+    terms = plain_terms(text)
+
+    def gamma(h):
+        fields = [h >> (14 * i) & (2**14 - 1) for i in range(4)]
+        zeros = [((f | 2**14) & -(f | 2**14)).bit_length() - 1 for f in fields[:2]]
+        u = [2.0**-z * (1 - (f + 0.5) / 2**15) for z, f in zip(zeros, fields[2:])]
+        return -math.log(u[0] * u[1])
+
+    out = []
+    for d in range(samples):
+        values = []
+        for term, n in terms.items():
+            h = long_hash(term ^ 0x9E3779B97F4A7C15 * (d + 1) % 2**64)
+            g = long_hash(h)
+            r, c, b = gamma(h), gamma(g), ((h >> 56) + ((g >> 56) + 0.5) / 256) / 256
+            values.append((math.log(c) - r * (math.floor(math.log(n) / r + b) - b + 1), term))
+        out.append(min(values))
+    return out
+
+
+def test_samples_follow_the_formula(spark):
+    texts = ["a b a b a c", "", "one two three one two", " ".join(f"w{i % 23}" for i in range(90))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.compare_neighbours(df).collect()}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    terms = [(i, signed(t), math.log(n)) for i, text in enumerate(texts) for t, n in plain_terms(text).items()]
+    valued = fingerprints.with_sample_values(spark.createDataFrame(terms, "i int, t bigint, l double"), "t", ["l"], range(64))
+    least = {(r["i"], r["t"]): r for r in valued.collect()}
+    for i, text in enumerate(texts):
+        assert len(got[i]) == 8 * 64
+        for d, (value, term) in enumerate(plain_fingerprint(text, 64)):
+            own = [r[f"l{d}"] for (j, _), r in least.items() if j == i]
+            assert abs(least[i, signed(term)][f"l{d}"] - value) < 1e-4 and min(own) == least[i, signed(term)][f"l{d}"]
+            hexed = pytest.importorskip("xxhash").xxh64(struct.pack("<d", min(own)), seed=42).hexdigest()
+            assert got[i][8 * d : 8 * d + 8] == hexed[8:].upper()
+
+
+def plain_terms(text):
+    xxhash = pytest.importorskip("xxhash")
+    words = [w.encode() for w in re.split("[ \t\n\x0b\f\r]+", text.lower())]
+    first = [xxhash.xxh64(w, seed=42).intdigest() for w in words]
+    return collections.Counter((xxhash.xxh64(b, seed=h).intdigest() if b is not None else h) & ~1 for h, b in zip(first, [*words[1:], None]))
+
+
 def test_likenesses_are_close_to_the_true_ones(spark):
     rng = random.Random(3)
     texts = []
