@@ -30,6 +30,28 @@ def downstream(edges: DataFrame, start: DataFrame, max_depth: int = 10_000) -> D
     raise ValueError(f"closure is deeper than {max_depth}")
 
 
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """``root, node``: every node that each root of ``starts(root, node)`` reaches over ``edges(source, target)``, itself
+    included.
+
+    All roots advance together: a round joins the (root, node) pairs that are new with the edges, so the rounds are those
+    of the deepest root and a node is visited once per root. Cycles end by themselves; nodes without edges and null ones
+    are leaves.
+    """
+    require_between("max_depth", max_depth, 1, 1_000_000)
+    reached = reliable_checkpoint(starts.select("root", "node").distinct())
+    frontier, steps = reached, edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    for _ in range(max_depth):
+        found = frontier.join(steps, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
+        known = reached.select(F.col("root").alias("known_root"), F.col("node").alias("known"))
+        same = F.col("root").eqNullSafe(F.col("known_root")) & (F.col("node") == F.col("known"))
+        frontier = reliable_checkpoint(found.join(known, same, "left_anti"))
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)
+    raise ValueError(f"closure is deeper than {max_depth}")
+
+
 def mark_stale(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """Node table with the state of the whole closure set to Stale."""
     closure = downstream(edges, start).withColumn("_stale", F.lit(True))

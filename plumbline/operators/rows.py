@@ -77,17 +77,54 @@ def around_filter(df: DataFrame, at: str, center: str, radius_us: int) -> DataFr
     return interval_filter(df, at, F.timestamp_micros(middle - radius_us), F.timestamp_micros(middle + radius_us))
 
 
-def fork(df: DataFrame, branches: Mapping[str, Column], outputs: Mapping[str, Column]) -> DataFrame:
+# How a branch can end for a row.
+OUTCOMES = ("success", "failed", "cancelled")
+
+
+def fork(
+    df: DataFrame,
+    branches: Mapping[str, Column],
+    outputs: Mapping[str, Column],
+    errors: Mapping[str, Column] | None = None,
+    cancelled: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Send each row to every branch whose condition holds, from one scan of the input.
 
-    Branches are isolated: an output is computed with a ``try_`` function by the caller and is null where its branch
-    failed; ``outcome`` tells success and failure apart.
+    Branches are isolated: what goes wrong in one is an ``outcome`` of its row, not a failure of the query. ``errors`` gives
+    a branch a channel of its own, a text where it failed and null where it did not; then no value is a value like any other
+    and ``error`` holds the text. A branch without one is computed with ``try_`` functions, whose null means failure.
+    ``cancelled`` tells for a branch which rows it gives up. Only a success has a ``result``. Conditions of a following fork
+    can choose by outcome, see :func:`on`.
     """
+    unknown = (set(errors or ()) | set(cancelled or ()) | set(outputs)) - set(branches)
+    if unknown or set(outputs) != set(branches):
+        raise LimitError(f"every branch needs an output, and only branches have one: {', '.join(sorted(unknown or set(branches) - set(outputs)))}")
     taken = F.array_compact(F.array(*[F.when(strict_bool(p), F.lit(name)) for name, p in branches.items()]))
     tagged = df.withColumn("branch", F.explode(taken))
-    value = F.coalesce(*[F.when(F.col("branch") == name, column) for name, column in outputs.items()])
-    outcome = F.when(value.isNull(), "failed").otherwise("success")
-    return tagged.withColumns({"result": value, "outcome": outcome})
+    none = F.lit(None).cast("string")
+
+    def of_branch(choose) -> Column:
+        case = F
+        for name in branches:
+            case = case.when(F.col("branch") == name, choose(name))
+        return case
+
+    value = of_branch(lambda name: outputs[name])
+    error = of_branch(lambda name: errors[name].cast("string") if errors and name in errors else F.when(outputs[name].isNull(), "no value").otherwise(none))
+    stopped = of_branch(lambda name: strict_bool(cancelled[name]) if cancelled and name in cancelled else F.lit(False))
+    outcome = F.when(stopped, "cancelled").when(error.isNotNull(), "failed").otherwise("success")
+    judged = tagged.withColumns({"result": F.when(outcome == "success", value), "outcome": outcome})
+    return judged.withColumn("error", F.when(outcome == "failed", error)) if errors else judged
+
+
+def on(outcome: str, when: Column | None = None, column: str = "outcome") -> Column:
+    """Condition of a branch that follows another fork: rows with this outcome, of successes also only ``when`` it holds."""
+    if outcome not in OUTCOMES:
+        raise LimitError(f"outcome must be one of {', '.join(OUTCOMES)}")
+    if when is not None and outcome != "success":
+        raise LimitError("only a success has a value to put a condition on")
+    chosen = F.col(column) == outcome
+    return chosen if when is None else F.when(chosen, strict_bool(when)).otherwise(False)
 
 
 def sort_by(df: DataFrame, key: str, tie: str, numbered: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
 from plumbline.guards import require_between, require_kind, required
 from plumbline.operators.folds import SPAN, associative, reduce_rows
+from plumbline.operators.lineage import reachable
 from plumbline.operators.ordered import chunk_hot, find_hot, match_keys, newest
 
 
@@ -159,6 +160,18 @@ def footprint(references: DataFrame, sizes: DataFrame, root: str, item: str, siz
     )
 
 
+def footprint_closure(
+    references: DataFrame, links: DataFrame, sizes: DataFrame, root: str, item: str, target: str, size: str
+) -> DataFrame:
+    """The footprint of what each root reaches: its ``references(root, item)`` and all that ``links(item, target)`` lead to.
+
+    Every object counts once per root however many paths lead to it; shared are the objects that other roots reach too.
+    """
+    edges = links.select(F.col(item).alias("source"), F.col(target).alias("target"))
+    reached = reachable(edges, references.select(F.col(root).alias("root"), F.col(item).alias("node")))
+    return footprint(reached.select(F.col("root").alias(root), F.col("node").alias(item)), sizes, root, item, size)
+
+
 def domain_preview(df: DataFrame, value: str, order: str, limit: int = 64) -> DataFrame:
     """Distinct values in order of first appearance, at most ``limit``, with the full total and a complete flag."""
     distinct = df.groupBy(value).agg(F.min(order).alias("first_at"), F.count(F.lit(1)).alias("occurrences"))

@@ -119,6 +119,24 @@ def footprint(spark, sf):
     return summaries.footprint(references, sizes, "l_suppkey", "l_partkey", "p_size")
 
 
+@query(
+    "footprint_closure",
+    """WITH RECURSIVE r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem UNION SELECT l_suppkey, l_partkey // 2 FROM r WHERE l_partkey // 2 > 0),
+    h AS (SELECT l_partkey, count(*) AS roots FROM r GROUP BY 1)
+    SELECT l_suppkey, count(*) AS objects, CAST(sum(p_size) AS BIGINT) AS total_bytes,
+      CAST(coalesce(sum(p_size) FILTER (roots > 1), 0) AS BIGINT) AS shared_bytes,
+      CAST(coalesce(sum(p_size) FILTER (roots = 1), 0) AS BIGINT) AS exclusive_bytes
+    FROM r JOIN h USING (l_partkey) JOIN part ON p_partkey = l_partkey GROUP BY 1""",
+)
+def footprint_closure(spark, sf):
+    """Every part refers to the one with half its number: chains that meet, down to the first."""
+    parts = load(spark, sf, "part")
+    half = F.call_function("div", F.col("p_partkey"), F.lit(2))
+    links = parts.select(F.col("p_partkey").alias("l_partkey"), half.alias("inner_part")).where("inner_part > 0")
+    sizes = parts.select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return summaries.footprint_closure(load(spark, sf, "lineitem"), links, sizes, "l_suppkey", "l_partkey", "inner_part", "p_size")
+
+
 @query(
     "reduce",
     "SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS result FROM conversations GROUP BY conv_id",

@@ -94,6 +94,41 @@ def fork_(spark, sf):
     return rows.fork(df, branches, outputs).select("event_id", "branch", "result", "outcome")
 
 
+@query(
+    "fork_outcomes",
+    f"""WITH {E}, a AS (
+      SELECT event_id, 'halved' AS branch, CASE WHEN k % 2 = 0 AND k <> 10 THEN k // 2 END AS result,
+        CASE WHEN event_type = 'refund' THEN 'cancelled' WHEN k % 2 = 1 THEN 'failed' ELSE 'success' END AS outcome,
+        CASE WHEN event_type <> 'refund' AND k % 2 = 1 THEN 'odd ' || k END AS error FROM e
+      UNION ALL SELECT event_id, 'signed', -cents, 'success', NULL FROM e WHERE cents > 1000),
+    b AS (SELECT *, CASE WHEN outcome = 'success' THEN result END AS value FROM a)
+    SELECT event_id, branch AS source, 'kept' AS branch, value AS result FROM b WHERE outcome = 'success' AND (value IS NULL OR value > 4)
+    UNION ALL SELECT event_id, branch, 'lost', event_id FROM b WHERE outcome = 'failed' AND error IS NOT NULL
+    UNION ALL SELECT event_id, branch, 'stopped', -event_id FROM b WHERE outcome = 'cancelled'""",
+)
+def fork_outcomes(spark, sf):
+    """A fork whose branches fail, give up or return none, and one after it that chooses by outcome."""
+    df = events(spark, sf).select("event_id", "event_type", "k", "cents")
+    odd = F.when(F.col("k") % 2 == 1, F.concat(F.lit("odd "), F.col("k").cast("string")))
+    half = F.when(F.col("k") != 10, F.call_function("div", F.col("k"), F.lit(2)))
+    first = rows.fork(
+        df,
+        {"halved": F.lit(True), "signed": F.col("cents") > 1000},
+        {"halved": half, "signed": -F.col("cents")},
+        errors={"halved": odd},
+        cancelled={"halved": F.col("event_type") == "refund"},
+    )
+    seen = first.select("event_id", F.col("branch").alias("source"), F.col("result").alias("value"), "outcome", "error")
+    large = F.col("value").isNull() | (F.col("value") > 4)
+    second = rows.fork(
+        seen,
+        {"kept": rows.on("success", large), "lost": rows.on("failed") & F.col("error").isNotNull(), "stopped": rows.on("cancelled")},
+        {"kept": F.col("value"), "lost": F.col("event_id"), "stopped": -F.col("event_id")},
+        errors={"kept": F.lit(None)},
+    )
+    return second.select("event_id", "source", "branch", "result")
+
+
 @query(
     "sort_by",
     """SELECT o_orderkey, row_number() OVER (ORDER BY CAST(round(o_totalprice * 100) AS BIGINT), o_orderkey) - 1 AS position
