@@ -164,7 +164,8 @@ class Phrases:
     """Test phrases of a block of items: vocabulary, distinct windows, and the items of each window."""
 
     def __init__(self, item_ids: list[str], texts: list[str | None], window: int):
-        found = None
+        ids: dict[str | None, int] = {}
+        number_of = [ids.setdefault(i, len(ids)) for i in item_ids]  # rows with one id are one item
         words = []
         for first, _, data, borders in text_slices(pa.array(texts, pa.large_string())):
             found = find_words(data, borders, ALPHANUMERIC)
@@ -184,15 +185,15 @@ class Phrases:
                 if known == len(parts):
                     parts.append(part)
                     items.append([])
-                if not items[known] or items[known][-1] != item:
-                    items[known].append(item)
+                if number_of[item] not in items[known]:
+                    items[known].append(number_of[item])
         self.sizes = np.array([len(p) for p in parts], _I64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = np.concatenate(parts) if parts else np.empty(0, _I64)
         self.item_count = np.array([len(i) for i in items], _I64)
         self.items = np.array([i for some in items for i in some], _I64)
         self.item_start = np.cumsum(self.item_count) - self.item_count
-        self.item_ids = np.array(item_ids, object)
+        self.item_ids = np.array(list(ids), object)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of words, 1 for others."""

@@ -9,9 +9,11 @@ they are small enough to broadcast whatever the corpus size.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,31 @@ MODEL_GRAMS = 120_000
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 CACHED_WORDS = 200_000  # vectors a worker remembers
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _not_letters() -> str:
+    """What :data:`_WORD` takes besides letters (Unicode categories L*), as ranges of a character class."""
+    points = [c for c in range(sys.maxunicode + 1) if _WORD.match(chr(c)) and not unicodedata.category(chr(c)).startswith("L")]
+    spans: list[list[int]] = []
+    for c in points:
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters. Texts with numbers such as superscripts or fractions, which are rare, are read by a slower class."""
+    if text.isascii() or not re.search(f"[{_not_letters()}]", text):
+        return _WORD.findall(text)
+    return re.findall(f"[^\\W\\d_{_not_letters()}]+", text)
+
+
 _SMOOTHING = 0.5
 
 
@@ -44,10 +70,14 @@ def is_held_out(doc_id: Column) -> Column:
 
 def _frequencies(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.ndarray]:
     totals = dict(counts.groupBy("lang").agg(F.sum("n")).collect())  # one row per language
-    kept = counts.groupBy("term").pivot("lang", languages).agg(F.sum("n")).fillna(0)
-    size = sum((F.col(f"`{name}`") for name in languages), F.lit(0))
+    number = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
+    # columns are named by the languages' numbers, whatever the languages are called
+    numbered = counts.select("term", "n", F.element_at(number, F.col("lang")).alias("number"))
+    kept = numbered.groupBy("term").pivot("number", list(range(len(languages)))).agg(F.sum("n")).fillna(0)
+    names = [str(i) for i in range(len(languages))]
+    size = sum((F.col(f"`{name}`") for name in names), F.lit(0))
     table = kept.orderBy(size.desc(), "term").limit(most).toPandas()
-    values = table[languages].to_numpy(np.float64)
+    values = table[names].to_numpy(np.float64)
     below = np.array([totals.get(name, 0) for name in languages], np.float64) + _SMOOTHING * max(len(table), 1)
     return dict(zip(table["term"], np.log((values + _SMOOTHING) / below).astype(np.float32)))
 
@@ -152,7 +182,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         languages = table.scorer.model.languages
         index, sizes = [], []
         for text in texts:
-            words = _LETTERS.findall(text.lower()) if text else ()
+            words = letter_words(text.lower()) if text else ()
             index.extend(map(table.__getitem__, words))
             sizes.append(len(words))
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)

@@ -73,16 +73,17 @@ p AS (SELECT page_id, lower(url) AS low, regexp_extract(rest, '^[^/?#]*') AS raw
 m AS (SELECT *, (SELECT max_by(struct_pack(rule := rule_host || rule_path, action := action), length(rule_host || rule_path)) FROM sites
     WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM p)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN
+    regexp_matches(low, '^[^/?#]*://([^/?#]*\\.)?adult-({"|".join(urls.ADULT_ALLOWED)})') THEN 'allow' WHEN
     regexp_matches(low, '^[^/?#]*://([^/?#]*\\.)?spam-') OR low LIKE '%-pills.%' OR
     regexp_matches(low, '[^a-z0-9_.%-]casino([^a-z0-9_.%-]|$)') OR regexp_matches(low, '/adclick([^a-z0-9_.%-]|$)') OR
-    low LIKE '%://%/popunder/%' THEN 'block' ELSE 'allow' END) AS verdict
+    low LIKE '%://%/popunder/%' OR regexp_matches(low, '^[^/?#]*://([^/?#]*\\.)?({"|".join(urls.HOST_WORDS)})[-.]') OR
+    regexp_matches(low, '/({"|".join(urls.PATH_WORDS)})([^a-z0-9_.%-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM m"""
 
 
 @query("op7_url_rules", OP7_SQL)
 def op7_url_rules(spark, sf):
-    # with the patterns that OP7_SQL states; judge_urls has a longer list of its own
-    return urls.judge_urls(load(spark, sf, "pages").select("page_id", "url"), SITE_RULES, urls.REFERENCE_PATTERNS).drop("url")
+    return urls.judge_urls(load(spark, sf, "pages").select("page_id", "url"), SITE_RULES).drop("url")
 
 
 @query("op8_language_id")

@@ -35,8 +35,8 @@ class PatternRule(NamedTuple):
     pattern: str
 
 
-# the patterns that the reference SQL of op7_url_rules states; '.' and '-' are no separators for ^
-REFERENCE_PATTERNS = (
+# '.' and '-' are no separators for ^
+PLAIN_PATTERNS = (
     PatternRule("block", "||spam-"),
     PatternRule("block", "-pills."),
     PatternRule("block", "^casino^"),
@@ -45,7 +45,7 @@ REFERENCE_PATTERNS = (
 )
 
 # words that fill a host label or begin one before a hyphen, as in casino.example.com and m.casino-win.example.com
-_HOST_WORDS = (
+HOST_WORDS = (
     *("casino", "casinos", "poker", "slots", "roulette", "blackjack", "jackpot", "betting", "sportsbet", "bets"),
     *("free-bets", "free-bet", "free-spins", "free-casino", "online-casino", "online-poker", "online-slots", "live-casino"),
     *("adult", "porn", "porno", "xxx", "sex-cams", "sexcams", "live-sex", "escorts", "hentai"),
@@ -54,13 +54,15 @@ _HOST_WORDS = (
     *("link-farm", "linkfarm", "spam-farm", "get-rich", "make-money", "payday-loans", "replica-watches"),
 )
 # whole path segments
-_PATH_WORDS = ("adclick", "adclicks", "adserver", "adserve", "popunder", "popup-ads", "banner-ads", "track-click", "casino-bonus", "free-spins", "viagra", "cialis", "xxx", "porn")
+PATH_WORDS = ("adclick", "adclicks", "adserver", "adserve", "popunder", "popup-ads", "banner-ads", "track-click", "casino-bonus", "free-spins", "viagra", "cialis", "xxx", "porn")
+
+ADULT_ALLOWED = ("education", "learning", "literacy", "care", "social-care")
 
 DEFAULT_PATTERNS = (
-    *REFERENCE_PATTERNS,
-    *(PatternRule("block", f"||{word}{end}") for word in _HOST_WORDS for end in "-."),
-    *(PatternRule("block", f"/{word}^") for word in _PATH_WORDS),
-    *(PatternRule("allow", f"||adult-{word}") for word in ("education", "learning", "literacy", "care", "social-care")),
+    *PLAIN_PATTERNS,
+    *(PatternRule("block", f"||{word}{end}") for word in HOST_WORDS for end in "-."),
+    *(PatternRule("block", f"/{word}^") for word in PATH_WORDS),
+    *(PatternRule("allow", f"||adult-{word}") for word in ADULT_ALLOWED),
 )
 
 
@@ -75,7 +77,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def rule_regex(rule: SiteRule | PatternRule) -> str:
     """Site rules are matched with host and path together, patterns with the lower-cased URL."""
     if isinstance(rule, SiteRule):
-        return r"^(?:[^/]*\.)?" + re.escape(rule.host + rule.path)
+        return r"^(?:[^/]*\.)?" + re.escape(rule.host + rule.path) + ("" if rule.path else "(?:/|$)")
     body, head, tail = rule.pattern.lower(), "", ""
     if body.startswith("||"):
         body, head = body[2:], r"^[^/?#]*://(?:[^/?#]*\.)?"
@@ -154,6 +156,8 @@ def judge_urls(
         best, F.max(F.when(pattern, allow)).alias("_allowed"), F.max(F.when(pattern, ~allow)).alias("_blocked")
     )
     # a hot url is one row on the right side, so the large side of this join can be split
-    out = pages.join(decided, "url", "left").withColumns({"host": host, "path": path})
-    own = F.when(F.col("_allowed"), "allow").when(F.col("_blocked"), "block").otherwise(F.lit(default))
-    return out.select(*pages.columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", own).alias("verdict"))
+    out = pages.alias("p").join(decided.alias("d"), F.col("p.url") == F.col("d.url"), "left")
+    host, path = split_url(F.col("p.url"))
+    own = F.when(F.col("d._allowed"), "allow").when(F.col("d._blocked"), "block").otherwise(F.lit(default))
+    kept = [F.col(f"p.`{c}`") for c in pages.columns]
+    return out.select(*kept, host.alias("host"), path.alias("path"), F.col("d._best.rule").alias("rule"), F.coalesce("d._best.action", own).alias("verdict"))

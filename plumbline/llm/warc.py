@@ -30,8 +30,11 @@ _HEAD = re.compile(
     re.S | re.I,
 )
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|nav|header|footer|blockquote|pre|main|aside|form)\b[^>]*|br\b[^>]*|hr\b[^>]*)>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+# a tag ends at the first > outside its quoted values, or where a quote stays open at the first > of all
+_TAG = re.compile(rf"</?[a-zA-Z](?:{_QUOTED}|[^\"'>])*+>|</?[a-zA-Z!?][^>]*(?:>|\Z)")
+_ATTRIBUTE = r"[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+_LINK = re.compile(rf"<a(?:[\s/]+(?!href\s*=){_ATTRIBUTE})*+[\s/]+href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")

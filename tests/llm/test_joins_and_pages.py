@@ -202,3 +202,26 @@ def test_only_linked_rows_go(spark):
     want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (4, "")]
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_site_rules_end_at_the_host_and_columns_may_have_any_name(spark):
+    found = {"a": "http://example.org", "b": "http://example.organic.net/x", "c": "http://www.example.org/y?z", "d": "http://example.org:80/"}
+    pages = spark.createDataFrame([(k, u, 1, 2, 3, 4) for k, u in found.items()], "id string, url string, _best int, _allowed int, _row int, token int")
+    judged = urls.judge_urls(pages, [urls.SiteRule("block", "example.org", "")])
+    assert {r["id"]: r["verdict"] for r in judged.collect()} == {"a": "block", "b": "allow", "c": "block", "d": "allow"}
+    assert judged.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+
+
+def test_links_and_tags_with_quotes():
+    page = '<a data-href="x" href="y">z</a> <a title="a>b" href=\'q\'>w</a><a class=c id href=u>v</a><abbr href="no">'
+    assert ["".join(f) for f in warc._LINK.findall(page)] == ["y", "q", "u"]
+    assert warc.visible_text('<p><a title="a>b" href="y">z</a> 1 < 2 <b>x</b> <i class="o>pen</p>t') == "z 1 < 2 x pen\nt"
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 5), (2, text, 6), (None, text, 7), (3, "other words that have no copy at all", 8), (3, text + " eleven", 9), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int")
+    kept = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[5]], key=repr)

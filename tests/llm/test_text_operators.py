@@ -457,3 +457,68 @@ def test_likenesses_are_close_to_the_true_ones(spark):
     errors = [got[i]["near_next"] - 40 / 50 for i in range(0, len(texts), 2)]
     assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.075
     assert got[1]["near_next"] == 0
+
+
+# cases of the contracts that the tables do not hold
+
+
+def test_languages_of_any_name_and_only_letters(spark):
+    names = ["term", "back`tick", "a.b", "n"]
+    rows = [(i, f"{w} {w}x {w}y", n, 0) for i, (n, w) in enumerate(zip(names * 3, ["alpha", "beta", "gamma", "delta"] * 3))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n int"))
+    assert model.languages == sorted(names)
+    texts = ["alpha", "²½", "① Ⅷ", "12 ٣ _", "beta² ½", "Été"]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, keep=["doc_id"])
+    found = {r["doc_id"]: r["lang_pred"] for r in got.collect()}
+    assert [found[i] for i in range(4)] == ["term", "und", "und", "und"] and found[4] == "back`tick" and found[5] != "und"
+    assert language.letter_words("a²½b Ⅷ ① été 漢字 x_1") == ["a", "b", "été", "漢字", "x"]
+
+
+def test_predictions_equal_a_plain_scorer(spark):
+    rng = random.Random(8)
+    words = {"en": ["the", "house", "walks"], "de": ["das", "haus", "geht"], "fr": ["le", "maison", "marche"]}
+    rows = [(i, " ".join(rng.choices(words[n], k=9)), n) for i, n in enumerate(["en", "de", "fr"] * 20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    counts = {n: collections.Counter(w for _, t, m in rows if m == n for w in t.split()) for n in words}
+    vocabulary = {w for c in counts.values() for w in c}
+    for word in vocabulary:
+        for i, n in enumerate(model.languages):
+            want = math.log((counts[n][word] + 0.5) / (sum(counts[n].values()) + 0.5 * len(vocabulary)))
+            assert abs(model.words[word][i] - want) < 1e-5
+    grams = {n: collections.Counter() for n in words}
+    for n, c in counts.items():
+        for w, k in c.items():
+            padded = f"_{w}_"
+            for size in range(1, 6):
+                for at in range(len(padded) - size + 1):
+                    if padded[at : at + size] != "_":
+                        grams[n][padded[at : at + size]] += k
+    known = {g for c in grams.values() for g in c}
+
+    def vector(word):
+        if word in vocabulary:
+            return [math.log((counts[n][word] + 0.5) / (sum(counts[n].values()) + 0.5 * len(vocabulary))) for n in model.languages]
+        padded = f"_{word}_"
+        for size in range(min(5, len(padded)), 0, -1):
+            held = [g for at in range(len(padded) - size + 1) if (g := padded[at : at + size]) in known]
+            if held:
+                logs = [[math.log((grams[n][g] + 0.5) / (sum(grams[n].values()) + 0.5 * len(known))) for n in model.languages] for g in held]
+                return [sum(x) / len(held) for x in zip(*logs)]
+        return [0.0] * len(model.languages)
+
+    texts = ["the haus", "houses walked", "maisons", "gehen qq", "zzz", "le das the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in language.predict(docs, model, keep=["doc_id", "text"]).collect():
+        vectors = [vector(w) for w in r["text"].split()]
+        total = [sum(v) for v in zip(*vectors)]
+        best = max(range(len(total)), key=lambda i: (round(total[i], 4), -i))
+        share = [math.exp(v[best]) / sum(map(math.exp, v)) for v in vectors]
+        assert r["lang_pred"] == model.languages[best] and abs(r["score"] - sum(share) / len(share)) < 1e-3
+
+
+def test_items_of_one_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "one two three and four five six")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("x", "one two three"), ("x", "four five six"), ("y", "two three and"), ("x", "one two three")], "item_id string, text string")
+    for size in (1 << 20, 10):
+        (row,) = decontaminate.find_contamination(docs, items, keep=["doc_id"], block_bytes=size).collect()
+        assert sorted(row["items"]) == ["x", "y"]
