@@ -339,6 +339,45 @@ def timeline_check(
     return total.select(F.inline(F.array(*cells)))
 
 
+def timeline_model_check(
+    declared: DataFrame,
+    samples: DataFrame,
+    events: DataFrame,
+    coverage: DataFrame,
+    order: str,
+    start_us: int,
+    end_us: int,
+    max_series: int = MAX_SERIES,
+    max_records: int = MAX_RECORDS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Violation counts per rule of a whole timeline; zero means the rule holds.
+
+    ``declared(id, unit)`` names the series, ``samples`` are as in :func:`timeline_check`, ``events(id, at_us, order)`` the
+    events, ``coverage(start_us, end_us)`` what was observed: every piece must be an interval inside the range. Samples and
+    events together keep the record limit; series ids are unique, and all series have one unit.
+    """
+    of_samples = timeline_check(samples, order, start_us, end_us, max_series, max_records, hot_rows)
+    as_series = events.select(F.lit("events").alias("series"), F.lit("").alias("unit"), "id", "at_us", order)
+    of_events = timeline_check(as_series, order, start_us, end_us, max_series, max_records, hot_rows)
+    shared = ["unsorted", "duplicate_ids", "outside_range"]
+    rows = of_samples.where(F.col("rule").isin(shared))
+    rows = rows.unionByName(of_events.where(F.col("rule").isin(shared)).withColumn("rule", F.concat(F.lit("events_"), F.col("rule"))))
+    one = lambda df, rule, count: df.agg(F.coalesce(count, F.lit(0)).cast("bigint").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    many, zero = F.count(F.lit(1)), F.lit(0)
+    records = samples.select(F.lit(1).alias("n")).unionByName(events.select(F.lit(1).alias("n")))
+    wrong = (F.col("start_us") < start_us) | (F.col("end_us") > end_us) | (F.col("start_us") > F.col("end_us"))
+    for part in (
+        one(declared, "series_over_limit", F.greatest(many - max_series, zero)),
+        one(declared.groupBy("id").agg((many - 1).alias("repeated")), "duplicate_series", F.sum("repeated")),
+        one(declared, "mixed_units", (F.min("unit") != F.max("unit")).cast("bigint")),
+        one(records, "records_over_limit", F.greatest(many - max_records, zero)),
+        one(coverage, "coverage_outside_range", F.count_if(F.coalesce(wrong, F.lit(True)))),
+    ):
+        rows = rows.unionByName(part)
+    return rows
+
+
 def nearest_join(
     cursors: DataFrame,
     samples: DataFrame,

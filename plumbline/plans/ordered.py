@@ -207,6 +207,38 @@ def timeline_check(spark, sf):
     return series.timeline_check(samples, "arrival", START, END, max_series=4, max_records=9000)
 
 
+@query(
+    "timeline_model_check",
+    f"""WITH {E}, s AS (SELECT event_type AS series, event_id AS arrival, us AS at_us, CAST(us // 60000000 AS VARCHAR) AS id FROM e),
+    i AS (SELECT series, count(*) AS n, count(DISTINCT id) AS d FROM s GROUP BY 1),
+    v AS (SELECT event_id, CASE WHEN k > 90 THEN us - 7200000000 ELSE us END AS at_us, CAST(us // 3600000000 AS VARCHAR) AS id FROM e WHERE event_type = 'error'),
+    w AS (SELECT *, lag(at_us) OVER (ORDER BY event_id) AS b FROM v),
+    c AS (SELECT min(us) - 1 AS a, max(us) + 1 AS b FROM e GROUP BY us // 604800000000)
+    SELECT 'unsorted' AS rule, (SELECT count(*) FROM (SELECT at_us, lag(at_us) OVER (PARTITION BY series ORDER BY arrival) AS b FROM s) WHERE b > at_us) AS violations
+    UNION ALL SELECT 'duplicate_ids', (SELECT CAST(sum(n - d) AS BIGINT) FROM i)
+    UNION ALL SELECT 'outside_range', (SELECT count(*) FROM s WHERE at_us < {START} OR at_us >= {END})
+    UNION ALL SELECT 'events_unsorted', (SELECT count(*) FROM w WHERE b > at_us)
+    UNION ALL SELECT 'events_duplicate_ids', (SELECT count(*) - count(DISTINCT id) FROM v)
+    UNION ALL SELECT 'events_outside_range', (SELECT count(*) FROM v WHERE at_us < {START} OR at_us >= {END})
+    UNION ALL SELECT 'series_over_limit', (SELECT greatest(count(*) - 4, 0) FROM (SELECT DISTINCT event_type, k = 99 FROM e))
+    UNION ALL SELECT 'duplicate_series', (SELECT count(*) - count(DISTINCT event_type) FROM (SELECT DISTINCT event_type, k = 99 FROM e))
+    UNION ALL SELECT 'mixed_units', (SELECT CAST(count(DISTINCT k = 99) > 1 AS BIGINT) FROM e)
+    UNION ALL SELECT 'records_over_limit', (SELECT greatest((SELECT count(*) FROM s) + (SELECT count(*) FROM v) - 900, 0))
+    UNION ALL SELECT 'coverage_outside_range', (SELECT count(*) FROM c WHERE a < {START} OR b > {END})""",
+)
+def timeline_model_check(spark, sf):
+    """Series, samples, events and weekly coverage of the event table against all rules of a timeline."""
+    df, c = events(spark, sf), F.col
+    samples = df.select(
+        c("event_type").alias("series"), c("event_id").alias("arrival"), c("us").alias("at_us"), F.expr("us div 60000000").cast("string").alias("id"), F.lit("ms").alias("unit")
+    )
+    declared = df.select(c("event_type").alias("id"), F.when(c("k") == 99, "s").otherwise("ms").alias("unit")).distinct()
+    shifted = F.when(c("k") > 90, c("us") - 7_200_000_000).otherwise(c("us")).alias("at_us")
+    errors = df.where("event_type = 'error'").select(F.expr("us div 3600000000").cast("string").alias("id"), shifted, c("event_id").alias("arrival"))
+    weeks = df.groupBy(F.expr("us div 604800000000")).agg((F.min("us") - 1).alias("start_us"), (F.max("us") + 1).alias("end_us")).select("start_us", "end_us")
+    return series.timeline_model_check(declared, samples, errors, weeks, "arrival", START, END, max_series=4, max_records=900)
+
+
 @query(
     "nearest_join",
     f"""WITH {E}, c AS (SELECT DISTINCT user_id, us FROM e WHERE event_type = 'error'),
