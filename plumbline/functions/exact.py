@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
 from plumbline.guards import refuse_when, require_between
 
 _WIDE = "decimal(38,0)"
@@ -96,6 +97,101 @@ def _rounded_ratio(a: Column, b: Column, scale: int, half_even: bool) -> Column:
     return (signed * unit).cast(f"decimal(38,{scale})")
 
 
+def _long_division(top: Column, bottom: Column, places: int) -> Column:
+    """``{whole, digits, rest, bottom}`` of nonnegative whole numbers: ``places`` digits behind the point, as text.
+
+    The remainder goes from limb to limb within the row. A limb is as wide as the divisor lets its product be: nine digits
+    in BIGINT, eighteen in 38-digit decimals under a BIGINT divisor, two under a longer one.
+    """
+
+    def chain(x: Column, kind: str, width: int) -> Column:
+        head = places % width
+        widths = F.array(*[F.lit(w) for w in ([head] if head else []) + [width] * (places // width)]).cast("array<int>")
+        power = lambda w: F.when(w == width, F.lit(Decimal(10**width))).otherwise(F.lit(Decimal(10**head)))
+        if kind == "bigint":
+            power = lambda w: F.when(w == width, F.lit(10**width)).otherwise(F.lit(10**head)).cast(kind)
+        state = lambda rest, digits: F.struct(rest.cast(kind).alias("rest"), digits.alias("digits"))
+
+        def over(divisor: Column) -> Column:
+            def limb(left: Column, w: Column) -> Column:
+                scaled = (left["rest"] * power(w)).cast(kind)
+                return state(scaled % divisor, F.concat(left["digits"], F.lpad(div(scaled, divisor).cast("string"), w, F.lit("0"))))
+
+            return F.reduce(widths, state(x["top"].cast(kind) % divisor, F.lit("")), limb)
+
+        done = let(x["bottom"].cast(kind), over)
+        return F.struct(done["rest"].cast(_WIDE).alias("rest"), done["digits"].alias("digits"))
+
+    def divided(x: Column) -> Column:
+        # lazily: only the branch of the row's own size runs
+        short = (x["top"] <= _LONG) & (x["bottom"] < _LONG // 10**9)
+        parts = (
+            F.when(short, chain(x, "bigint", 9))
+            .when(x["bottom"] <= _LONG, chain(x, _WIDE, 18))
+            .otherwise(chain(x, _WIDE, 2))
+        )
+        whole = ((x["top"] - x["top"] % x["bottom"]) / x["bottom"]).cast(_WIDE)
+        return let(
+            parts,
+            lambda d: F.struct(
+                whole.cast("string").alias("whole"), d["digits"].alias("digits"), d["rest"].alias("rest"), x["bottom"].alias("bottom")
+            ),
+        )
+
+    return let(F.struct(top.cast(_WIDE).alias("top"), bottom.cast(_WIDE).alias("bottom")), divided)
+
+
+def _written(negative: Column, whole: Column, digits: Column) -> Column:
+    """Decimal text; zero has no sign."""
+    sign = F.when(negative & F.concat(whole, digits).rlike("[1-9]"), "-").otherwise("")
+    return F.concat(sign, whole, F.when(F.length(digits) > 0, F.concat(F.lit("."), digits)).otherwise(""))
+
+
+def round_div_text(a: Column, b: Column, scale: int, operand_scale: int = 0) -> Column:
+    """``a / b`` rounded half-even to ``scale`` places (0 to 1024), as decimal text with exactly that many digits.
+
+    For results that DECIMAL(38) cannot hold; operands as in :func:`round_div`. Quotients from 10**32 on fail.
+    """
+    require_between("scale", scale, 0, 1024)
+    require_between("operand_scale", operand_scale, 0, 17)
+    top, bottom = _as_whole(a, operand_scale), _as_whole(b, operand_scale)
+
+    def rounded(d: Column) -> Column:
+        all_digits = F.concat(d["whole"], d["digits"])
+        odd = F.substring(all_digits, -1, 1).cast("int") % 2
+        twice = d["rest"] - (d["bottom"] - d["rest"])  # the sign of twice the remainder less the divisor, within 38 digits
+        up = (twice > 0) | ((twice == 0) & (odd == 1))
+        kept = F.rtrim(all_digits, F.lit("9"))
+        nines = F.repeat(F.lit("0"), F.length(all_digits) - F.length(kept))
+        last = (F.substring(kept, -1, 1).cast("int") + 1).cast("string")
+        body = F.when(F.length(kept) == 0, "1").otherwise(F.concat(F.substr(kept, F.lit(1), F.length(kept) - 1), last))
+        digits = F.when(up, F.concat(body, nines)).otherwise(all_digits)
+        return let(
+            digits,
+            lambda t: _written(
+                (a < 0) != (b < 0), F.substr(t, F.lit(1), F.length(t) - scale), F.substr(t, F.length(t) - scale + 1, F.lit(scale))
+            ),
+        )
+
+    return let(_long_division(F.abs(top), F.abs(bottom), scale), rounded)
+
+
+def exact_div_text(a: Column, b: Column, scale: int = 0) -> Column:
+    """``a / b`` as decimal text with all its digits and none after the last nonzero one; fails where they never end.
+
+    Operands as in :func:`exact_div`. A divisor of 36 digits holds at most 119 factors of two and fewer of five, so a
+    quotient that ends does so within 120 places. Quotients from 10**32 on fail.
+    """
+    require_between("scale", scale, 0, 17)
+    top, bottom = (F.abs(_as_whole(x, scale)) for x in (a, b))
+
+    def ended(d: Column) -> Column:
+        text = _written((a < 0) != (b < 0), d["whole"], F.rtrim(d["digits"], F.lit("0")))
+        return refuse_when(d["rest"] != 0, text, "division has no exact decimal result")
+
+    return let(_long_division(top, bottom, 126), ended)
+
+
 def to_int(value: Column) -> Column:
     """Int from an integral Decimal; a fraction fails instead of being cut off."""
     whole = value.cast("bigint")

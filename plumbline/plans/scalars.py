@@ -94,6 +94,31 @@ def round_div_decimal(spark, sf):
     return plain(df)
 
 
+@query(
+    "exact_div_text",
+    f"""WITH {L}, x AS (SELECT {_K}, 20 + l_linenumber AS places, p, p::HUGEINT * CAST(power(5, 7) AS HUGEINT) AS a FROM l),
+    y AS (SELECT {_K}, places, p, a * CAST(power(5, 13) AS HUGEINT) * CAST(power(5, l_linenumber) AS HUGEINT) AS n FROM x),
+    z AS (SELECT {_K}, (n // CAST('1' || repeat('0', places) AS HUGEINT))::VARCHAR AS whole,
+      rtrim(lpad((n % CAST('1' || repeat('0', places) AS HUGEINT))::VARCHAR, places, '0'), '0') AS digits FROM y)
+    SELECT {_K}, whole || CASE WHEN digits = '' THEN '' ELSE '.' || digits END AS quotient FROM z""",
+)
+def exact_div_text(spark, sf):
+    """Quotients that end only after 21 to 27 places."""
+    power = F.call_function("shiftleft", F.lit(1 << 20).cast("bigint"), F.col("l_linenumber"))
+    return lines(spark, sf).select(*LINE_KEYS, exact.exact_div_text(F.col("p"), power).alias("quotient"))
+
+
+@query(
+    "round_div_text",
+    f"""WITH {L}, x AS (SELECT {_K}, p::HUGEINT * CAST('1' || repeat('0', 30) AS HUGEINT) AS t, q::HUGEINT * 7 AS b FROM l),
+    y AS (SELECT {_K}, t // b + CASE WHEN 2 * (t % b) > b OR (2 * (t % b) = b AND (t // b) % 2 = 1) THEN 1 ELSE 0 END AS n FROM x)
+    SELECT {_K}, (n // CAST('1' || repeat('0', 30) AS HUGEINT))::VARCHAR || '.'
+      || lpad((n % CAST('1' || repeat('0', 30) AS HUGEINT))::VARCHAR, 30, '0') AS rounded FROM y""",
+)
+def round_div_text(spark, sf):
+    return lines(spark, sf).select(*LINE_KEYS, exact.round_div_text(F.col("p"), F.col("q") * 7, 30).alias("rounded"))
+
+
 @query("int", f"WITH {L} SELECT {_K}, p AS from_text, q AS from_decimal FROM l")
 def int_(spark, sf):
     written = F.concat(F.lit("+"), F.col("p").cast("string"))

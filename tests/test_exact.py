@@ -107,3 +107,43 @@ def test_text_keeps_all_digits_or_fails(spark):
     assert value(spark, exact.to_decimal(F.lit("1.5000000000000000000000"), 1)) == Decimal("1.5")
     fails(spark.range(1).select(exact.to_decimal(F.lit("0.1234567890123456789"), 18)), "fractional digits")
     fails(spark.range(1).select(exact.to_decimal(F.lit("1e-9"), 6)), "fractional digits")
+
+
+def _text_of(fraction, scale):
+    n = round(fraction * 10**scale)
+    digits = str(abs(n)).rjust(scale + 1, "0")
+    whole, rest = digits[: len(digits) - scale], digits[len(digits) - scale :]
+    return ("-" if n < 0 else "") + whole + ("." + rest if rest else "")
+
+
+@pytest.mark.parametrize("scale", [0, 1, 9, 18, 40, 1024])
+def test_round_div_text_against_fractions(spark, scale):
+    pairs = [(1, 3), (-1, 3), (2, 3), (1, 8), (5, 2), (3, 2), (-5, 2), (0, -7), (-1, 10**18), (999999999, 10**9 + 7)]
+    pairs += [(2**63 - 1, 3), (2**63 - 1, 2**63 - 1), (10**17, 2**62 + 1), (-(2**62), 9 * 10**18), (10**9 - 1, 10**9), (199, 200)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = df.select("a", "b", exact.round_div_text(F.col("a"), F.col("b"), scale)).collect()
+    assert [r[2] for r in got] == [_text_of(Fraction(r.a, r.b), scale) for r in got]
+
+
+def test_round_div_text_with_long_decimals(spark):
+    pairs = [("1.5", "0.4"), ("-9999999999999999.99", "3.01"), ("0.01", "9999999999999999.99"), ("7.00", "0.07")]
+    df = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in pairs], "a decimal(18,2), b decimal(18,2)")
+    got = df.select("a", "b", exact.round_div_text(F.col("a"), F.col("b"), 45, operand_scale=2)).collect()
+    assert [r[2] for r in got] == [_text_of(Fraction(r.a) / Fraction(r.b), 45) for r in got]
+    long = spark.createDataFrame([(Decimal(10**35 + 1), Decimal(3 * 10**34 + 7))], "a decimal(36,0), b decimal(36,0)")
+    (row,) = long.select(exact.round_div_text(F.col("a"), F.col("b"), 50)).collect()
+    assert row[0] == _text_of(Fraction(10**35 + 1, 3 * 10**34 + 7), 50)
+
+
+def test_exact_div_text(spark):
+    pairs = [(1, 2**20), (-3, 2**40), (1, 2**62), (7, 5**26), (6, 3), (0, 9), (2**63 - 1, 2**62)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for a, b, text in df.select("a", "b", exact.exact_div_text(F.col("a"), F.col("b"))).collect():
+        assert Fraction(text) == Fraction(a, b) and ("." not in text or text[-1] != "0")
+    assert value(spark, exact.exact_div_text(lit(1), lit(2**20))) == "0.00000095367431640625"
+    fails(spark.range(1).select(exact.exact_div_text(lit(1), lit(3))), "no exact decimal result")
+    fails(spark.range(1).select(exact.exact_div_text(lit(1), lit(0))), "BY_ZERO")
+    fails(spark.range(1).select(exact.round_div_text(lit(1), lit(0), 40)), "BY_ZERO")
+    assert value(spark, exact.round_div_text(lit(None), lit(2), 3)) is None
+    with pytest.raises(LimitError):
+        exact.round_div_text(lit(1), lit(1), 1025)
