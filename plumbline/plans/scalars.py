@@ -562,3 +562,39 @@ def decode_json(spark, sf):
     return decoded.select(
         "event_id", "d.ok", F.variant_get("d.value", "$.k", "bigint").alias("k"), F.col("d.error.code").alias("code")
     )
+
+
+@query("parse_json_contract", f"WITH {E} SELECT event_id, k FROM e")
+def parse_json_contract(spark, sf):
+    from plumbline.operators import decoding
+    from plumbline.operators.contracts import record, scalar
+
+    body = record("Props", k=scalar("Int", low=0))
+    parsed = decoding.parse_json(F.col("props"), body)
+    return load(spark, sf, "events").select("event_id", values.json_field(parsed, "$.k", "bigint").alias("k"))
+
+
+@query(
+    "decode_json_contract",
+    f"""WITH {E} SELECT event_id, event_type <> 'error' AND k < 50 AS ok, CASE WHEN event_type <> 'error' AND k < 50 THEN k END AS k,
+      CASE WHEN event_type = 'error' THEN 'JSON001' WHEN k >= 50 THEN 'JSON002' END AS code,
+      CASE WHEN event_type = 'error' THEN 2 END::INT AS line, CASE WHEN event_type = 'error' THEN length(props) + 3 END::INT AS "column"
+    FROM e""",
+)
+def decode_json_contract(spark, sf):
+    """Props within a list, on a second line; errors are closed once too often."""
+    from plumbline.operators import decoding
+    from plumbline.operators.contracts import list_of, record, scalar
+
+    end = F.when(F.col("event_type") == "error", "}]").otherwise("]")
+    body = F.concat(F.lit("[\n  "), F.col("props"), end)
+    contract = list_of(record("Props", k=scalar("Int", high=49)), max_items=1)
+    decoded = load(spark, sf, "events").select("event_id", decoding.decode_json(body, contract).alias("d"))
+    return decoded.select(
+        "event_id",
+        "d.ok",
+        F.variant_get("d.value", "$[0].k", "bigint").alias("k"),
+        F.col("d.error.code").alias("code"),
+        F.col("d.error.line").alias("line"),
+        F.col("d.error.column").alias("column"),
+    )
