@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.guards import require_between
-from plumbline.session import reliable_checkpoint
+from plumbline.session import reliable_checkpoint, small_tasks
 
 
 def downstream(edges: DataFrame, start: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -66,12 +66,18 @@ def execution_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges it leaves behind are taken out, so each edge and node is handled once. A cycle fails as soon as nothing more can
     be placed, and an edge of a node that is not listed fails at once.
     """
-    listed = nodes.select("node").distinct()
-    ends = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node")))
+    with small_tasks(nodes.sparkSession, nodes.count() + 2 * edges.count()):
+        return _levels(nodes, edges)
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    # dealt out first: combining before the shuffle would hold a whole input file's keys, most of which differ
+    listed = reliable_checkpoint(nodes.select("node").repartition("node").distinct())
+    left = reliable_checkpoint(edges.select("source", "target").repartition("source", "target").distinct())
+    targets = lambda e: e.select(F.col("target").alias("node")).distinct()
+    ends = left.select(F.col("source").alias("node")).distinct().unionByName(targets(left))
     if not ends.join(listed, "node", "left_anti").isEmpty():
         raise ValueError("an edge names a node that is not listed")
-    left = reliable_checkpoint(edges.select("source", "target").distinct())
-    targets = lambda e: e.select(F.col("target").alias("node")).distinct()
     frontier = reliable_checkpoint(listed.join(targets(left), "node", "left_anti"))
     layers, level = frontier.withColumn("level", F.lit(0)), 0
     while not left.isEmpty():

@@ -4,6 +4,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.guards import LimitError
 from plumbline.operators import lineage, summaries
 from plumbline.operators.rows import fork, on
@@ -47,3 +48,24 @@ def test_a_branch_without_a_value_can_be_a_success(spark):
     for make in (lambda: on("lost"), lambda: on("failed", F.lit(True)), lambda: fork(df, both, {"checked": F.col("v")})):
         with pytest.raises(LimitError):
             make()
+
+
+def test_levels_run_in_tasks_of_bounded_rows(spark, monkeypatch):
+    initial, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual, seen = [spark.conf.get(key, None) for key in (initial, size)], []
+    levels = lineage._levels
+
+    def watched(*tables):
+        seen.append([spark.conf.get(key) for key in (initial, size)])
+        return levels(*tables)
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    monkeypatch.setattr(lineage, "_levels", watched)
+    nodes = spark.createDataFrame([(n,) for n in "abcdea"], "node string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "b"), ("d", "c")], "source string, target string")
+    assert rows(lineage.execution_levels(nodes, edges), "node", "level") == [("a", 0), ("b", 1), ("c", 2), ("d", 0), ("e", 0)]
+    assert seen == [["8", session.TASK_BYTES]]  # 6 nodes and 5 edges, each with two ends
+    for wrong in (("c", "a"), ("c", "q"), ("c", None)):
+        with pytest.raises(ValueError, match="cycle|listed"):
+            lineage.execution_levels(nodes, edges.union(spark.createDataFrame([wrong], edges.schema)))
+    assert [spark.conf.get(key, None) for key in (initial, size)] == usual
