@@ -17,6 +17,7 @@ from plumbline.guards import refuse_when, require_between
 _WIDE = "decimal(38,0)"
 _TOO_FINE = "operand has more fractional digits than its scale"
 _LONG = (1 << 63) - 1
+_SHORT = _LONG // 10**9  # divisors whose remainders can be scaled by nine digits within BIGINT
 
 
 def div(a: Column, b: Column) -> Column:
@@ -124,7 +125,7 @@ def _long_division(top: Column, bottom: Column, places: int) -> Column:
 
     def divided(x: Column) -> Column:
         # lazily: only the branch of the row's own size runs
-        short = (x["top"] <= _LONG) & (x["bottom"] < _LONG // 10**9)
+        short = (x["top"] <= _LONG) & (x["bottom"] < _SHORT)
         parts = (
             F.when(short, chain(x, "bigint", 9))
             .when(x["bottom"] <= _LONG, chain(x, _WIDE, 18))
@@ -176,6 +177,20 @@ def round_div_text(a: Column, b: Column, scale: int, operand_scale: int = 0) ->
     return let(_long_division(F.abs(top), F.abs(bottom), scale), rounded)
 
 
+def _short_digits(top: Column, bottom: Column) -> tuple[Column, Column]:
+    """The places of ``top / bottom`` and what is left, for BIGINT operands and a divisor below ``_SHORT``.
+
+    Such a divisor has at most 33 factors of two and fewer of five, so a quotient that ends does so within 36 places: four
+    limbs of nine digits. They are written out rather than folded, so that Spark compiles them.
+    """
+    rest, limbs = top % bottom, []
+    for _ in range(4):
+        scaled = rest * 10**9
+        limbs.append(F.lpad(div(scaled, bottom).cast("string"), 9, "0"))
+        rest = scaled % bottom
+    return F.when(top % bottom == 0, "").otherwise(F.rtrim(F.concat(*limbs), F.lit("0"))), rest
+
+
 def exact_div_text(a: Column, b: Column, scale: int = 0) -> Column:
     """``a / b`` as decimal text with all its digits and none after the last nonzero one; fails where they never end.
 
@@ -184,12 +199,17 @@ def exact_div_text(a: Column, b: Column, scale: int = 0) -> Column:
     """
     require_between("scale", scale, 0, 17)
     top, bottom = (F.abs(_as_whole(x, scale)) for x in (a, b))
+    negative, endless = (a < 0) != (b < 0), "division has no exact decimal result"
 
     def ended(d: Column) -> Column:
-        text = _written((a < 0) != (b < 0), d["whole"], F.rtrim(d["digits"], F.lit("0")))
-        return refuse_when(d["rest"] != 0, text, "division has no exact decimal result")
-
-    return let(_long_division(top, bottom, 126), ended)
+        text = _written(negative, d["whole"], F.rtrim(d["digits"], F.lit("0")))
+        return refuse_when(d["rest"] != 0, text, endless)
+
+    narrow, divisor = top.try_cast("bigint"), bottom.try_cast("bigint")
+    digits, rest = _short_digits(narrow, divisor)
+    short = refuse_when(rest != 0, _written(negative, div(narrow, divisor).cast("string"), digits), endless)
+    # lazily: only the branch of the row's own size runs
+    return F.when(narrow.isNotNull() & (divisor < _SHORT), short).otherwise(let(_long_division(top, bottom, 126), ended))
 
 
 def to_int(value: Column) -> Column:

@@ -147,3 +147,14 @@ def test_exact_div_text(spark):
     assert value(spark, exact.round_div_text(lit(None), lit(2), 3)) is None
     with pytest.raises(LimitError):
         exact.round_div_text(lit(1), lit(1), 1025)
+
+
+def test_exact_div_text_divides_short_operands_without_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_long_division", lambda *_: F.struct(*[F.raise_error(F.lit("folded")).cast("string").alias(n) for n in ("whole", "digits", "rest", "bottom")]))
+    most = (2**63 - 1) // 10**9
+    pairs = [(1, 2**33), (2**63 - 1, 2**33), (-7, 2**20 * 5**5), (7, -(5**14)), (0, -3), (-12, 4), (1000, 8), (most - 1, most - 1), (9, 2**27)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = df.select("a", "b", exact.exact_div_text(F.col("a"), F.col("b"))).collect()
+    assert [r[2] for r in got] == [_text_of(Fraction(r.a, r.b), 40).rstrip("0").rstrip(".") if r.a % r.b else str(r.a // r.b) for r in got]
+    fails(spark.createDataFrame([(1, 3 * 2**20)], df.schema).select(exact.exact_div_text(F.col("a"), F.col("b"))), "no exact decimal result")
+    fails(spark.createDataFrame([(1, 2**34)], df.schema).select(exact.exact_div_text(F.col("a"), F.col("b"))), "folded")
