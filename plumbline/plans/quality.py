@@ -153,11 +153,18 @@ def frame_lines(spark, sf):
     return framing.frame_lines(docs, "doc_id", "text")
 
 
+PIECE_BYTES = 1 << 25
+
+
 def _written_parts(df, spark, label):
-    """Texts written as the lines of eight files ``part=0..7``, by ascending doc_id; as many more lines as they hold."""
+    """Texts written as the lines of eight files ``part=0..7``, by ascending doc_id; as many more lines as they hold.
+
+    A file is a folder of pieces, one a task, of about ``PIECE_BYTES`` each: one task a file would write an eighth of all.
+    """
     path = run_folder(spark, label)
-    parts = df.withColumn("part", F.col("doc_id") % 8).repartition(8, "part").sortWithinPartitions("part", "doc_id")
-    parts.select("part", "text").write.partitionBy("part").text(path)
+    size = df.agg(F.sum(F.octet_length("text").cast("bigint") + 1)).first()[0] or 0
+    parts = df.withColumn("part", F.col("doc_id") % 8).repartitionByRange(max(8, -(-size // PIECE_BYTES)), "part", "doc_id")
+    parts.sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
     return path
 
 
@@ -179,7 +186,7 @@ _FILE_LINES = """d AS (SELECT doc_id % 8 AS part, string_agg(text@MARK@ || chr(1
 def frame_files(spark, sf):
     """Lines of text files read over byte ranges, with ordinals and spans within their file."""
     docs = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    framed = files.strict_records(files.frame_files(spark, _written_parts(docs, spark, "lines")))
+    framed = files.strict_records(files.frame_files(spark, _written_parts(docs, spark, "lines"), pieces=True))
     return framed.select(_part(), "ordinal", "start", "end", "delimiter_end", "unterminated", "text")
 
 
@@ -195,7 +202,7 @@ def frame_files_rejected(spark, sf):
     """French texts end with a byte that UTF-8 never holds; such lines and long ones are rejected beside the good ones."""
     bad = F.concat(F.encode("text", "utf-8"), F.lit(b"\xff")).cast("string")
     docs = load(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "fr", bad).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
-    framed = files.frame_files(spark, _written_parts(docs, spark, "damaged"), raw_limit=900, excerpt=40)
+    framed = files.frame_files(spark, _written_parts(docs, spark, "damaged"), raw_limit=900, excerpt=40, pieces=True)
     lost = files.rejections(framed)
     return lost.select(_part(), "ordinal", "start", "end", "reason", "reason_start", "reason_end", F.octet_length("excerpt").alias("excerpt_bytes"), "excerpt_truncated")
 

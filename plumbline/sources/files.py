@@ -94,6 +94,7 @@ def frame_files(
     decoded_limit: int = MAX_DECODED,
     span_limit: int = MAX_SPANS,
     excerpt: int = MAX_EXCERPT,
+    pieces: bool = False,
 ) -> DataFrame:
     """Records of the files below ``path`` by LF/CRLF (a lone CR is content) or a literal delimiter.
 
@@ -103,6 +104,10 @@ def frame_files(
     bytes as ``excerpt`` and ``excerpt_truncated``. Rejected records have no text. Files must not be compressed; an empty
     one has no records. Delimiters that can overlap themselves are refused. A byte order mark belongs to the first
     record; a file of nothing but a mark has none, as the reader passes over it.
+
+    With ``pieces`` the files of a folder are the pieces of one file in the order of their names, as one sorted write
+    leaves them: ``file`` is the folder, and ordinals and positions run on. Every piece but the last has to end with the
+    delimiter; otherwise the query fails.
     """
     require_between("raw_limit", raw_limit, 1, MAX_RAW)
     require_between("decoded_limit", decoded_limit, 1, MAX_DECODED)
@@ -133,16 +138,18 @@ def frame_files(
         F.sum("n_range").over(whole).alias("n_file"),
         mark.alias("mark"),
         (total + mark - F.col("size")).alias("over"),
+        F.col("size").alias("bytes_file"),
     )
+    ranges = _pieces(ranges) if pieces else ranges.withColumns({"whole": F.col("r_file"), "n_ahead": zero, "bytes_ahead": zero, "closed": F.lit(False)})
     counted = ranges.agg(F.count(F.lit(1))).first()[0]
     ranges = F.broadcast(ranges) if counted <= BROADCAST_RANGES else ranges
     placed = _numbered(rows, width).join(ranges, (F.col("file") == F.col("r_file")) & (F.col("block") == F.col("r_block")))
     ordinal = F.col("n_before") + F.col("n")
     marked = (F.col("mark") > 0) & (ordinal == 0)
     placed = placed.select(
-        "file",
-        ordinal.alias("ordinal"),
-        (F.col("bytes_before") + F.col("at") + F.when(ordinal > 0, F.col("mark")).otherwise(0)).alias("start"),
+        F.col("whole").alias("file"),
+        refuse_when(F.col("closed") & (F.col("over") > 0), F.col("n_ahead") + ordinal, "a piece of a file ends within a record").alias("ordinal"),
+        (F.col("bytes_ahead") + F.col("bytes_before") + F.col("at") + F.when(ordinal > 0, F.col("mark")).otherwise(0)).alias("start"),
         ((F.col("over") > 0) & (ordinal == F.col("n_file") - 1)).alias("unterminated"),
         F.when(marked, F.concat(F.lit(_BOM), F.col("raw"))).otherwise(F.col("raw")).alias("raw"),
         F.when(marked, F.concat(F.lit("﻿"), F.col("fixed"))).otherwise(F.col("fixed")).alias("fixed"),
@@ -154,6 +161,18 @@ def frame_files(
     return _judged(placed, delimiter is None, width, decoding, raw_limit, decoded_limit, span_limit, excerpt)
 
 
+def _pieces(ranges: DataFrame) -> DataFrame:
+    """Ranges with the folder as the whole file, what its pieces ahead hold, and whether another piece follows."""
+    pieces = ranges.groupBy("r_file").agg(F.max("n_file").alias("n"), F.max("bytes_file").alias("bytes"))
+    pieces = pieces.withColumn("whole", F.regexp_replace("r_file", "/[^/]*$", ""))
+    by_name = Window.partitionBy("whole").orderBy("r_file")
+    ahead = by_name.rowsBetween(Window.unboundedPreceding, -1)
+    held = lambda name: F.coalesce(F.sum(name).over(ahead), F.lit(0).cast("bigint"))
+    closed = F.lead("r_file").over(by_name).isNotNull()
+    placed = pieces.select("r_file", "whole", held("n").alias("n_ahead"), held("bytes").alias("bytes_ahead"), closed.alias("closed"))
+    return ranges.join(placed, "r_file")
+
+
 def _judged(placed: DataFrame, lines: bool, width: int, decoding: str, raw_limit: int, decoded_limit: int, span_limit: int, excerpt: int) -> DataFrame:
     length = F.octet_length("raw").cast("bigint")
     last = lambda column: F.substring(column, F.octet_length(column), F.lit(1))

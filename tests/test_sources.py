@@ -2,12 +2,14 @@
 
 import os
 import random
+from pathlib import Path
 
 import pytest
-from helpers import fails
+from helpers import fails, rows
 from pyspark.sql import functions as F
 
 from plumbline.guards import LimitError
+from plumbline.plans import quality
 from plumbline.session import run_folder
 from plumbline.sources import committed, datasets, files
 from plumbline.streaming import publish, runs
@@ -135,3 +137,32 @@ def test_next_begins_behind_the_last_commit(spark):
     assert table.where("generation < 2").count() == 10 and table.count() == 13
     with pytest.raises(LimitError):
         publish.dataset_follow(spark, path, "later")
+
+
+def test_pieces_of_a_file_number_on(spark, tmp_path, monkeypatch):
+    texts = ["a\nb", "\ufeffc", "", "d\r", "\ufeff", "ee\n\nf"]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "whole").write_bytes("".join(t + "\n" for t in texts).encode())
+    (tmp_path / "many" / "x").mkdir(parents=True)
+    for i, text in enumerate(texts):
+        (tmp_path / "many" / "x" / f"part-{i:05}").write_bytes((text + "\n").encode())
+    columns = ["ordinal", "start", "end", "delimiter_end", "unterminated", "text", "spans"]
+    frame = lambda folder, **more: files.frame_files(spark, str(tmp_path / folder), **more)
+    want = rows(frame("one/whole"), *columns)
+    assert rows(frame("many/x", pieces=True), *columns) == want and len(want) == 9
+    assert {r.file.rsplit("/", 1)[1] for r in frame("many/x", pieces=True).select("file").collect()} == {"x"}
+    with open(tmp_path / "many" / "x" / "part-00002", "ab") as piece:
+        piece.write(b"open")
+    fails(frame("many/x", pieces=True), "ends within a record")
+
+
+def test_parts_are_written_in_bounded_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " * 50 + "\n") for i in range(100)], "doc_id bigint, text string")
+    monkeypatch.setattr(quality, "PIECE_BYTES", 500)
+    path = quality._written_parts(docs, spark, "pieces")
+    sizes = [p.stat().st_size for p in Path(path.removeprefix("file:")).glob("part=*/*.txt")]
+    assert len(sizes) > 30 and max(sizes) < 1500
+    framed = files.frame_files(spark, path, pieces=True).where("text <> ''").orderBy("file", "start").collect()
+    want = [(i % 8, str(i)) for i in sorted(range(100), key=lambda i: (i % 8, i))]
+    assert [(int(r.file[-1]), r.text.split()[0]) for r in framed] == want
+    assert [r.ordinal for r in framed[:13]] == [*range(0, 26, 2)]
