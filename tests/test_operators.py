@@ -288,3 +288,11 @@ def test_null_keys_are_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 5), (1, 1)], "k bigint, seq bigint")
     got = {x.k: (x.samples, x.gaps) for x in series.gap_coverage(df, ["k"], "seq", F.lit(False)).collect()}
     assert got == {None: (3, 1), 1: (1, 0)}
+
+
+def test_correlation_keeps_its_tasks_however_small_its_input(spark):
+    events = spark.range(64).select(F.timestamp_micros("id").alias("ts"), "id").coalesce(1)
+    picks = spark.range(64).select(F.col("id").alias("n"), (F.col("id") - 8).alias("from_us"), (F.col("id") + 8).alias("to_us")).coalesce(1)
+    found = series.range_correlate(picks, {"e": events}, "ts", "from_us", "to_us", 4)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(found, "n", "id") == sorted(((n, i) for n in range(64) for i in range(64) if n - 8 <= i < n + 8), key=repr)
