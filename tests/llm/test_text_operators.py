@@ -404,6 +404,25 @@ def test_samples_take_four_bytes_and_are_what_is_printed(spark):
         assert row["text"] == "".join(f"{s % (1 << 32):08X}" for s in row["samples"])
 
 
+def test_only_terms_above_the_limit_are_passed_over(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("term"), (F.col("id") % 3 + 1).cast("double").alias("n"))
+    once = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.lit(0.0))
+    limit = 0.02
+    for d in range(3):
+        whole = fingerprints.sample_value(F.col("term"), F.log("n"), d)
+        part = fingerprints.sample_value(F.col("term"), F.log("n"), d, limit * F.col("n"), once)
+        got = df.select(whole.alias("whole"), part.alias("part")).collect()
+        assert all(r["part"] == r["whole"] or (r["part"] == float("inf") and r["whole"] > math.log(limit)) for r in got)
+        assert sum(r["part"] == float("inf") for r in got) > 2000
+
+
+def test_fingerprints_do_not_depend_on_the_reach(spark):
+    texts = [" ".join(f"w{i % (j + 2)}" for i in range(7 * j)) for j in range(12)] + [None, "", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id"), (3, "again three")], "doc_id bigint, text string")
+    want, *others = (sorted(map(repr, fingerprints.compare_neighbours(df, 4, reach).collect())) for reach in (None, 1.0))
+    assert others == [want]  # with 1.0 most texts are done again
+
+
 def test_likenesses_are_close_to_the_true_ones(spark):
     rng = random.Random(3)
     texts = []
