@@ -3,7 +3,9 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import near, urls, warc
@@ -225,3 +227,15 @@ def test_near_copies_keep_columns_of_any_name(spark):
     kept = corpus_pipeline.near_copy_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[5]], key=repr)
+
+
+def test_stages_send_texts_to_python_in_bounded_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    rows = [(i, f"the garden number {i} is green", "en", "web", 0) for i in range(4)] + [(9, "das haus ist rot", "de", "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.language_stage(spark, docs, "")
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 500).alias("text"))  # 12 MB in one task
+    assert max(r["size"] for r in long.mapInArrow(sizes, "size bigint").collect()) < 5 << 20
