@@ -293,6 +293,20 @@ def _open_lists(member: DataFrame) -> DataFrame:
     )
 
 
+def _joined_blocks(member: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of the lists ``member(key, set, n, at, root, main)`` that meet, as x with the blocks of y to join, and as y.
+
+    Lists are joined block by block of equal size and place; blocks are skipped that cannot share enough from their places
+    on. Entries outside the list's largest component are x, all are y, and neither side holds entries of skipped blocks.
+    """
+    x, y = (member.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "root", "n", "at")]) for s in "xy")
+    x, y = x.where("root_x != main"), y.drop("main")
+    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    blocks = x.select("key", "n_x", "at_x").distinct().join(y.select("key", "n_y", "at_y").distinct(), "key")
+    blocks = settled(blocks.where(_linked(most, F.col("n_x") + F.col("n_y") - most, percent)), "blocks")
+    return x.join(blocks, ["key", "n_x", "at_x"]), y.join(blocks, ["key", "n_y", "at_y"], "left_semi")
+
+
 def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(set, root)`` of the sets that link with another one, by the index ``lists(key, set, n, at)``."""
     spark = lists.sparkSession
@@ -330,12 +344,8 @@ def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     else:
         member = _labelled(lists, label)
         member = settled(member.join(_open_lists(member).select("key", "main"), "key"), "members")
-    # What is left: pairs in different components, one of the two outside the list's largest. Lists are joined block by
-    # block of equal size and place; blocks are skipped that cannot share enough from their places on.
-    bx = member.where("root != main").select("key", F.col("n").alias("n_x"), F.col("at").alias("at_x")).distinct()
-    by = member.select("key", F.col("n").alias("n_y"), F.col("at").alias("at_y")).distinct()
-    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    blocks = bx.join(by, "key").where(_linked(most, F.col("n_x") + F.col("n_y") - most, percent))
+    # What is left: pairs in different components, one of the two outside the list's largest. What sets lack of a pivot and
+    # have besides it outweighs their places in the lists by far, so it goes only with places in blocks that are joined.
     none = F.array().cast("array<bigint>")
     facts = ["common", "lacks", "extra"]
     seen = tried.select(F.col("x").alias("set"), F.col("y").alias("pivot"), F.col("ny").alias("size"), *facts).unionByName(
@@ -343,9 +353,9 @@ def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.col("y").alias("set"), F.col("y").alias("pivot"), "size", F.col("size").alias("common"), none.alias("lacks"), none.alias("extra")
         )
     )
-    seen = seen.groupBy("set").agg(F.collect_list(F.struct("pivot", "size", *facts)).alias("seen"))  # one element a round
-    member = settled(member.join(seen, "set", "left"), "members")
-    x, y = (member.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "root", "n", "at", "seen")]) for s in "xy")
+    seen = settled(seen.groupBy("set").agg(F.collect_list(F.struct("pivot", "size", *facts)).alias("seen")), "seen")  # one element a round
+    x, y = _joined_blocks(member, percent)
+    x, y = (side.join(seen.select(F.col("set").alias(f"set_{s}"), F.col("seen").alias(f"seen_{s}")), f"set_{s}", "left") for side, s in ((x, "x"), (y, "y")))
 
     def excluded(a: Column, b: Column) -> Column:
         """Whether the answers for a common pivot leave no room for a link, or tell the overlap and it is too small."""
@@ -357,9 +367,7 @@ def _link_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     possible = ~F.coalesce(F.exists("seen_x", lambda a: F.exists("seen_y", lambda b: excluded(a, b))), F.lit(False))
     pairs = (
-        x.where("root_x != main")
-        .join(blocks, ["key", "n_x", "at_x"])
-        .join(y.drop("main"), ["key", "n_y", "at_y"])
+        x.join(y, ["key", "n_y", "at_y"])
         .where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("set_x") < F.col("set_y"))))
         .where(possible)
         .select(F.least("set_x", "set_y").alias("x"), F.greatest("set_x", "set_y").alias("y"))

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import near, urls, warc
+from plumbline.llm.tokens import settled
 
 
 def brute_components(docs, size, percent):
@@ -239,3 +242,42 @@ def test_stages_send_texts_to_python_in_bounded_batches(spark):
     corpus_pipeline.language_stage(spark, docs, "")
     long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 500).alias("text"))  # 12 MB in one task
     assert max(r["size"] for r in long.mapInArrow(sizes, "size bigint").collect()) < 5 << 20
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {p for f in folders for p in f.glob("*/shuffle_*.data")}
+    before = shuffles()
+    rows = spark.range(5000).repartition(3).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("s"))
+    kept = settled(rows, "test")
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.agg(F.sum("s")).first()[0] == sum(range(5000)) and rows.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_answers_go_only_with_places_in_joined_blocks(spark, monkeypatch):
+    # of sets of 10 elements with percent 80, places 0 and 1 can meet, and place 9 has too little behind it; 30 is too large
+    rows = [(1, 11, 10, 0, 11, 12), (1, 12, 10, 1, 12, 12), (1, 13, 10, 9, 13, 12), (1, 14, 30, 0, 12, 12), (2, 12, 10, 0, 12, 12)]
+    member = spark.createDataFrame(rows, "key bigint, set bigint, n bigint, at bigint, root bigint, main bigint")
+    x, y = near._joined_blocks(member, 80)
+    assert {(r["set_x"], r["n_y"], r["at_y"]) for r in x.collect()} == {(11, 10, 0), (11, 10, 1)}
+    assert {(r["key"], r["set_y"]) for r in y.collect()} == {(1, 11), (1, 12)}
+    tables = {}
+    monkeypatch.setattr(near, "settled", lambda df, label: tables.setdefault(label, []).append(df.columns) or settled(df, label))
+    rng = random.Random(8)
+    docs = spark.createDataFrame([*enumerate(family(rng, 80, 60, 6))], "doc_id bigint, text string")
+    near.jaccard_components(docs, 3, 90)
+    assert "pairs" in tables
+    assert not [c for columns in tables.values() for c in columns if {"key", "seen"} <= set(c)]
+
+
+def test_near_copies_shuffle_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7}") for i in range(50)], "doc_id bigint, text string")
+    kept = corpus_pipeline.near_copy_stage(spark, docs, "")
+    plan = kept._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+    moved = [p for p in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan) if "text#" in p]
+    assert len(moved) == 1
