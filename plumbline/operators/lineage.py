@@ -1,18 +1,20 @@
 """Closures and levels over a table of edges (source, target): target depends on source.
 
-Each round is one join of the edges with the frontier, made distinct, and written with a reliable checkpoint, so the
+Each round is one join of the edges with the frontier, made distinct, and written to the shared folder, so the
 plan does not grow and a lost executor costs no recomputation. The number of rounds is the depth of the graph.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.guards import require_between
-from plumbline.session import reliable_checkpoint, small_tasks
+from plumbline.operators.ordered import match_keys
+from plumbline.session import reliable_checkpoint, settled, small_tasks
 
 
 def downstream(edges: DataFrame, start: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -32,26 +34,109 @@ def downstream(edges: DataFrame, start: DataFrame, max_depth: int = 10_000) -> D
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """``root, node``: every node that each root of ``starts(root, node)`` reaches over ``edges(source, target)``, itself
-    included.
+    included. Cycles end by themselves; nodes without edges and null ones are leaves.
+    """
+    roots, sets = reached_sets(edges, starts, max_depth)
+    return single_roots(sets).join(roots, "number").select("root", "node")
+
 
-    All roots advance together: a round joins the (root, node) pairs that are new with the edges, so the rounds are those
-    of the deepest root and a node is visited once per root. Cycles end by themselves; nodes without edges and null ones
-    are leaves.
+def reached_sets(edges: DataFrame, starts: DataFrame, max_depth: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """:func:`reachable` with the roots of a node as sets: ``number, root`` and ``node, word, bits``.
+
+    Roots are numbered in their order; a row holds those of 64 numbers that reach a node, no root twice. Without cycles a
+    node's sets are made once, when all that leads to it is known; with cycles (or where a path could be longer than
+    ``max_depth``) all roots advance together, and known and new sets meet in every round.
     """
     require_between("max_depth", max_depth, 1, 1_000_000)
-    reached = reliable_checkpoint(starts.select("root", "node").distinct())
-    frontier, steps = reached, edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    with small_tasks(edges.sparkSession, starts.count()):
+        roots = settled(_numbered(starts.select("root").distinct()), "roots")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("number").bitwiseAND(63).cast("int"))
+        first = match_keys(starts.select("root", "node"), roots, ["root"]).select("node", F.shiftright("number", 6).alias("word"), bit.alias("bits"))
+        steps = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+        steps = settled(steps, "edges")
+        levels = _source_levels(steps, max_depth)
+        return roots, _by_rounds(steps, first, max_depth) if levels is None else _by_levels(levels, first)
+
+
+def single_roots(sets: DataFrame) -> DataFrame:
+    """One row per root ``number`` of each set."""
+    # by bytes, whose set bits are looked up: a row then costs 8 steps and its roots instead of 64
+    found = [f"CAST(array({', '.join(str(i) for i in range(8) if byte >> i & 1)}) AS array<int>)" for byte in range(256)]
+    byte = F.call_function("shiftright", F.col("bits"), F.col("_byte")).bitwiseAND(255).cast("int")
+    parts = sets.withColumn("_byte", F.explode(F.array([F.lit(i) for i in range(0, 64, 8)])))
+    at = parts.withColumn("_bit", F.explode(F.get(F.expr(f"array({', '.join(found)})"), byte)))
+    return at.withColumn("number", F.shiftleft("word", 6) + F.col("_byte") + F.col("_bit")).drop("_byte", "_bit", "word", "bits")
+
+
+def _numbered(roots: DataFrame) -> DataFrame:
+    # near one another where they lie near one another in their order; whole words stay within a partition
+    ranged = roots.repartitionByRange("root").sortWithinPartitions("root")
+    return ranged.withColumn("number", F.monotonically_increasing_id())
+
+
+def _merged(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _passed_on(sets: DataFrame, steps: DataFrame) -> DataFrame:
+    return sets.join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node"), "word", "bits")
+
+
+def _by_rounds(steps: DataFrame, first: DataFrame, max_depth: int) -> DataFrame:
+    reached = frontier = settled(_merged(first), "reached")
+    none = F.lit(0).cast("bigint")
     for _ in range(max_depth):
-        found = frontier.join(steps, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
-        known = reached.select(F.col("root").alias("known_root"), F.col("node").alias("known"))
-        same = F.col("root").eqNullSafe(F.col("known_root")) & (F.col("node") == F.col("known"))
-        frontier = reliable_checkpoint(found.join(known, same, "left_anti"))
+        found = _passed_on(frontier, steps).withColumn("known", none)
+        known = reached.select("node", "word", none.alias("bits"), F.col("bits").alias("known"))
+        fresh = F.bit_or("bits").bitwiseAND(F.bitwise_not(F.bit_or("known"))).alias("bits")
+        frontier = settled(found.unionByName(known).groupBy("node", "word").agg(fresh).where("bits != 0"), "reached")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
     raise ValueError(f"closure is deeper than {max_depth}")
 
 
+def _source_levels(steps: DataFrame, max_depth: int) -> list[DataFrame] | None:
+    """The edges by the longest path that leads to their source; None with a cycle or from ``max_depth`` levels on."""
+    left, count, levels = steps, steps.count(), []
+    while count:
+        led_to = left.select(F.col("target").alias("node")).distinct()
+        waits = F.col("node").isNotNull().alias("waits")
+        marked = settled(left.join(led_to, F.col("source") == F.col("node"), "left").select("source", "target", waits), "edges")
+        left, before = marked.where("waits").drop("waits"), count
+        count = left.count()
+        levels.append(marked.where("NOT waits").drop("waits"))
+        if count == before or len(levels) >= max_depth:
+            return None
+    return levels
+
+
+def _by_levels(levels: list[DataFrame], first: DataFrame) -> DataFrame:
+    last = len(levels)  # of nodes that lead to nothing
+    if not levels:
+        return settled(_merged(first), "reached")
+    ranked = reduce(DataFrame.unionByName, [edges.withColumn("level", F.lit(k)) for k, edges in enumerate(levels)])
+    of_nodes = settled(ranked.select(F.col("source").alias("at"), "level").distinct(), "levels")
+    level = F.coalesce("level", F.lit(last))
+    to = of_nodes.select("at", F.col("level").alias("to_level"))
+    to_level = F.coalesce("to_level", F.lit(last)).alias("to_level")
+    steps = settled(ranked.join(to, F.col("target") == F.col("at"), "left").select("source", "target", "level", to_level), "edges")
+    # at most levels ** 2 / 2 numbers, and no more than edges
+    feeds = {row.to_level: sorted(row.levels) for row in steps.groupBy("to_level").agg(F.collect_set("level").alias("levels")).collect()}
+    placed = _merged(first).join(of_nodes, F.col("node") == F.col("at"), "left").select("node", "word", "bits", level.alias("level"))
+    # in the order of levels, so that a level reads its own pages
+    placed = settled(placed.sortWithinPartitions("level"), "reached")
+    reached: list[DataFrame] = []
+    for k in range(last + 1):
+        own = placed.where(F.col("level") == k).drop("level")
+        if k in feeds:
+            before = reduce(DataFrame.unionByName, [reached[j] for j in feeds[k]])
+            found = _passed_on(before, steps.where(F.col("to_level") == k).select("source", "target"))
+            own = settled(_merged(own.unionByName(found)), "reached")
+        reached.append(own)
+    return reduce(DataFrame.unionByName, reached)
+
+
 def mark_stale(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """Node table with the state of the whole closure set to Stale."""
     closure = downstream(edges, start).withColumn("_stale", F.lit(True))

@@ -11,8 +11,9 @@ from plumbline.functions.exact import div, round_div
 from plumbline.functions.text import regex_test
 from plumbline.guards import require_between, require_kind, required
 from plumbline.operators.folds import SPAN, associative, reduce_rows
-from plumbline.operators.lineage import reachable
+from plumbline.operators.lineage import reached_sets, single_roots
 from plumbline.operators.ordered import chunk_hot, find_hot, match_keys, newest
+from plumbline.session import TASK_ROWS
 
 
 def sum_where(df: DataFrame, predicate: Column, value: Column) -> DataFrame:
@@ -148,16 +149,22 @@ def footprint(references: DataFrame, sizes: DataFrame, root: str, item: str, siz
     """
     pairs = references.select(root, item).distinct()
     holders = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_roots"))
+    return pairs.join(_sized(holders, sizes, item, size), item).groupBy(root).agg(*_held())
+
+
+def _sized(holders: DataFrame, sizes: DataFrame, item: str, size: str) -> DataFrame:
     objects = match_keys(holders, sizes.select(item, F.col(size).alias("_size")), [item], "left")
-    objects = objects.withColumn("_size", required(F.col("_size"), "object has no size"))
-    held = pairs.join(objects, item)
+    return objects.withColumn("_size", required(F.col("_size"), "object has no size"))
+
+
+def _held() -> list[Column]:
     bytes_of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_size"))), F.lit(0)).cast("bigint")
-    return held.groupBy(root).agg(
+    return [
         F.count(F.lit(1)).alias("objects"),
         F.sum("_size").cast("bigint").alias("total_bytes"),
         bytes_of(F.col("_roots") > 1).alias("shared_bytes"),
         bytes_of(F.col("_roots") == 1).alias("exclusive_bytes"),
-    )
+    ]
 
 
 def footprint_closure(
@@ -166,10 +173,16 @@ def footprint_closure(
     """The footprint of what each root reaches: its ``references(root, item)`` and all that ``links(item, target)`` lead to.
 
     Every object counts once per root however many paths lead to it; shared are the objects that other roots reach too.
+    Objects are sized by their sets of roots, and roots are told apart only to be summed up.
     """
     edges = links.select(F.col(item).alias("source"), F.col(target).alias("target"))
-    reached = reachable(edges, references.select(F.col(root).alias("root"), F.col(item).alias("node")))
-    return footprint(reached.select(F.col("root").alias(root), F.col("node").alias(item)), sizes, root, item, size)
+    roots, sets = reached_sets(edges, references.select(F.col(root).alias("root"), F.col(item).alias("node")))
+    # by a stated number: roots, not sets, are the work, and tasks joined by the small size of their input would be few
+    parts = max(sets.sparkSession.sparkContext.defaultParallelism, -(-sets.count() // TASK_ROWS))
+    dealt = sets.withColumnRenamed("node", item).repartition(parts, item)
+    holders = dealt.groupBy(item).agg(F.sum(F.bit_count("bits")).alias("_roots"))
+    totals = single_roots(dealt.join(_sized(holders, sizes, item, size), item)).groupBy("number").agg(*_held())
+    return totals.join(roots.withColumnRenamed("root", root), "number").select(root, *totals.columns[1:])
 
 
 def domain_preview(df: DataFrame, value: str, order: str, limit: int = 64) -> DataFrame:
