@@ -296,3 +296,20 @@ def test_correlation_keeps_its_tasks_however_small_its_input(spark):
     found = series.range_correlate(picks, {"e": events}, "ts", "from_us", "to_us", 4)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows(found, "n", "id") == sorted(((n, i) for n in range(64) for i in range(64) if n - 8 <= i < n + 8), key=repr)
+
+
+def test_correlation_meets_in_the_order_of_time(spark):
+    shuffled = (F.col("id") * 37) % 101
+    events = spark.range(101).select(F.timestamp_micros(shuffled).alias("ts"), shuffled.alias("n")).coalesce(1)
+    picks = spark.range(101).select(shuffled.alias("pick"), (shuffled - 5).alias("from_us"), (shuffled + 5).alias("to_us")).coalesce(1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        found = series.range_correlate(picks, {"e": events}, "ts", "from_us", "to_us", 16)
+        parts = found.select("n", "pick").rdd.glom().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for pairs in parts:
+        for bucket in range(7):
+            own = [tuple(p) for p in pairs if p.n // 16 == bucket]
+            assert own == sorted(own)
+    assert sorted(tuple(p) for pairs in parts for p in pairs) == [(n, p) for n in range(101) for p in range(101) if p - 5 <= n < p + 5]
